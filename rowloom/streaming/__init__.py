@@ -1,0 +1 @@
+"""Reserved for streaming plans. The table model is write-once, so there are none."""
