@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rowloom.llm import exact_dedup, mixing
+from rowloom.llm import bpe, exact_dedup, mixing, token_files
 
 
 def queries():
     return {
+        "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_token_files": token_files.op4_token_files,
         "op8_mix_sources": mixing.op8_mix_sources,
         "pipeline": corpus_pipeline.run,
     }
