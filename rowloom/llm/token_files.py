@@ -127,12 +127,17 @@ def encode_file(doc_ids: list[int | None], tokens: list[np.ndarray], widths: tup
 
 class LibraryEncoder:
     """The tokenizers library's ids of whole texts. The library is asked for a word once, as its normalisation and
-    splitting never look across ASCII white space, and words are kept in two generations of ``keep`` or more."""
+    splitting never look across ASCII white space, and words are kept in two generations of ``keep`` or more. Words go
+    to the library many at a time, with a special token between them, which parts texts before anything else is done
+    to them; a word that may hold a special token itself goes alone."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.keep = Tokenizer.from_file(path), keep
+        added = self.library.get_added_tokens_decoder()
+        self.between = max(i for i, t in added.items() if t.special and not t.normalized)
+        self.mark = added[self.between].content.encode()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -145,12 +150,24 @@ class LibraryEncoder:
         for w in missing.intersection(old):
             new[w] = old[w]
         ask = list(missing.difference(old))
-        for at in range(0, len(ask), 20_000):
-            some = ask[at : at + 20_000]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                new[w] = np.array(e.ids, "<u4").tobytes()
+        alone = [w for w in ask if b"<" in w]
+        self._ask([[w] for w in alone])
+        ask = [w for w in ask if b"<" not in w] if alone else ask
+        self._ask([ask[at : at + 256] for at in range(0, len(ask), 256)])
         return [b"".join([new[w] for w in words]) for words in split]
 
+    def _ask(self, groups: list[list[bytes]]) -> None:
+        for at in range(0, len(groups), 100):
+            some = groups[at : at + 100]
+            for words, e in zip(some, self.library.encode_batch_fast([self.mark.join(g).decode() for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                if len(words) == 1:
+                    self.new[words[0]] = ids.tobytes()
+                    continue
+                cuts, raw = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
+                for w, x, y in zip(words, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
+                    self.new[w] = raw[x:y]
+
 
 _loaded: dict[str, LibraryEncoder] = {}
 
