@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rowloom.llm import bpe, exact_dedup, mixing, token_files
+from rowloom.llm import bpe, exact_dedup, mixing, secrets, token_files, toxicity
 
 
 def queries():
@@ -11,7 +11,9 @@ def queries():
         "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_token_files": token_files.op4_token_files,
+        "op7_secrets": secrets.op7_secrets,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op10_toxicity": toxicity.op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
