@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rowloom.llm import bpe, exact_dedup, mixing, secrets, token_files, toxicity
+from rowloom.llm import bpe, exact_dedup, mixing, near_dedup, secrets, token_files, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_token_files": token_files.op4_token_files,
         "op7_secrets": secrets.op7_secrets,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_minhash": near_dedup.op9_minhash,
         "op10_toxicity": toxicity.op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
