@@ -5,7 +5,7 @@ hashes. Documents of equal sets are one class at once; the rest is done between
 
 1. Inverted lists of retained values. Two sets of similarity 0.8 share many retained values: at least ``t`` of them,
    where t is exact for sets that fit into the sketch, and for larger sets is so far below the expected 0.8 K that
-   fewer occur with probability below 2e-9. As in prefix filtering, a class therefore enters only the lists of its
+   fewer occur with probability below 1e-9. As in prefix filtering, a class therefore enters only the lists of its
    ``|sketch| - t + 1`` rarest values: of two linked classes' lists one at least is common. A shingle that a third
    of all documents have is thus in a list only for documents made of little else.
 2. Star pairs: every class of a list against two classes of the list, linear in the lists' sizes.
@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import table, words_of, written
+from rowloom.llm.common import freed, table, words_of, written
 
 #: Retained values of a set, and how many two linked large sets share at the least.
-K, SHARED = 64, 28
+K, SHARED = 96, 48
 WIDTH, PERCENT = 5, 80
 _NULL_ID = -(1 << 63)
+#: Words of 64 bits in the bitmap that tells which rows' texts are wanted: 2 MB at most, whatever the input.
+BITMAP_WORDS = 1 << 17
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -101,7 +103,8 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int = K)
 
 
 def full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """node, members (sorted hashes of the full set) for the classes of ``needed`` (node, id, th)."""
+    """node, members (sorted hashes of the full set) for the classes of ``needed`` (node, id, th). A bitmap of hashes
+    keeps nearly all other texts out of the shuffle; its table is bounded by BITMAP_WORDS rows, and so broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +115,12 @@ def full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, widt
 
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID))
     texts = df.select(key.alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    found = texts.join(needed.withColumn("id", F.coalesce("id", F.lit(_NULL_ID))), ["id", "th"]).select("node", "text").dropDuplicates(["node"])
+    bits = lambda: F.xxhash64("id", "th")
+    word, bit = F.pmod(bits(), F.lit(BITMAP_WORDS)).alias("word"), F.shiftrightunsigned(bits(), 58).cast("int")
+    needed = needed.withColumn("id", F.coalesce("id", F.lit(_NULL_ID)))
+    bitmap = needed.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    texts = texts.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bitmap), "word").filter(F.getbit(F.col("bits"), F.col("bit")) == 1)
+    found = texts.join(needed, ["id", "th"]).select("node", "text").dropDuplicates(["node"])
     return found.mapInArrow(run, "node bigint, members array<bigint>")
 
 
@@ -135,18 +143,26 @@ def _close(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, shared: int, percent: int) -> DataFrame:
-    """pairs(a, b), distinct, to links: the union sketch filters, the full sets decide."""
+def likely_pairs(pairs: DataFrame, classes: DataFrame, k: int, shared: int) -> DataFrame:
+    """The pairs (a, b) that their union sketches allow."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
-    likely = written(both.withColumn("u", union).filter(common * k >= F.size("u") * shared).select("a", "b"), "likely")
+    return written(both.withColumn("u", union).filter(common * k >= F.size("u") * shared).select("a", "b"), "likely")
+
+
+def verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links by their full sets."""
     full = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}"))
     counted = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", (F.size("ma") + F.size("mb")).alias("total"), F.size(F.array_intersect("ma", "mb")).alias("common"))
     return written(counted.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b"), "links")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -158,9 +174,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     # Inverted lists of the rarest retained values.
-    entries = classes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
+    entries = classes.select("node", F.explode("sketch").alias("v"))
     frequent = written(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-    ranked = entries.join(frequent, "v").groupBy("node", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("rare"))  # at most k
+    ranked = entries.join(frequent, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("rare"))  # at most k
+    ranked = ranked.join(classes.select("node", "n", F.size("sketch").alias("held")), "node")
     room = F.col("held") - least_shared(F.col("n"), k, shared, percent) + 1 - (F.col("held") - F.size("rare"))
     index = written(ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "n", F.explode(F.slice("rare", F.lit(1), F.col("room"))).alias("e")).select("node", "n", "e.v"), "index")
 
@@ -169,10 +186,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     ends = index.groupBy("v").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low.node <> high.node")
     ends = written(ends.select("v", F.explode(F.array("low", "high")).alias("end")).select("v", F.col("end.node").alias("p"), F.col("end.n").alias("pn")), "ends")
     star = index.join(ends, "v").filter("node <> p").filter(_close(F.col("n"), F.col("pn"), percent)).select(*_ordered("node", "p")).distinct()
-    needed = index.select("node").distinct().join(classes.select("node", "id", "th"), "node")
-    sets = written(full_sets(df, needed, id_col, text_col, width), "sets")
-    links = verified(star, classes, sets, k, shared, percent)
+    likely = likely_pairs(star, classes, k, shared)
+    freed(df.sparkSession)
+    texts_of = lambda nodes: written(full_sets(df, written(nodes.join(classes.select("node", "id", "th"), "node"), "needed"), id_col, text_col, width), "sets")
+    sets = texts_of(ends_of(likely))
+    freed(df.sparkSession)
+    links = verified(likely, sets, percent)
     comps = components(links)
+    freed(df.sparkSession)
 
     # What lies between components.
     comp = F.coalesce("comp", "node")
@@ -182,7 +203,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     right = open_lists.select("v", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "comp")])
     across = open_lists.join(right, "v").filter((F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & _close(F.col("n"), F.col("r_n"), percent))
     across = across.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(across, classes, sets, k, shared, percent)
+    likely = likely_pairs(across, classes, k, shared)
+    sets = sets.union(texts_of(ends_of(likely).join(sets.select("node"), "node", "left_anti")))
+    freed(df.sparkSession)
+    more = verified(likely, sets, percent)
     if not more.isEmpty():
         links = links.union(more)
         comps = components(links)
