@@ -32,7 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     than the reading, and the size is known to the planner."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Remove a table of :func:`written` that nothing reads any more."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def freed(spark: SparkSession) -> None:

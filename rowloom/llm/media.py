@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import table
 
 UNIT = 192
-RESTART = 4
+RESTART = 12
 CHUNK = 4_000_000
 TALLEST = 4000
 # The scans written: (components, first and last coefficient, high bit, low bit).
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1), *[((c,), a, b, 0, 1) for a, b in ((1, 5), (6, 63)) for c in range(3)], ((0, 1, 2), 0, 0, 1, 0), *[((c,), 1, 63, 1, 0) for c in range(3)]]
-_MARKER = re.compile(rb"\xff[^\x00\xff]")
+_MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
+_RESTARTS = re.compile(rb"\xff[\xd0-\xd7]")
 
 
 @lru_cache(None)
@@ -88,14 +89,18 @@ def decoder_table(spec: bytes) -> np.ndarray:
     return out
 
 
+_SIZES = np.frexp(np.arange(1 << 12, dtype=np.float64))[1].astype(np.int64)
+
+
 def _bit_size(v: np.ndarray) -> np.ndarray:
-    return np.frexp(v.astype(np.float64))[1].astype(np.int64)
+    """Bits of values from 0 to 4095."""
+    return _SIZES[v]
 
 
 # --- writing
 
 
-@dataclass
+@dataclass(frozen=True)
 class Shape:
     columns: int
     rows: int
@@ -104,6 +109,7 @@ class Shape:
     def units(self) -> int:
         return self.columns * self.rows
 
+    @lru_cache(512)  # noqa: B019  a few hundred shapes of small pictures
     def interleaved(self) -> np.ndarray:
         """Blocks in the order of a scan of all components; a picture's blocks are its luma, Cb, then Cr in raster order."""
         r, c = np.divmod(np.arange(self.units), self.columns)
@@ -129,15 +135,16 @@ def _pack(segment: np.ndarray, code: np.ndarray, size: np.ndarray, n_segments: i
     ends = np.cumsum(size)
     first = np.cumsum(bits) - bits
     at = ends - size - first[segment] + 8 * start[segment]
-    word = code.astype(np.uint64) << (40 - (at & 7) - size).astype(np.uint64)
+    word = code.astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)  # no code is longer than 32 bits
     total = int(n_bytes.sum())
-    out = np.zeros(total + 5)
-    for k in range(5):
-        out += np.bincount((at >> 3) + k, ((word >> np.uint64(32 - 8 * k)) & np.uint64(255)).astype(np.float64), total + 5)
+    words = total // 4 + 2
+    out = np.bincount(at >> 5, (word >> np.uint64(32)).astype(np.float64), words)
+    out += np.bincount((at >> 5) + 1, (word & np.uint64(0xFFFFFFFF)).astype(np.float64), words)
+    filled = out.astype(">u4").view(np.uint8)[:total]
     pad = (-bits) % 8
     full = np.flatnonzero(n_bytes)
-    out[start[full] + n_bytes[full] - 1] += (1 << pad[full]) - 1
-    raw = out[:total].astype(np.uint8).tobytes()
+    filled[start[full] + n_bytes[full] - 1] |= ((1 << pad[full]) - 1).astype(np.uint8)
+    raw = filled.tobytes()
     return [raw[a : a + n].replace(b"\xff", b"\xff\x00") for a, n in zip(start.tolist(), n_bytes.tolist(), strict=True)]
 
 
@@ -184,7 +191,7 @@ def _refined_ac(v: np.ndarray, segment: np.ndarray, spec: bytes) -> tuple[np.nda
     codes, sizes = encoder_table(spec)
     a = np.abs(v)
     n_blocks, width = v.shape
-    code, size = np.zeros((n_blocks, width, 2), np.int64), np.zeros((n_blocks, width, 2), np.int64)
+    code, size = np.zeros((n_blocks, width, 2), np.int32), np.zeros((n_blocks, width, 2), np.int8)
     old = a > 1
     code[..., 1][old], size[..., 1][old] = a[old] & 1, 1
     zb, zk = np.nonzero(a == 0)
@@ -210,13 +217,14 @@ def _refined_ac(v: np.ndarray, segment: np.ndarray, spec: bytes) -> tuple[np.nda
     last[b] = k
     ended = np.flatnonzero(last < width - 1)
     code[ended, last[ended] + 1, 0], size[ended, last[ended] + 1, 0] = codes[0], sizes[0]
-    used = size.ravel() > 0
-    where = np.repeat(segment, 2 * width)[used]
-    return where, code.ravel()[used], size.ravel()[used]
+    used = np.flatnonzero(size.ravel())
+    return segment[used // (2 * width)], code.ravel()[used].astype(np.int64), size.ravel()[used].astype(np.int64)
 
 
 def encode_batch(payloads: list[bytes]) -> list[bytes]:
     """A progressive JPEG of each payload."""
+    if not payloads:
+        return []
     shapes = [shape_of(len(p)) for p in payloads]
     base = np.cumsum([0, *[6 * s.units for s in shapes]])
     flat = np.zeros((int(base[-1]), 64), np.int16)
@@ -274,6 +282,13 @@ class Picture:
 
 def parse(raw: bytes) -> Picture:
     """Headers, and the entropy-coded segments of each scan."""
+    try:
+        return _parsed(raw)
+    except (struct.error, IndexError, KeyError) as e:
+        raise ValueError("JPEG is cut short") from e
+
+
+def _parsed(raw: bytes) -> Picture:
     if raw[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     pic, at, tables, quant, ids, interval = Picture(), 2, {}, {}, {}, 0
@@ -326,14 +341,10 @@ def parse(raw: bytes) -> Picture:
                 w, t = -(-(-(-pic.width * h // wide)) // 8), -(-(-(-pic.height * v // tall)) // 8)
                 seq, per = (pic.offset[k] + np.arange(t)[:, None] * pic.grid[k][0] + np.arange(w)).ravel(), 1
                 comp = np.full(len(seq), k)
-            segments, from_ = [], at
-            for m in _MARKER.finditer(raw, at):
-                segments.append(raw[from_ : m.start()].replace(b"\xff\x00", b"\xff"))
-                at, from_ = m.start(), m.end()
-                if not 0xD0 <= raw[at + 1] <= 0xD7:
-                    break
-            else:
+            if (m := _MARKER.search(raw, at)) is None:
                 raise ValueError("JPEG is cut short")
+            segments = [x.replace(b"\xff\x00", b"\xff") for x in _RESTARTS.split(raw[at : m.start()])]
+            at = m.start()
             step = interval * per or len(seq)
             if len(segments) != -(-len(seq) // step):
                 raise ValueError("restart segments don't fit the picture")
@@ -401,68 +412,91 @@ def _decode_dc(c: np.ndarray, lanes: Lanes, seq: np.ndarray, comp: np.ndarray, a
 
 
 def _decode_ac(c: np.ndarray, lanes: Lanes, seq: np.ndarray, at: np.ndarray, end: np.ndarray, first: int, final: int, low: int, lookup: np.ndarray) -> None:
-    k = np.full(len(at), first)
-    lane = np.flatnonzero(at < end)
-    while len(lane):
-        symbol = lanes.symbol(lane, lookup)
-        run, n = symbol >> 4, symbol & 15
-        v = _signed(lanes.read(lane, n), n)
-        kk = k[lane] + run
-        put = n > 0
-        if (kk[put] > final).any():
+    flat, window, lookup = c.reshape(-1), lanes.window, lookup.astype(np.int64)
+    k, bit, limit = np.full(len(at), first), lanes.at.copy(), lanes.end
+    while len(at):
+        if (bit > limit).any():
+            raise ValueError("JPEG segment is cut short")
+        shift = 40 - (bit & 7)
+        ahead = window[bit >> 3]
+        hit = lookup[(ahead >> (shift - 16)) & 0xFFFF]
+        if not hit.all():
+            raise ValueError("no such code in the JPEG's table")
+        length, run, n = hit >> 8, (hit >> 4) & 15, hit & 15
+        span = np.where(n > 0, n, np.where(run < 15, run, 0))
+        extra = (ahead >> (shift - length - span)) & ((1 << span) - 1)  # a code and its bits fit into the window
+        bit += length + span
+        k += run
+        put = np.flatnonzero(n)
+        kk = k[put]
+        if (kk > final).any():
             raise ValueError("JPEG run beyond its band")
-        c[seq[at[lane[put]]], kk[put]] = v[put] * (1 << low)
-        k[lane] = kk + 1
-        over = np.flatnonzero(~put & (run < 15))
+        flat[seq[at[put]] * 64 + kk] = _signed(extra[put], n[put]) * (1 << low)
+        k += 1
+        over = np.flatnonzero((n == 0) & (run < 15))
         if len(over):
-            e = lane[over]
-            at[e] += (1 << run[over]) + lanes.read(e, run[over])
-            k[e] = first
-        done = lane[k[lane] > final]
-        at[done] += 1
-        k[done] = first
-        lane = lane[at[lane] < end[lane]]
+            at[over] += (1 << run[over]) + extra[over]
+            k[over] = first
+        done = np.flatnonzero(k > final)
+        if len(done):
+            at[done] += 1
+            k[done] = first
+        if len(over) or len(done):
+            live = at < end
+            if not live.all():
+                at, end, k, bit, limit = at[live], end[live], k[live], bit[live], limit[live]
 
 
 def _refine_ac(c: np.ndarray, lanes: Lanes, seq: np.ndarray, at: np.ndarray, end: np.ndarray, first: int, final: int, low: int, lookup: np.ndarray) -> None:
-    k = np.full(len(at), first)
+    flat, window, lookup = c.reshape(-1), lanes.window, lookup.astype(np.int64)
+    k, bit, limit = np.full(len(at), first), lanes.at.copy(), lanes.end
     skip, new, over = (np.zeros(len(at), np.int64) for _ in range(3))
     need = np.ones(len(at), bool)
-    lane = np.flatnonzero(at < end)
-    while len(lane):
-        ask = lane[need[lane]]
+    while len(at):
+        if (bit > limit).any():
+            raise ValueError("JPEG segment is cut short")
+        ask = np.flatnonzero(need)
         if len(ask):
-            symbol = lanes.symbol(ask, lookup)
-            run, n = symbol >> 4, symbol & 15
-            skip[ask], new[ask], need[ask] = run, 0, False
-            some = np.flatnonzero(n)
-            if len(some):
-                new[ask[some]] = (2 * lanes.read(ask[some], 1) - 1) << low
-            ends = np.flatnonzero((n == 0) & (run < 15))
-            if len(ends):
-                over[ask[ends]] = (1 << run[ends]) + lanes.read(ask[ends], run[ends])
-        blocks, kk = seq[at[lane]], k[lane]
-        now = c[blocks, kk].astype(np.int64)
+            b = bit[ask]
+            shift = 40 - (b & 7)
+            ahead = window[b >> 3]
+            hit = lookup[(ahead >> (shift - 16)) & 0xFFFF]
+            if not hit.all():
+                raise ValueError("no such code in the JPEG's table")
+            length, run, n = hit >> 8, (hit >> 4) & 15, hit & 15
+            span = np.where(n > 0, 1, np.where(run < 15, run, 0))
+            extra = (ahead >> (shift - length - span)) & ((1 << span) - 1)
+            bit[ask] = b + length + span
+            skip[ask], need[ask] = run, False
+            new[ask] = np.where(n > 0, (2 * extra - 1) << low, 0)
+            over[ask] = np.where((n == 0) & (run < 15), (1 << run) + extra, 0)
+        place = seq[at] * 64 + k
+        now = flat[place]
         old = now != 0
         fix = np.flatnonzero(old)
         if len(fix):
-            bit = lanes.read(lane[fix], 1)
-            c[blocks[fix], kk[fix]] = now[fix] + np.sign(now[fix]) * (bit << low)
-        free = ~old & (over[lane] == 0)
-        stop = free & (skip[lane] == 0)
-        put = np.flatnonzero(stop)
-        if len(put):
-            c[blocks[put], kk[put]] = new[lane[put]]
-            need[lane[put]] = True
-        skip[lane[free & ~stop]] -= 1
-        k[lane] += 1
-        done = lane[k[lane] > final]
+            b = bit[fix]
+            one = (window[b >> 3] >> (39 - (b & 7))) & 1
+            bit[fix] = b + 1
+            v = now[fix]
+            flat[place[fix]] = v + np.sign(v) * (one << low).astype(v.dtype)
+        free = np.flatnonzero(~old & (over == 0))
+        if len(free):
+            stop = skip[free] == 0
+            put = free[stop]
+            flat[place[put]] = new[put]
+            need[put] = True
+            skip[free[~stop]] -= 1
+        k += 1
+        done = np.flatnonzero(k > final)
         if len(done):
             at[done] += 1
             k[done] = first
             over[done] = np.maximum(over[done] - 1, 0)
             need[done] = over[done] == 0
-        lane = lane[at[lane] < end[lane]]
+            live = at < end
+            if not live.all():
+                at, end, k, bit, limit, skip, new, over, need = (x[live] for x in (at, end, k, bit, limit, skip, new, over, need))
 
 
 def coefficients(pictures: list[Picture]) -> tuple[np.ndarray, np.ndarray]:
@@ -500,15 +534,17 @@ def tensors(pictures: list[Picture], c: np.ndarray, base: np.ndarray) -> list[np
     """RGB tensors, height x width x 3, 8-bit."""
     out = []
     matrix = inverse_matrix()
+    # All pictures' blocks in one product.
+    scale = np.concatenate([np.repeat(np.stack(p.quantisers), np.diff(p.offset), axis=0) for p in pictures]) if any((q != 1).any() for p in pictures for q in p.quantisers) else 1
+    every = np.clip(np.floor(((c.astype(np.float64) * scale) @ matrix + 32768) / 65536) + 128, 0, 255).astype(np.int32)
     for p, at in zip(pictures, base, strict=False):
         planes = []
         wide, tall = max(h for h, _ in p.sampling), max(v for _, v in p.sampling)
         for k, (h, v) in enumerate(p.sampling):
             across, down = p.grid[k]
-            blocks = c[at + p.offset[k] : at + p.offset[k + 1]].astype(np.float64) * p.quantisers[k]
-            samples = np.clip(np.floor((blocks @ matrix + 32768) / 65536) + 128, 0, 255)
+            samples = every[at + p.offset[k] : at + p.offset[k + 1]]
             plane = samples.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
-            planes.append(np.repeat(np.repeat(plane, tall // v, axis=0), wide // h, axis=1)[: p.height, : p.width].astype(np.int64))
+            planes.append(np.repeat(np.repeat(plane, tall // v, axis=0), wide // h, axis=1)[: p.height, : p.width])
         y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
         # The JFIF colour transform, times 2**16.
         rgb = [y + ((91881 * cr + 32768) >> 16), y - ((22554 * cb + 46802 * cr + 32768) >> 16), y + ((116130 * cb + 32768) >> 16)]
@@ -518,6 +554,8 @@ def tensors(pictures: list[Picture], c: np.ndarray, base: np.ndarray) -> list[np
 
 def decode_batch(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     """Payload (all coefficients, where the file tells no length) and RGB tensor of each file."""
+    if not files:
+        return []
     pictures = [parse(f) for f in files]
     c, base = coefficients(pictures)
     payloads = []

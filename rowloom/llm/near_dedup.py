@@ -8,12 +8,14 @@ hashes. Documents of equal sets are one class at once; the rest is done between
    fewer occur with probability below 1e-9. As in prefix filtering, a class therefore enters only the lists of its
    ``|sketch| - t + 1`` rarest values: of two linked classes' lists one at least is common. A shingle that a third
    of all documents have is thus in a list only for documents made of little else.
-2. Star pairs: every class of a list against two classes of the list, linear in the lists' sizes.
-3. The union sketch of a pair estimates the similarity; pairs below t of K are dropped. The rest is verified by exact
-   intersection of the full sets. Verified links give connected components.
-4. Lists that still hold several components: pairs of classes in different ones are estimated and verified too. In a
-   group of thousands of near copies the star pairs have already joined its members, so no pair within is made; yet no
-   link between components is lost.
+2. Star pairs: every class of a list against a few classes of the list, linear in the lists' sizes. The union sketch
+   of a pair estimates the similarity; pairs below t of K are dropped. The rest is verified by exact intersection of
+   the full sets. Verified links give connected components. Further rounds do so with other classes as centres, for
+   pairs between components in the lists that still hold several.
+3. Last, all pairs between components in such lists are estimated and verified. In a group of thousands of near copies
+   the stars have joined the members by then, so no pair within is made; yet no link between components is lost.
+   These pairs come from exact prefix lists of the full sets (rarest members first, with the bound that a common
+   member's positions give), which pass over the copies too far from all others.
 
 No list, bucket or group is capped. Joins are between tables in the shared folder with both sides exchanged by key,
 which adaptive execution splits where a key is hot.
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import freed, table, words_of, written
+from rowloom.llm.common import deleted, freed, table, words_of, written
 
 #: Retained values of a set, and how many two linked large sets share at the least.
 K, SHARED = 96, 48
 WIDTH, PERCENT = 5, 80
+#: Centres of a list in each round of star pairs.
+STARS = (3, 8)
 _NULL_ID = -(1 << 63)
 #: Words of 64 bits in the bitmap that tells which rows' texts are wanted: 2 MB at most, whatever the input.
 BITMAP_WORDS = 1 << 17
@@ -131,9 +135,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = written(labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was")), "step")
-        ahead = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        labels = written(step.join(ahead, "comp").select("node", F.least("comp", "next").alias("comp"), "was"), "labels")
+        ahead = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        step = labels.select("node", "comp").join(ahead, "comp").join(near, "node")
+        labels = written(step.select("node", F.least("comp", "near", "next").alias("comp"), F.col("comp").alias("was")), "labels")
         if labels.filter("comp <> was").isEmpty():
             return labels.select("node", "comp")
 
@@ -159,10 +163,42 @@ def verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(counted.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b"), "links")
 
 
+def _star_pairs(lists: DataFrame, stars: int, seed: str, percent: int) -> DataFrame:
+    """lists(node, n, v, comp): distinct pairs (a, b) of each list's classes with ``stars`` of its classes, those of
+    the smallest seeded hashes, in different components. The hashes are the classes' own, so lists of one group of
+    near copies choose the same."""
+    place = lambda i: F.struct(F.xxhash64(F.lit(f"{seed}{i}"), "node").alias("h"), "node", "n", "comp")
+    ends = lists.groupBy("v").agg(*[F.min(place(i)).alias(f"e{i}") for i in range(stars)])
+    centres = F.explode(F.array_distinct(F.transform(F.array(*[f"e{i}" for i in range(stars)]), lambda e: F.struct(e["node"].alias("p"), e["n"].alias("pn"), e["comp"].alias("pc")))))
+    ends = written(ends.select("v", centres.alias("e")).select("v", "e.*"), "centres")
+    return lists.join(ends, "v").filter((F.col("comp") != F.col("pc")) & _close(F.col("n"), F.col("pn"), percent)).select(*_ordered("node", "p")).distinct()
+
+
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
+def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes(node, comp) in different components that may be links, by the exact prefix rule: sets of
+    similarity of ``percent`` have a member in common among the rarest of each, and after the first such member enough
+    of both sets is left."""
+    own = sets.join(nodes, "node")
+    members = own.select("node", F.explode("members").alias("v"))
+    df = written(members.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "member-frequencies")
+    freed(sets.sparkSession)
+    ranked = members.join(df, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("rare"))  # as long as the text at most
+    n, alone = F.col("n"), F.col("n") - F.size("rare")  # members of its own come first, and meet nothing
+    ranked = ranked.join(own.select("node", "comp", F.size("members").alias("n")), "node").withColumn("room", n - F.ceil(n * percent / 100).cast("int") + 1 - alone).filter("room > 0")
+    placed = ranked.select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), F.col("room"))).alias("pos", "e"))
+    lists = written(placed.select("node", "n", "comp", (F.col("pos") + F.col("alone")).alias("pos"), "e.v"), "prefixes")
+    freed(sets.sparkSession)
+    right = lists.select("v", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "comp", "pos")])
+    left = F.least(F.col("n") - F.col("pos"), F.col("r_n") - F.col("r_pos"))
+    enough = left * (100 + percent) >= (F.col("n") + F.col("r_n")) * percent
+    met = lists.join(right, "v").filter((F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & _close(F.col("n"), F.col("r_n"), percent) & enough)
+    return met.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
+
+
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -172,50 +208,69 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sketched = written(sketches(df, id_col, text_col, width, k), "sketches")
     grouped = sketched.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.coalesce(F.min_by("th", "id"), F.min("th")).alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = written(sketched.select("id", "n", "digest"), "rows")
+    deleted(sketched)
+    freed(df.sparkSession)
 
     # Inverted lists of the rarest retained values.
     entries = classes.select("node", F.explode("sketch").alias("v"))
     frequent = written(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+    freed(df.sparkSession)
     ranked = entries.join(frequent, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("rare"))  # at most k
     ranked = ranked.join(classes.select("node", "n", F.size("sketch").alias("held")), "node")
     room = F.col("held") - least_shared(F.col("n"), k, shared, percent) + 1 - (F.col("held") - F.size("rare"))
     index = written(ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "n", F.explode(F.slice("rare", F.lit(1), F.col("room"))).alias("e")).select("node", "n", "e.v"), "index")
-
-    # Two classes of each list against all of it.
-    place = F.struct(F.xxhash64("node").alias("h"), "node", "n")
-    ends = index.groupBy("v").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low.node <> high.node")
-    ends = written(ends.select("v", F.explode(F.array("low", "high")).alias("end")).select("v", F.col("end.node").alias("p"), F.col("end.n").alias("pn")), "ends")
-    star = index.join(ends, "v").filter("node <> p").filter(_close(F.col("n"), F.col("pn"), percent)).select(*_ordered("node", "p")).distinct()
-    likely = likely_pairs(star, classes, k, shared)
-    freed(df.sparkSession)
-    texts_of = lambda nodes: written(full_sets(df, written(nodes.join(classes.select("node", "id", "th"), "node"), "needed"), id_col, text_col, width), "sets")
-    sets = texts_of(ends_of(likely))
-    freed(df.sparkSession)
-    links = verified(likely, sets, percent)
-    comps = components(links)
     freed(df.sparkSession)
 
-    # What lies between components.
+    def with_sets(sets: DataFrame | None, nodes: DataFrame) -> DataFrame:
+        """``sets`` and those of ``nodes`` that it lacks."""
+        lacking = nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti")
+        wanted = written(lacking.join(classes.select("node", "id", "th"), "node"), "wanted")
+        if sets is not None and wanted.isEmpty():
+            return sets
+        new = written(full_sets(df, wanted, id_col, text_col, width), "sets")
+        return new if sets is None else sets.union(new)
+
+    state = index.withColumn("comp", F.col("node"))
+    sets, comps = None, None
+    for round_, stars in enumerate([*STARS, 0]):
+        if round_:
+            split = written(state.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("v"), "split")
+            state = written(state.join(split, "v", "left_semi"), "open")
+        if stars:
+            pairs = _star_pairs(state, stars, f"{round_}|", percent)
+        else:
+            nodes = written(state.select("node", "comp").distinct(), "nodes")
+            sets = with_sets(sets, nodes.select("node"))
+            pairs = prefix_pairs(sets, nodes, percent)
+        likely = likely_pairs(pairs, classes, k, shared)
+        freed(df.sparkSession)
+        sets = with_sets(sets, ends_of(likely))
+        freed(df.sparkSession)
+        links = verified(likely, sets, percent)
+        freed(df.sparkSession)
+        if links.isEmpty():
+            continue
+        if comps is None:
+            comps = components(links)
+        else:  # links between components join these
+            of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+            named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            moved = components(named.filter("a <> b")).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            alone = ends_of(links).join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"))
+            comps = written(comps.unionByName(alone).join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+        if stars:
+            state = state.drop("comp").join(comps, "node", "left").select("node", "n", "v", F.coalesce("comp", "node").alias("comp"))
+            state = written(state, "state")
+    if comps is None:
+        comps = classes.select("node", F.col("node").alias("comp"))
     comp = F.coalesce("comp", "node")
-    labelled = written(index.join(comps, "node", "left").select("node", "n", "v", comp.alias("comp")), "labelled")
-    split = written(labelled.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("v"), "split")
-    open_lists = written(labelled.join(split, "v", "left_semi"), "open")
-    right = open_lists.select("v", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "comp")])
-    across = open_lists.join(right, "v").filter((F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & _close(F.col("n"), F.col("r_n"), percent))
-    across = across.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    likely = likely_pairs(across, classes, k, shared)
-    sets = sets.union(texts_of(ends_of(likely).join(sets.select("node"), "node", "left_anti")))
-    freed(df.sparkSession)
-    more = verified(likely, sets, percent)
-    if not more.isEmpty():
-        links = links.union(more)
-        comps = components(links)
 
     # Back to the rows.
     named = classes.select("node", "digest", "id").join(comps, "node", "left").select("digest", "id", comp.alias("comp"))
     smallest = written(named.groupBy("comp").agg(F.min("id").alias("component_id")), "smallest")
     named = written(named.join(smallest, "comp").select("digest", "component_id"), "named")
-    out = sketched.select("id", "n", "digest").join(named, "digest", "left")
+    out = rows.join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from rowloom.llm import bpe, exact_dedup, lm_scores, mixing, near_dedup, secrets, token_files, toxicity
+from rowloom.llm import bpe, exact_dedup, html_text, lm_scores, media, mixing, near_dedup, secrets, token_files, toxicity
 
 
 def queries():
     return {
+        "op1_media": media.op1_media,
         "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_token_files": token_files.op4_token_files,
+        "op5_html_text": html_text.op5_html_text,
         "op6_lm_scores": lm_scores.op6_lm_scores,
         "op7_secrets": secrets.op7_secrets,
         "op8_mix_sources": mixing.op8_mix_sources,
