@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from rowloom.llm.common import table
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 VOCABULARY = "word_bpe_49k.json"
 #: Below this code point every character is composed already, and the Unicode versions agree.
 _PLAIN = "ɐ"
@@ -242,7 +242,7 @@ def encode_documents(df: DataFrame, text_col: str = "text", path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in _slices(batches, 2000):
+        for b in _slices(batches, 500):
             ids = bpe.encode(b.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, out_col])
 
@@ -256,7 +256,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in _slices(batches, 2000):
+        for b in _slices(batches, 500):
             ids = bpe.encode(b.column(1).to_pylist())
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]

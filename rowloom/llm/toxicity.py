@@ -32,7 +32,7 @@ from rowloom.llm.common import crc_of, table
 
 ORDER = 6
 #: Labelled rows of each class that the fit may use.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Of those, one in so many is for the logistic curve.
 HELD_FOR_CURVE = 4
 _EDGES = b" \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#$%&<>-_/\\"
@@ -153,7 +153,7 @@ class KneserNeyPair:
 class ToxicModel:
     pair: KneserNeyPair | None
     curve: tuple[float, float, float] = (-50.0, 0.0, 0.0)  # bias, weights of maximum and mean
-    keep: int = 300_000
+    keep: int = 100_000
 
     def __post_init__(self) -> None:
         self.known: dict[bytes, float] = {}
@@ -166,8 +166,8 @@ class ToxicModel:
         if len(self.known) > self.keep:
             self.known = {}
         new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
             self.known.update(zip(some, self.pair.difference(some).tolist(), strict=True))
         known = self.known
         out = np.zeros((len(split), 2))
