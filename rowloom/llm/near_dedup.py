@@ -9,13 +9,15 @@ hashes. Documents of equal sets are one class at once; the rest is done between
    ``|sketch| - t + 1`` rarest values: of two linked classes' lists one at least is common. A shingle that a third
    of all documents have is thus in a list only for documents made of little else.
 2. Star pairs: every class of a list against a few classes of the list, linear in the lists' sizes. The union sketch
-   of a pair estimates the similarity; pairs below t of K are dropped. The rest is verified by exact intersection of
+   of a pair estimates the similarity; pairs below t of K are dropped, most of them by parity bitmaps of the sets
+   or sketches before these are compared. The rest is verified by exact intersection of
    the full sets. Verified links give connected components. Further rounds do so with other classes as centres, for
    pairs between components in the lists that still hold several.
 3. Last, all pairs between components in such lists are estimated and verified. In a group of thousands of near copies
    the stars have joined the members by then, so no pair within is made; yet no link between components is lost.
-   These pairs come from exact prefix lists of the full sets (rarest members first, with the bound that a common
-   member's positions give), which pass over the copies too far from all others.
+   Of each list, the classes outside the component that has most of it meet the others, and within the join the
+   positions of the common value and the parity bitmaps bound the overlap, so copies too far from all others
+   are passed over there.
 
 No list, bucket or group is capped. Joins are between tables in the shared folder with both sides exchanged by key,
 which adaptive execution splits where a key is hot.
@@ -42,6 +44,10 @@ WIDTH, PERCENT = 5, 80
 #: Centres of a list in each round of star pairs.
 STARS = (3, 8)
 _NULL_ID = -(1 << 63)
+#: Words of 64 bits in a parity bitmap. Sets up to SMALL have one of all members, as it fills up with larger ones;
+#: those have one of the sketch. Sets that may be linked to either kind have both.
+PARITY_WORDS, SMALL = 8, 800
+_WHOLE, _SKETCH = [f"w{i}" for i in range(PARITY_WORDS)], [f"s{i}" for i in range(PARITY_WORDS)]
 #: Words of 64 bits in the bitmap that tells which rows' texts are wanted: 2 MB at most, whatever the input.
 BITMAP_WORDS = 1 << 17
 
@@ -90,8 +96,16 @@ def least_shared(n: Column, k: int = K, shared: int = SHARED, percent: int = PER
     return F.least(F.ceil(n * percent / 100).cast("int"), F.lit(shared))
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int = K) -> DataFrame:
-    """id, th (hash of the text), n (set size), digest (of the set), sketch."""
+def parity_of(values: np.ndarray) -> np.ndarray:
+    """A bitmap whose bit i tells whether an odd number of values end in i. The bitmaps of two sets differ in at most
+    as many bits as the sets differ in members."""
+    odd = np.bincount(values & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """id, th (hash of the text), n (set size), digest (of the set), sketch, whole and part (bitmaps of the set and the sketch, null
+    where the size calls for the other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -101,9 +115,10 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int = K)
                 some = b.slice(at, 500)
                 sets = [np.unique(s) for s in shingles_of_many([words_of(t) for t in some.column(2).to_pylist()], width)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                                                  pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], names=["id", "th", "n", "digest", "sketch"])
+                                                  pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([parity_of(s) if len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
+                                                  pa.array([parity_of(s[:k]) if len(s) * 100 >= SMALL * percent else None for s in sets], pa.list_(pa.int64()))], names=["id", "th", "n", "digest", "sketch", "whole", "part"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(run, "id bigint, th bigint, n bigint, digest binary, sketch array<bigint>")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(run, "id bigint, th bigint, n bigint, digest binary, sketch array<bigint>, whole array<bigint>, part array<bigint>")
 
 
 def full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -147,6 +162,22 @@ def _close(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _enough(x: str, y: str, percent: int, shared: int) -> Column:
+    """Whether the bitmaps of columns with the prefixes x and y, and the sizes, allow a link: by the similarity where
+    they are of whole sets, by the shared values that :func:`likely_pairs` wants where they are of sketches."""
+    apart = lambda bits: sum((F.bit_count(F.col(x + p).bitwiseXOR(F.col(y + p))) for p in bits), F.lit(0))  # noqa: E731  null if one has none
+    both = F.col(f"{x}n") + F.col(f"{y}n")
+    whole = (both - apart(_WHOLE)) * (100 + percent) >= both * 2 * percent
+    held = F.col(f"{x}held") + F.col(f"{y}held")
+    return _close(F.col(f"{x}n"), F.col(f"{y}n"), percent) & F.coalesce(whole, F.lit(True)) & F.coalesce(held - apart(_SKETCH) >= 2 * shared, F.lit(True))
+
+
+def allowed_pairs(pairs: DataFrame, bitmaps: DataFrame, percent: int, shared: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps allow."""
+    side = lambda x: bitmaps.select(*[F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in bitmaps.columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_enough("a_", "b_", percent, shared)).select("a", "b")
+
+
 def likely_pairs(pairs: DataFrame, classes: DataFrame, k: int, shared: int) -> DataFrame:
     """The pairs (a, b) that their union sketches allow."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
@@ -178,25 +209,21 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
-def prefix_pairs(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes(node, comp) in different components that may be links, by the exact prefix rule: sets of
-    similarity of ``percent`` have a member in common among the rarest of each, and after the first such member enough
-    of both sets is left."""
-    own = sets.join(nodes, "node")
-    members = own.select("node", F.explode("members").alias("v"))
-    df = written(members.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "member-frequencies")
-    freed(sets.sparkSession)
-    ranked = members.join(df, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("rare"))  # as long as the text at most
-    n, alone = F.col("n"), F.col("n") - F.size("rare")  # members of its own come first, and meet nothing
-    ranked = ranked.join(own.select("node", "comp", F.size("members").alias("n")), "node").withColumn("room", n - F.ceil(n * percent / 100).cast("int") + 1 - alone).filter("room > 0")
-    placed = ranked.select("node", "comp", "n", alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), F.col("room"))).alias("pos", "e"))
-    lists = written(placed.select("node", "n", "comp", (F.col("pos") + F.col("alone")).alias("pos"), "e.v"), "prefixes")
-    freed(sets.sparkSession)
-    right = lists.select("v", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "comp", "pos")])
-    left = F.least(F.col("n") - F.col("pos"), F.col("r_n") - F.col("r_pos"))
-    enough = left * (100 + percent) >= (F.col("n") + F.col("r_n")) * percent
-    met = lists.join(right, "v").filter((F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & _close(F.col("n"), F.col("r_n"), percent) & enough)
-    return met.select(F.col("node").alias("a"), F.col("r_node").alias("b")).distinct()
+def list_pairs(lists: DataFrame, bitmaps: DataFrame, percent: int, shared: int) -> DataFrame:
+    """lists(node, n, v, pos, comp): distinct pairs (a, b) of each list's classes in different components that may be
+    links. ``pos`` is the value's place among the class's retained values, rarest first, and ``top`` the largest of
+    these. At the first value that two classes have in common, those before it in the class of the smaller ``top``
+    would be retained by the other if it had them: so many members it lacks at the least."""
+    own = lists.join(bitmaps.drop("n"), "node")
+    shares = lists.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
+    outside = own.join(shares, "v").filter("comp <> most")
+    other = own.select("v", *[F.col(c).alias(f"r_{c}") for c in own.columns if c != "v"])
+    n, m = F.col("n"), F.col("r_n")
+    lacks = lambda size, pos: (size - pos) * (100 + percent) >= (n + m) * percent
+    first = ((F.col("top") > F.col("r_top")) | lacks(n, F.col("pos"))) & ((F.col("r_top") > F.col("top")) | lacks(m, F.col("r_pos")))
+    once = (F.col("r_comp") == F.col("most")) | (F.col("node") < F.col("r_node"))
+    met = outside.join(other, "v").filter(once & (F.col("comp") != F.col("r_comp")) & first & _enough("", "r_", percent, shared))
+    return met.select(*_ordered("node", "r_node")).distinct()
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -205,9 +232,11 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, k: int = K, shared: int = SHARED) -> DataFrame:
     """One row for each row of ``df``: id, n_shingles, component_id (smallest id reachable over links), kept."""
-    sketched = written(sketches(df, id_col, text_col, width, k), "sketches")
-    grouped = sketched.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.coalesce(F.min_by("th", "id"), F.min("th")).alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketched = written(sketches(df, id_col, text_col, width, k, percent), "sketches")
+    grouped = sketched.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.coalesce(F.min_by("th", "id"), F.min("th")).alias("th"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"), F.first("part").alias("part"))
     classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    bits = [F.col(c)[i].alias(p) for c, names in (("whole", _WHOLE), ("part", _SKETCH)) for i, p in enumerate(names)]
+    bitmaps = classes.select("node", "n", F.size("sketch").alias("held"), F.when(F.col("n") > k, F.array_max("sketch")).otherwise((1 << 63) - 1).alias("top"), *bits)
     rows = written(sketched.select("id", "n", "digest"), "rows")
     deleted(sketched)
     freed(df.sparkSession)
@@ -218,8 +247,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     freed(df.sparkSession)
     ranked = entries.join(frequent, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("rare"))  # at most k
     ranked = ranked.join(classes.select("node", "n", F.size("sketch").alias("held")), "node")
-    room = F.col("held") - least_shared(F.col("n"), k, shared, percent) + 1 - (F.col("held") - F.size("rare"))
-    index = written(ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "n", F.explode(F.slice("rare", F.lit(1), F.col("room"))).alias("e")).select("node", "n", "e.v"), "index")
+    alone = F.col("held") - F.size("rare")  # values of its own come first, and meet nothing
+    room = F.col("held") - least_shared(F.col("n"), k, shared, percent) + 1 - alone
+    index = ranked.withColumn("room", room.cast("int")).filter("room > 0").select("node", "n", alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), F.col("room"))).alias("pos", "e"))
+    index = written(index.select("node", "n", (F.col("pos") + F.col("alone")).alias("pos"), "e.v"), "index")
+    deleted(frequent)
     freed(df.sparkSession)
 
     def with_sets(sets: DataFrame | None, nodes: DataFrame) -> DataFrame:
@@ -231,18 +263,19 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         new = written(full_sets(df, wanted, id_col, text_col, width), "sets")
         return new if sets is None else sets.union(new)
 
-    state = index.withColumn("comp", F.col("node"))
+    state, held = index.withColumn("comp", F.col("node")), index
     sets, comps = None, None
     for round_, stars in enumerate([*STARS, 0]):
         if round_:
-            split = written(state.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("v"), "split")
+            # a list of two classes is done: one was a centre in the first round
+            split = state.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x <> y AND c > 2").select("v")
             state = written(state.join(split, "v", "left_semi"), "open")
+            deleted(held)
+            held = state
         if stars:
-            pairs = _star_pairs(state, stars, f"{round_}|", percent)
+            pairs = allowed_pairs(_star_pairs(state, stars, f"{round_}|", percent), bitmaps, percent, shared)
         else:
-            nodes = written(state.select("node", "comp").distinct(), "nodes")
-            sets = with_sets(sets, nodes.select("node"))
-            pairs = prefix_pairs(sets, nodes, percent)
+            pairs = list_pairs(state, bitmaps, percent, shared)
         likely = likely_pairs(pairs, classes, k, shared)
         freed(df.sparkSession)
         sets = with_sets(sets, ends_of(likely))
@@ -260,8 +293,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             alone = ends_of(links).join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"))
             comps = written(comps.unionByName(alone).join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
         if stars:
-            state = state.drop("comp").join(comps, "node", "left").select("node", "n", "v", F.coalesce("comp", "node").alias("comp"))
+            state = state.drop("comp").join(comps, "node", "left").select("node", "n", "pos", "v", F.coalesce("comp", "node").alias("comp"))
             state = written(state, "state")
+            deleted(held)
+            held = state
+            freed(df.sparkSession)
     if comps is None:
         comps = classes.select("node", F.col("node").alias("comp"))
     comp = F.coalesce("comp", "node")

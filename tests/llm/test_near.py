@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from oracle import SF
 
@@ -83,6 +84,29 @@ def test_chains_hot_pairs_and_groups(spark):
     check(df, rows, 2)
 
 
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 90, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 62, n))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 62, n // 8)]))
+        bits = sum(int(x).bit_count() for x in (N.parity_of(a) ^ N.parity_of(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_groups_about_the_bitmaps_limit(spark):
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(50000)}"
+    rows = []
+    for size in (97, 110, 400, 640, 720, 800, 810, 900, 1000):  # whole sets' bitmaps, both kinds, sketches' alone
+        base = [word() for _ in range(size)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(size // 8)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w[: len(w) - rng.randrange(size // 6)])))
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows, 2)
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "z z"), (5, "a b c"), (5, "a b c"), (7, "")], "doc_id bigint, text string")
     got = sorted((repr(tuple(r)) for r in N.near_groups(df, width=2).collect()))
