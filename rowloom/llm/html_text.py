@@ -4,13 +4,17 @@ The pages of a host are merged: an element is known by its path of tags and clas
 how many pages it occurs, its presentation styles (the sequences of its children) and its contents. Importance is
 their normalised entropy over the host's pages: what looks and reads the same on many pages has none. Paths that are
 on a tenth of the host's pages or more, MIN_PAGES at least, and fall below THRESHOLD are noise, and their branches are
-cut from each page. Two priors stand above the entropies, since menus and adverts of varying words are diverse too and
-articles may be copies of each other: what is marked as a menu, header, footer, sidebar, notice, advert, form or
-reader comment has importance 0, an article or main element (outside of those) has 1. A page that has one gives its
-text alone; any other page gives all branches that are left, but for lists of links.
-
-The counts are aggregated by (host, path, style) and (host, path, content), so a hot host is spread; the noise paths
-of a host, at most ten times the mean number of paths a page, are joined to its pages.
+cut from each page. What is marked as a menu, header, footer, sidebar, notice, advert, form or reader comment has
+importance 0 whatever its entropy, since menus and adverts of varying words are diverse too. An article or main
+element (outside of those) has a raised prior: a branch within is noise only if it is on ARTICLE_SHARE of the host's
+pages with that article, falls below ARTICLE_THRESHOLD and the article as a whole doesn't fall below THRESHOLD, as
+articles may be copies of each other. A page with an article gives what is left of it, and the branches elsewhere whose
+importance on the host is KEEP or more; any other page gives all branches that are left. Lists of links outside of
+articles are left out. What an article says counts for the importance of its own branches, not of those above it.
+
+The counts are aggregated by (host, path, style) and (host, path, content), so a hot host is spread; the noise and kept
+paths of a host, at most ten times the mean number of paths a page, are joined to its pages. Words that repeat in
+elements of the same path as the story's (one of many plain paragraphs) are one branch with it and stay.
 
 Cases: null and empty html give the empty text; a null or odd url counts as the host ''. Unclosed elements end with
 their parents or the page; stray end tags are passed over. Repeated pages are treated alike. No rows give no rows.
@@ -30,6 +34,10 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import table, written
 
 THRESHOLD, MIN_PAGES, PAGE_SHARE = 0.2, 3, 0.1
+#: Within articles, and for branches beside them.
+ARTICLE_THRESHOLD, ARTICLE_SHARE, KEEP = 0.1, 0.9, 0.8
+#: Ends the path of an article's root; no tag or class has a space.
+ROOT = " *"
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -153,6 +161,8 @@ def parse(html: str | None) -> tuple[list[Block], list[Element]]:
             key = f"{tag}.{marks}" if marks else tag
             noise = up.noise or _is_noise(tag, attributes, up.article)
             article = not noise and (up.article or tag in ("article", "main") or attributes.get("role") in ("main", "article"))
+            if article and not up.article:
+                key += ROOT
             e = Element(tag, f"{up.path}/{key}", noise, article)
             if not up.children or up.children[-1] != key:
                 up.children.append(key)
@@ -163,17 +173,20 @@ def parse(html: str | None) -> tuple[list[Block], list[Element]]:
     return blocks, elements
 
 
-def main_text(blocks: list[Block], noise: list[str] | None = None) -> str:
-    """The blocks of the article or, without one, of the branches that are no noise."""
-    if any(b.article for b in blocks):
-        return "\n".join(b.text for b in blocks if b.article)
-    cut = set(noise or ())
+def main_text(blocks: list[Block], noise: list[str] | None = None, kept: list[str] | None = None) -> str:
+    """The blocks of the branches that are no noise; next to an article, of the article and the ``kept`` paths."""
+    cut, keep = set(noise or ()), set(kept or ())
+    has_article = any(b.article for b in blocks)
 
     def stays(b: Block) -> bool:
-        if b.noise or 2 * b.linked > len(b.text):
+        if b.article:
+            least = b.path.index(ROOT) + len(ROOT)  # the root and what is above it stay
+        elif b.noise or 2 * b.linked > len(b.text) or (has_article and b.path not in keep):
             return False
+        else:
+            least = 0
         path = b.path
-        while path:
+        while len(path) > least:
             if path in cut:
                 return False
             path = path.rpartition("/")[0]
@@ -187,7 +200,7 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """pages(url, html) to host, path, pages, importance. The priors' branches are left out: theirs is fixed."""
+    """pages(url, html) to host, path, pages, importance. Marked noise is left out: its importance is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -200,10 +213,10 @@ def style_tree(pages: DataFrame) -> DataFrame:
                     styles: dict[str, list[str]] = {}
                     contents: dict[str, list[str]] = {}
                     for e in parse(html)[1]:
-                        if e.path and not e.noise and not e.article:
+                        if e.path and not e.noise:
                             styles.setdefault(e.path, []).append(" ".join(e.children))
-                            path = e.path
-                            while path:  # what a branch says is part of its parents' content
+                            path, least = e.path, e.path.index(ROOT) if e.article else 0
+                            while len(path) > least:  # what a branch says is part of its parents' content, up to the article
                                 contents.setdefault(path, []).extend(e.texts)
                                 path = path.rpartition("/")[0]
                     rows += [(host, p, xxh64_intdigest("|".join(s)) >> 1, xxh64_intdigest("\n".join(contents[p])) >> 1) for p, s in styles.items()]
@@ -223,10 +236,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def noise_paths(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES, share: float = PAGE_SHARE) -> DataFrame:
-    """host, noise: the paths of low importance of each host that has any."""
+    """host, noise, kept: the paths of low importance, and those outside of articles of high, of each host that has any."""
     sizes = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("of"))
-    tree = style_tree(pages).filter((F.col("importance") < threshold) & (F.col("pages") >= min_pages)).join(sizes, "host").filter(F.col("pages") >= share * F.col("of"))
-    return written(tree.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("noise")), "noise-paths")
+    tree = style_tree(pages).filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= share * F.col("of"))
+    tree = written(tree.select("host", "path", "pages", "importance", F.regexp_extract("path", r"^([^ ]* \*)", 1).alias("root")), "style-tree")
+    outer, inner = tree.filter("root = ''"), tree.filter("root <> '' AND path <> root")
+    roots = tree.filter((F.col("path") == F.col("root")) & (F.col("importance") >= threshold)).select("host", "root", F.col("pages").alias("of"))
+    repeated = inner.filter(F.col("importance") < ARTICLE_THRESHOLD).join(roots, ["host", "root"]).filter(F.col("pages") >= ARTICLE_SHARE * F.col("of"))
+    marked = repeated.select("host", "path", F.lit(True).alias("cut")).unionByName(outer.filter(F.col("importance") < threshold).select("host", "path", F.lit(True).alias("cut")))
+    marked = marked.unionByName(outer.filter(F.col("importance") >= KEEP).select("host", "path", F.lit(False).alias("cut")))
+    paths = lambda cut: F.sort_array(F.collect_list(F.when(F.col("cut") == cut, F.col("path"))))
+    return written(marked.groupBy("host").agg(paths(True).alias("noise"), paths(False).alias("kept")), "noise-paths")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -236,11 +256,11 @@ def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 some = b.slice(at, 500)
-                texts = [main_text(parse(h)[0], n) for h, n in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True)]
+                texts = [main_text(parse(h)[0], n, k) for h, n, k in zip(*(some.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     noise = noise_paths(pages)
-    rows = pages.select(F.col(id_col), "url", "html", host_of(F.col("url")).alias("host")).join(noise, "host", "left").select(id_col, "url", "html", "noise")
+    rows = pages.select(F.col(id_col), "url", "html", host_of(F.col("url")).alias("host")).join(noise, "host", "left").select(id_col, "url", "html", "noise", "kept")
     kind = pages.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, url string, text string, n_chars long")
 

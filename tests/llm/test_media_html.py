@@ -97,3 +97,16 @@ def test_style_tree_cuts_what_repeats(spark):
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string, noise string")).collect()}
     assert all(got[i] == f"Own text {i} here" for i in range(12)) and (got[100], got[101], got[102], got[None]) == ("", "alone", "Same words", "")
     assert H.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string, noise string").limit(0)).count() == 0
+
+
+def test_style_tree_decides_within_and_beside_articles(spark):
+    story = lambda i: f"<p>Story {i} tells of {i * i} things</p>"
+    inside = [(i, f"http://in/{i}", f"<article><h1>Title {i}</h1><div class=note><p>Printed by us</p></div>{story(i)}</article><div class=end>Same end</div>") for i in range(12)]
+    beside = [(100 + i, f"http://cards/{i}", f"<div class=story>{story(i)}</div><article class=card><p>Card {i}</p></article><div class=end>Same end</div>") for i in range(12)]
+    copies = [(200 + i, f"http://copies/{i}", f"<article><h1>One title</h1>{story(1)}</article>") for i in range(12)]
+    few = [(300, "http://few/", f"<article><p>Only</p></article><div>{story(2)}</div>")]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(inside + beside + copies + few, "page_id bigint, url string, html string")).collect()}
+    plain = lambda i: story(i)[3:-4]
+    assert all(got[i] == f"Title {i}\n{plain(i)}" for i in range(12))
+    assert all(got[100 + i] == f"{plain(i)}\nCard {i}" for i in range(12))
+    assert all(got[200 + i] == f"One title\n{plain(1)}" for i in range(12)) and got[300] == "Only"
