@@ -6,8 +6,11 @@ were met before, at the same place of the text, end there, so encodings that yie
 
 - url: ``%XX`` sequences, and unicode: ``\\uXXXX``, ``\\UXXXXXXXX``, ``\\xXX`` and ``&#N;`` escapes, are replaced
   within the whole text, so a secret may reach from plain into encoded parts;
-- base64, of either alphabet, of 16 characters or more, that yields text or a compressed stream;
-- compressed: gzip, zlib, bzip2 and xz streams within base64.
+- base64, of either alphabet, of 16 characters or more. Lines are joined over line breaks, indents, quote marks and
+  written ``\\n``: lines of one width with the first and a shorter last one, and whole runs of lines up to padding.
+  Bytes are read as UTF-8 or else one by one (Latin-1), and with zero bytes also as UTF-16, so none are left out;
+- compressed: gzip, zlib, bzip2 and xz streams anywhere in a layer whose characters are bytes: decoded base64, bytes
+  written as url or unicode escapes, the output of another stream. The members of a stream are joined.
 
 Every layer keeps where its characters come from, so a span found in it is told in code points of the original text:
 in full width for the encoded parts that it touches. Spans of layers are named ``layer>kind``.
@@ -49,9 +52,21 @@ _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
+_FORM = re.compile(r"(?:%[0-9A-Fa-f]{2}|\+)+")
+_WRITTEN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'\"])+")
+_WRITTEN_ONE = re.compile(r"\\(?:[ux]([0-9A-Fa-f]+)|(.))")
+_CONTROLS = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0", strict=True))
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE_END = r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t>]*"
+_BREAK = re.compile(_LINE_END)
+_WRAPPED = re.compile(rf"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\n))[A-Za-z0-9+/_-]++={{0,2}}(?:{_LINE_END}[A-Za-z0-9+/_-]++={{0,2}})+")
 _URLSAFE = str.maketrans("-_", "+/")
-_ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f�]")
+#: Where a compressed stream may begin, and looser, before written controls are replaced.
+_PACKED = re.compile("\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P)|\xfd7zXZ\0|x[\x01\x5e\x9c\xda]")
+_HINT = re.compile("\x1f\x8b|BZh[1-9]|\xfd7zXZ|x[\x01\x5e\x9c\xda]")
+_ZEROS = re.compile("\0*")
+#: No base kind is shorter, and no decoding is longer but a decompression.
+_LEAST = 14
 
 Span = tuple[int, int, str]
 
@@ -100,6 +115,14 @@ def _percent(text: str) -> str:
     return bytes.fromhex(text.replace("%", "")).decode("utf-8", "replace")
 
 
+def _percent_bytes(text: str) -> str:
+    return bytes.fromhex(text.replace("+", "%20").replace("%", "")).decode("latin-1")
+
+
+def _written(text: str) -> str:
+    return _WRITTEN_ONE.sub(lambda m: chr(int(m[1], 16)) if m[1] else _CONTROLS.get(m[2], m[2]), text)
+
+
 def _replaced(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer | None:
     text, parts, at, size = [], [], 0, 0
 
@@ -128,46 +151,121 @@ def _replaced(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer | N
     return Layer("".join(text), f"{layer.name}>{name}" if layer.name else name, parts)
 
 
-def _unpacked(raw: bytes) -> tuple[bytes, str, bool] | None:
-    """Decompressed bytes, the format's name, and whether they are more than allowed; None if not compressed."""
-    if raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 < 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        d, name = zlib.decompressobj(47), "gzip" if raw[0] == 0x1F else "zlib"
-    elif raw[:3] == b"BZh":
-        d, name = bz2.BZ2Decompressor(), "bzip2"
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        d, name = lzma.LZMADecompressor(memlimit=1 << 28), "xz"
-    else:
-        return None
-    try:
-        out = d.decompress(raw, MAX_LAYER + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return out, name, len(out) > MAX_LAYER
+def _kind(text: str, at: int) -> str | None:
+    """The format of a compressed stream that begins there."""
+    head = text[at : at + 6]
+    if head.startswith("\x1f\x8b"):
+        return "gzip"
+    if head.startswith("BZh"):
+        return "bzip2"
+    if head == "\xfd7zXZ\0":
+        return "xz"
+    a, b = (*map(ord, head[:2]), 0, 0)[:2]
+    return "zlib" if a & 15 == 8 and a >> 4 < 8 and b < 256 and (a << 8 | b) % 31 == 0 else None
 
 
-def _as_text(raw: bytes) -> str | None:
+def _unpacked(text: str, start: int) -> tuple[bytes, str, int, bool, bool] | None:
+    """The stream at ``start`` of a text of bytes, all members: decompressed bytes, format, end, whether it is complete
+    and whether it is more than allowed. A damaged or cut stream gives what comes before; None if nothing does."""
+    if (kind := _kind(text, start)) is None:
+        return None
+    make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(memlimit=1 << 28)}[kind]
+    d, out, size, at, step, complete = make(), [], 0, start, 4096, False
+    while at < len(text):
+        piece = text[at : at + step]
+        try:
+            data = piece.encode("latin-1")
+        except UnicodeEncodeError as e:
+            data = piece[: e.start].encode("latin-1")
+        if not data:
+            break
+        try:
+            got = d.decompress(data, MAX_LAYER + 1 - size)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        out.append(got)
+        size += len(got)
+        at, step = at + len(data), min(2 * step, 1 << 20)
+        if size > MAX_LAYER:
+            return b"", kind, at, False, True
+        if d.eof:
+            at -= len(d.unused_data)
+            complete, after = True, _ZEROS.match(text, at).end()
+            if kind == "zlib" or _kind(text, after) != kind:
+                break
+            d, at, step, complete = make(), after, 4096, False
+    return (b"".join(out), kind, at, complete, False) if size else None
+
+
+def _texts(raw: bytes) -> Iterator[str]:
+    """What bytes say: UTF-8 or else a character each, which compressed streams need too; with zero bytes also UTF-16
+    of either order and alignment."""
+    plain = raw.decode("latin-1")
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None
-    return None if not text or _ODD.search(text) else text
+        text = plain
+    yield text
+    if text != plain and _PACKED.search(plain):
+        yield plain
+    if b"\0" in raw:
+        for skip in (0, 1):
+            for order in ("utf-16-le", "utf-16-be"):
+                yield raw[skip:].decode(order, "replace")
+
+
+def _packed_layers(layer: Layer, found: set[Span]) -> Iterator[Layer]:
+    starts = {m.start() for m in _PACKED.finditer(layer.text)}
+    starts.update(a for a, _, _, _, whole in layer.parts if whole and _kind(layer.text, a))
+    done = 0
+    for at in sorted(starts):
+        if at < done or (inner := _unpacked(layer.text, at)) is None:
+            continue
+        raw, kind, to, complete, over = inner
+        if complete or over:
+            done = to
+        start, end, _ = layer.source(at, to)
+        name = f"{layer.name}>{kind}" if layer.name else kind
+        if over:
+            found.add((start, end, f"{name}>oversize"))
+        for text in _texts(raw) if raw else ():
+            yield Layer(text, name, [(0, len(text), start, end, True)])
 
 
-def _base64_layers(layer: Layer, found: set[Span]) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
+def _base64_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and characters of base64, on a line or over lines. A line is in a few runs at most."""
+    for m in _BASE64.finditer(text):
+        yield *m.span(), m[0].rstrip("=")
+    for m in _WRAPPED.finditer(text):
+        cuts = [x.span() for x in _BREAK.finditer(text, *m.span())]
+        lines = list(zip([m.start(), *(b for _, b in cuts)], [*(a for a, _ in cuts), m.end()], strict=True))
+        size, padded, n = [b - a for a, b in lines], [text[b - 1] == "=" for _, b in lines], len(lines)
+        runs, begin = set(), 0
+        for i in range(n):
+            if padded[i] or i == n - 1:  # all up to the padding, with or without a first word that isn't part of it
+                runs |= {(begin, i + 1), (begin + 1, i + 1)}
+                begin = i + 1
+            if i + 1 < n and not padded[i] and (not i or size[i] != size[i - 1] or padded[i - 1]):
+                j = i + 1
+                while j < n and size[j] == size[i + 1] and not padded[j - 1]:
+                    j += 1
+                if j < n and size[j] < size[i + 1] and not padded[j - 1]:
+                    j += 1
+                runs.add((i, j))
+        for i, j in sorted(runs):
+            if j - i > 1 and len(body := "".join(text[a:b] for a, b in lines[i:j]).rstrip("=")) >= 16:
+                yield lines[i][0], lines[j - 1][1], body
+
+
+def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    name = f"{layer.name}>base64" if layer.name else "base64"
+    for at, to, body in _base64_runs(layer.text):
+        whole = body[: len(body) - (len(body) % 4 == 1)]
+        raw = base64.b64decode(whole.translate(_URLSAFE) + "=" * (-len(whole) % 4))
+        if len(raw) < _LEAST and not _kind(raw[:6].decode("latin-1"), 0):
             continue
-        raw = base64.b64decode(body.translate(_URLSAFE) + "=" * (-len(body) % 4))
-        name = f"{layer.name}>base64" if layer.name else "base64"
-        start, end, _ = layer.source(*m.span())
-        while (inner := _unpacked(raw)) is not None:
-            raw, kind, over = inner
-            name += f">{kind}"
-            if over:
-                found.add((start, end, f"{name}>oversize"))
-                raw = b""
-        if (text := _as_text(raw)) is not None:
+        start, end, _ = layer.source(at, to)
+        for text in _texts(raw):
             yield Layer(text, name, [(0, len(text), start, end, True)])
 
 
@@ -181,9 +279,15 @@ def all_spans(text: str, base: list[Span]) -> list[Span]:
         new: list[Layer] = []
         if "%" in layer.text and (x := _replaced(layer, "url", _URL, _percent)):
             new.append(x)
+            if "\ufffd" in x.text:  # bytes that are no UTF-8
+                views = (_replaced(layer, "url", pattern, _percent_bytes) for pattern in (_URL, _FORM))
+                new += [v for v in views if v and _PACKED.search(v.text)]
         if ("\\" in layer.text or "&#" in layer.text) and (x := _replaced(layer, "unicode", _UNICODE, _escapes)):
             new.append(x)
-        new += _base64_layers(layer, found)
+            if _HINT.search(x.text) and (v := _replaced(layer, "unicode", _WRITTEN, _written)):
+                new.append(v)
+        new += _packed_layers(layer, found)
+        new += _base64_layers(layer)
         for x in new:
             key = (hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), x.parts[0][2], x.parts[-1][3])
             if key in seen:

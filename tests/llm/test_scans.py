@@ -72,6 +72,43 @@ def test_part_encoded_and_cycles():
     assert [k for _, _, k in S.scan_text(bomb)[1]] == ["base64>zlib>oversize"]
 
 
+def kinds(text):
+    return {k for _, _, k in S.scan_text(text)[1]}
+
+
+CONFIG = "".join(f"# line {i} of a config file\nuser{i * i}=someone\n" for i in range(9)) + SECRET + "\n"
+
+
+@pytest.mark.parametrize("wrapped", [lambda x: x, lambda x: x.replace("\n", "\r\n"), lambda x: x.replace("\n", "\n    "), lambda x: x.replace("\n", "\\n"), lambda x: f"word\n{x}\nregards\nme", lambda x: f"key: {x}"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda raw: b"\xff\x80" + raw, lambda raw: raw.decode().encode("utf-16-le"), lambda raw: raw.decode().encode("utf-16-be")])
+def test_base64_over_lines(wrapped, pack):
+    body = base64.encodebytes(pack(CONFIG.encode())).decode().rstrip("\n")
+    assert body.count("\n") > 1 and any(k.endswith(">assign") for k in kinds(wrapped(body)))
+
+
+def test_base64_short_last_line():
+    body = base64.b64encode(b"x" * 40 + b" " + SECRET.encode()).decode()
+    text = f"{body[:76]}\n{body[76:]}"
+    assert len(body[76:]) < 16 and (0, len(text), "base64>assign") in S.scan_text(text)[1]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_bytes_in_escapes(pack):
+    from json import dumps
+    from urllib.parse import quote_plus
+
+    raw = pack(CONFIG.encode())
+    for text in (quote(raw), quote_plus(raw), wrap("url", raw), repr(raw), dumps(raw.decode("latin-1")), "".join(f"\\x{b:02x}" for b in raw), base64.b64encode(b"head" + raw).decode()):
+        assert any(k.endswith(">assign") for k in kinds(f"ü {text} end")), text
+
+
+def test_compressed_members():
+    raw = gzip.compress(b"first member pass") + gzip.compress(SECRET[4:].encode())
+    assert "base64>gzip>assign" in kinds(base64.b64encode(raw).decode())
+    both = zlib.compress(b"nothing here") + bz2.compress(SECRET.encode())
+    assert "base64>bzip2>assign" in kinds(base64.b64encode(both).decode())
+
+
 def test_scan_frame(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, SECRET, None), (None, SECRET, "x")], "doc_id bigint, text string, spans string")
     got = S.scan_documents(df).sort("doc_id").collect()
