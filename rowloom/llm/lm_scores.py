@@ -1,14 +1,20 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation in numpy.
 
-The vocabulary of the model is the most frequent words, the end of a text, and one class for all other words. A
-context is the CONTEXT classes before a token; its predicted vector is the sum of their vectors, each weighted
+The model's classes are the most frequent words, the end of a text, and the tail: all other words. The tail is factored
+into groups by hashed subwords, side x side of them, where side is the fourth root of the tail's types, so the model grows
+with the square root of the vocabulary and a token's cost with the fourth. A tail word's probability is that of the tail,
+times that of its ending's group, times that of its beginning's group within, each a softmax in the context, times its
+share of the group; as a context it has its group's vector. The groups are trained by the exact gradient of their
+softmaxes, which are short.
+
+A context is the CONTEXT classes or groups before a token; its predicted vector is the sum of their vectors, each weighted
 elementwise by position, and a class's logit is its product with the class's vector plus a bias. Training tells data
 from noise drawn from the unigram distribution. Every task trains over all of its own training rows from the current
 parameters, and the parameters are averaged by tokens, once an epoch. Scoring normalises over the whole class
 vocabulary: a batch's distinct contexts times all class vectors, as one matrix product.
 
-Words outside share their class's probability by absolute discounting of their counts; what the discount frees is
-the probability of an unseen word, one type, as in the base score.
+Words of a group share its probability by absolute discounting of their counts; what the discount frees is
+the probability of an unseen word of the group, one type. Without training words a group is its unseen word.
 
 Counts cover all training tokens. The COMMON most frequent words go to the workers (a bounded table); the other words
 of a text are joined to the counts by word, none of which is frequent, and summed by row.
@@ -21,10 +27,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import SPACES, crc_of, freed, lower_ascii, table, words_of, written
@@ -33,6 +40,8 @@ CLASSES, WIDTH, CONTEXT = 512, 16, 2
 #: Words whose counts every worker has.
 COMMON = 200_000
 EPOCHS, BATCH, NOISE, NOISE_WEIGHT, RATE = 2, 4096, 64, 16.0, 0.08
+#: Bytes of a tail word's beginning and ending that its group depends on; tail tokens a step.
+SUBWORD, TAIL_BATCH = 3, 8192
 #: The end of a text among the counted words, which have no space.
 END = " "
 
@@ -48,23 +57,44 @@ class Counts:
     tail_tokens: int
     tail_types: int
     discount: float
+    side: int = 1
+    group_tokens: np.ndarray | None = None
+    group_types: np.ndarray | None = None
 
     @property
     def classes(self) -> int:
         """Classes of words of their own; one more is for the others."""
         return min(CLASSES - 1, len(self.words))
 
-    def tail_log10(self, c: np.ndarray) -> np.ndarray:
-        """log10 of a tail word's share in its class, by its count; 0 is the unseen type."""
-        if not self.tail_tokens:
-            return np.zeros(len(c))
-        seen = np.maximum(c - self.discount, 1e-12) / self.tail_tokens
-        return np.log10(np.where(c > 0, seen, self.discount * self.tail_types / self.tail_tokens))
+    def tail_log10(self, c: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+        """log10 of a tail word's share in its group, or in all of the tail, by its count; 0 is the unseen type."""
+        tokens = np.full(len(c), self.tail_tokens) if group is None else self.group_tokens[group]
+        types = self.tail_types if group is None else self.group_types[group]
+        of = np.maximum(tokens, 1)
+        seen = np.maximum(c - self.discount, 1e-12) / of
+        return np.where(tokens > 0, np.log10(np.where(c > 0, seen, np.maximum(self.discount * types, 1e-12) / of)), 0.0)
+
+
+class Subwords(dict):
+    """A subword's bytes to its place on one side of the groups, times a step."""
+
+    def __init__(self, side: int, step: int) -> None:
+        self.side, self.step = side, step
+
+    def __missing__(self, part: bytes) -> int:
+        self[part] = at = crc32(part) % self.side * self.step
+        return at
+
+
+def group_column(word: Column, side: int) -> Column:
+    """The group of :class:`Subwords`, endings first, as a column."""
+    raw = word.cast("binary")
+    return F.crc32(F.substring(raw, -SUBWORD, SUBWORD)) % side * side + F.crc32(F.substring(raw, 1, SUBWORD)) % side
 
 
 @dataclass
 class LogBilinear:
-    """contexts: class (the last row is before a text's start) to vector; position: weights; targets, bias: classes."""
+    """contexts: class, before a text's start, then group of the tail to vector; position: weights; targets, bias: classes."""
 
     contexts: np.ndarray
     position: np.ndarray
@@ -72,10 +102,10 @@ class LogBilinear:
     bias: np.ndarray
 
     @staticmethod
-    def fresh(unigram: np.ndarray, seed: int = 7) -> LogBilinear:
+    def fresh(unigram: np.ndarray, seed: int = 7, groups: int = 0) -> LogBilinear:
         rng, n = np.random.default_rng(seed), len(unigram)
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        return LogBilinear(draw(n + 1, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), draw(n, WIDTH), np.log(unigram).astype(np.float32))
+        return LogBilinear(draw(n + 1 + groups, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), draw(n, WIDTH), np.log(unigram).astype(np.float32))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.contexts, self.position, self.targets, self.bias]
@@ -92,10 +122,8 @@ class LogBilinear:
         _, first, back = np.unique(code, return_index=True, return_inverse=True)
         q = self.predicted(before[first])
         total = np.empty(len(q))
-        for at in range(0, len(q), 4096):
-            z = q[at : at + 4096] @ self.targets.T + self.bias
-            top = z.max(axis=1, keepdims=True)
-            total[at : at + 4096] = top[:, 0] + np.log(np.exp(z - top).sum(axis=1, dtype=np.float64))
+        for at in range(0, len(q), 512):  # as much as the processor's cache holds
+            total[at : at + 512] = log_total(q[at : at + 512] @ self.targets.T + self.bias)
         return np.einsum("ij,ij->i", q[back], self.targets[after]).astype(np.float64) + self.bias[after] - total[back]
 
     def train(self, before: np.ndarray, after: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
@@ -140,13 +168,94 @@ class LogBilinear:
         return out
 
 
-def sequences(texts: list[str | None], place: dict[bytes, int], end: int) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places of all tokens (-1: not in the table), each text with its end; lengths; the words."""
+def log_total(z: np.ndarray) -> np.ndarray:
+    """Natural log of the sum of exp by row; overwrites z with exp(z - top)."""
+    top = z.max(axis=1, keepdims=True)
+    np.exp(np.subtract(z, top, out=z), out=z)
+    return top[:, 0] + np.log(z.sum(axis=1).astype(np.float64))
+
+
+@dataclass
+class Tail:
+    """Vectors and biases of the groups: of the endings, and of the beginnings within each."""
+
+    first: np.ndarray
+    first_bias: np.ndarray
+    second: np.ndarray
+    second_bias: np.ndarray
+
+    @staticmethod
+    def fresh(tokens: np.ndarray, side: int, seed: int = 8) -> Tail:
+        rng, each = np.random.default_rng(seed), tokens.reshape(side, side) + 0.5
+        draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        total = each.sum(axis=1)
+        return Tail(draw(side, WIDTH), np.log(total / total.sum()).astype(np.float32), draw(side, side, WIDTH), np.log(each / total[:, None]).astype(np.float32))
+
+    def arrays(self) -> list[np.ndarray]:
+        return [self.first, self.first_bias, self.second, self.second_bias]
+
+    @staticmethod
+    def _by_first(a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(a, kind="stable")
+        starts = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]]) if len(a) else []
+        for rows in np.split(order, starts[1:]) if len(a) else ():
+            yield int(a[rows[0]]), rows
+
+    def log_probability(self, q: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Natural log of P(group | tail, context) by predicted vectors."""
+        side, out = len(self.first), np.empty(len(q))
+        a, b = group // side, group % side
+        for at in range(0, len(q), 4096):
+            z = q[at : at + 4096] @ self.first.T + self.first_bias
+            own = z[np.arange(len(z)), a[at : at + 4096]].astype(np.float64)
+            out[at : at + 4096] = own - log_total(z)
+        for k, rows in self._by_first(a):
+            z = q[rows] @ self.second[k].T + self.second_bias[k]
+            own = z[np.arange(len(rows)), b[rows]].astype(np.float64)
+            out[rows] += own - log_total(z)
+        return out
+
+    def train(self, model: LogBilinear, before: np.ndarray, group: np.ndarray, squares: list[np.ndarray], model_squares: list[np.ndarray]) -> None:
+        """Adagrad steps over the tail tokens, on the groups and the model's contexts."""
+        side = len(self.first)
+        for at in range(0, len(group), TAIL_BATCH):
+            h, some = before[at : at + TAIL_BATCH], group[at : at + TAIL_BATCH]
+            a, b = some // side, some % side
+            parts = [model.contexts[h[:, j]] for j in range(CONTEXT)]
+            q = sum(p * model.position[j] for j, p in enumerate(parts))
+
+            def miss(z: np.ndarray, right: np.ndarray) -> np.ndarray:
+                log_total(z)
+                z /= z.sum(axis=1, keepdims=True)
+                z[np.arange(len(z)), right] -= 1
+                return z
+
+            p = miss(q @ self.first.T + self.first_bias, a)
+            dq, grads = p @ self.first, [p.T @ q, p.sum(axis=0), np.zeros_like(self.second), np.zeros_like(self.second_bias)]
+            for k, rows in self._by_first(a):
+                mine = q[rows]
+                p = miss(mine @ self.second[k].T + self.second_bias[k], b[rows])
+                dq[rows] += p @ self.second[k]
+                grads[2][k], grads[3][k] = p.T @ mine, p.sum(axis=0)
+            g_contexts, g_position = np.zeros_like(model.contexts), np.zeros_like(model.position)
+            for j, part in enumerate(parts):
+                g_contexts += model._summed(h[:, j], dq * model.position[j], len(model.contexts))
+                g_position[j] = (dq * part).sum(axis=0)
+            scale = np.float32(1 / len(some))
+            for x, g, s in zip([*self.arrays(), model.contexts, model.position], [*grads, g_contexts, g_position], [*squares, *model_squares[:2]], strict=True):
+                g *= scale
+                s += g * g
+                x -= RATE * g / (np.sqrt(s) + 1e-3)
+
+
+def sequences(texts: list[str | None], place: dict[bytes, int], end: int, side: int = 1) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Places of all tokens (-1 less the group: not in the table), each text with its end; lengths; the words."""
     split = [words_of(t) for t in texts]
+    endings, beginnings = Subwords(side, side), Subwords(side, 1)
     get = place.get
     ids: list[int] = []
     for words in split:
-        ids += [get(w, -1) for w in words]
+        ids += [i if (i := get(w)) is not None else -1 - endings[w[-SUBWORD:]] - beginnings[w[:SUBWORD]] for w in words]
         ids.append(end)
     return np.array(ids, np.int64), np.array([len(w) + 1 for w in split], np.int64), split
 
@@ -185,35 +294,46 @@ def summary(counts: DataFrame) -> Counts:
     t = tail.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).collect()[0]
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
     discount = t[2] / (t[2] + 2 * t[3]) if t[2] and t[3] else 0.5
-    return Counts(total[0], total[1], words, c, t[0], t[1], discount)
+    side = max(1, round(t[1] ** 0.25))
+    tokens, types = np.zeros(side * side, np.int64), np.zeros(side * side, np.int64)
+    for r in tail.groupBy(group_column(F.col("word"), side).alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # as many as groups
+        tokens[r.g], types[r.g] = r.c, r.n
+    return Counts(total[0], total[1], words, c, t[0], t[1], discount, side, tokens, types)
 
 
-def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, epochs: int = EPOCHS) -> LogBilinear:
-    own, sc = counts.classes, df.sparkSession.sparkContext
+def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, epochs: int = EPOCHS) -> tuple[LogBilinear, Tail]:
+    own, side, sc = counts.classes, counts.side, df.sparkSession.sparkContext
     unigram = np.r_[counts.counts[:own], counts.tail_tokens].astype(np.float64) + 0.5
     unigram /= unigram.sum()
-    model = LogBilinear.fresh(unigram)
+    model, tail = LogBilinear.fresh(unigram, groups=side * side), Tail.fresh(counts.group_tokens, side)
     place = {w.encode(): i for i, w in enumerate(counts.words[:own])}
     end = place.get(END.encode(), own)
     for epoch in range(epochs if counts.tokens else 0):
-        shared = sc.broadcast((model.arrays(), place, unigram))
+        shared = sc.broadcast(([*model.arrays(), *tail.arrays()], place, unigram))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             part = TaskContext.get().partitionId()
             arrays, place, unigram = shared.value
-            mine = LogBilinear(*[a.copy() for a in arrays])
+            arrays = [a.copy() for a in arrays]
+            mine, groups = LogBilinear(*arrays[:4]), Tail(*arrays[4:])
             squares = [np.full_like(a, 1e-4) for a in arrays]
             rng, seen = np.random.default_rng([epoch, part]), 0
             for b in batches:
                 for at in range(0, b.num_rows, 500):
-                    ids, sizes, _ = sequences(b.slice(at, 500).column(0).to_pylist(), place, end)
-                    ids[ids < 0] = own
-                    mine.train(before_of(ids, sizes, own + 1), ids, unigram, rng, squares)
+                    ids, sizes, _ = sequences(b.slice(at, 500).column(0).to_pylist(), place, end, side)
+                    rare = np.flatnonzero(ids < 0)
+                    group = -1 - ids[rare]
+                    ids[rare] = own + 2 + group
+                    before = before_of(ids, sizes, own + 1)
+                    ids[rare] = own
+                    mine.train(before, ids, unigram, rng, squares[:4])
+                    order = rng.permutation(len(rare))
+                    groups.train(mine, before[rare[order]], group[order], squares[4:], squares[:4])
                     seen += len(ids)
             if seen:
-                flat = np.concatenate([a.ravel().astype(np.float64) for a in mine.arrays()]) * seen
+                flat = np.concatenate([a.ravel().astype(np.float64) for a in arrays]) * seen
                 yield pa.RecordBatch.from_pydict({"part": [part % 16], "seen": [seen], "weights": pa.array([flat.tobytes()], pa.binary())})
 
         def merge(key, rows):
@@ -223,41 +343,50 @@ def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, epochs: int
             return pd.DataFrame({"seen": [int(rows["seen"].sum())], "weights": [total.tobytes()]})
 
         trained = df.filter(is_training(F.col(id_col))).select(text_col).mapInArrow(run, "part long, seen long, weights binary")
-        merged = trained.groupBy("part").applyInPandas(merge, "seen long, weights binary").collect()  # 16 rows of fixed size at most
+        merged = trained.groupBy("part").applyInPandas(merge, "seen long, weights binary").collect()  # 16 rows of the model's size at most
         if merged:
             flat = sum(np.frombuffer(r.weights, np.float64) for r in merged) / sum(r.seen for r in merged)
-            cuts = np.cumsum([a.size for a in model.arrays()])[:-1]
-            model = LogBilinear(*[x.reshape(a.shape).astype(np.float32) for x, a in zip(np.split(flat, cuts), model.arrays(), strict=True)])
-    return model
+            shapes = [*model.arrays(), *tail.arrays()]
+            new = [x.reshape(a.shape).astype(np.float32) for x, a in zip(np.split(flat, np.cumsum([a.size for a in shapes])[:-1]), shapes, strict=True)]
+            model, tail = LogBilinear(*new[:4]), Tail(*new[4:])
+    return model, tail
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS) -> DataFrame:
     """One row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     counted = count_words(df, id_col, text_col)
     counts = summary(counted)
-    model = train(df, counts, id_col, text_col, epochs)
-    own, unseen = counts.classes, float(counts.tail_log10(np.zeros(1))[0])
-    shared = df.sparkSession.sparkContext.broadcast((model.arrays(), [w.encode() for w in counts.words], counts.counts, counts))
+    model, tail = train(df, counts, id_col, text_col, epochs)
+    own, side = counts.classes, counts.side
+    shared = df.sparkSession.sparkContext.broadcast((model.arrays(), tail.arrays(), [w.encode() for w in counts.words], counts.counts, counts))
     norm = float(np.log10(counts.tokens + counts.types + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        arrays, words, c, info = shared.value
-        lbl, place = LogBilinear(*arrays), {w: i for i, w in enumerate(words)}
+        arrays, groups, words, c, info = shared.value
+        lbl, tail, place = LogBilinear(*arrays), Tail(*groups), {w: i for i, w in enumerate(words)}
+        endings, beginnings = Subwords(side, side), Subwords(side, 1)
+        group_of = np.array([endings[w[-SUBWORD:]] + beginnings[w[:SUBWORD]] for w in words], np.int64)
         end = place.get(END.encode(), -1)
         base = np.r_[np.log10(c + 1.0) - norm, 0.0]  # the last: not in the table
-        share = np.r_[np.zeros(own), info.tail_log10(c[own:].astype(float)), 0.0]
+        share = np.r_[np.zeros(own), info.tail_log10(c[own:].astype(float), group_of[own:]), 0.0]
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 some = b.slice(at, 500)
-                ids, sizes, split = sequences(some.column(2).to_pylist(), place, end)
+                ids, sizes, split = sequences(some.column(2).to_pylist(), place, end, side)
                 starts = np.cumsum(sizes) - sizes
-                classes = np.where((ids < 0) | (ids >= own), own, ids)
+                at_tail = np.flatnonzero((ids < 0) | (ids >= own))
+                group = np.where(ids[at_tail] < 0, -1 - ids[at_tail], group_of[ids[at_tail]] if len(words) else 0)
+                classes, ids = ids.copy(), np.maximum(ids, -1)
+                classes[at_tail] = own + 2 + group
                 p = share[ids]
                 if info.tokens:
-                    p = p + lbl.log_probability(before_of(classes, sizes, own + 1), classes) / np.log(10)
+                    before = before_of(classes, sizes, own + 1)
+                    classes[at_tail] = own
+                    p = p + lbl.log_probability(before, classes) / np.log(10)
+                    p[at_tail] += tail.log_probability(lbl.predicted(before[at_tail]), group) / np.log(10)
                 else:
                     p = np.zeros(len(ids))
                 known = np.add.reduceat((ids >= 0).astype(np.int64), starts)
@@ -273,11 +402,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     partial = written(partial, "partial-scores")
     freed(df.sparkSession)
     c = F.coalesce("c", F.lit(0))
-    if counts.tail_tokens:
-        share = F.when(c > 0, F.log10((c - counts.discount) / counts.tail_tokens)).otherwise(F.lit(unseen))
-    else:
-        share = F.lit(0.0)
-    found = partial.select("row", F.explode("rare").alias("word")).join(counted, "word", "left")
+    shares = df.sparkSession.createDataFrame([(g, int(n), float(u)) for g, (n, u) in enumerate(zip(counts.group_tokens, counts.tail_log10(np.zeros(side * side), np.arange(side * side)), strict=True))], "g bigint, of bigint, unseen double")
+    share = F.when(c > 0, F.log10((c - counts.discount) / F.col("of"))).otherwise(F.col("unseen"))
+    found = partial.select("row", F.explode("rare").alias("word")).join(counted, "word", "left").withColumn("g", group_column(F.col("word"), side)).join(F.broadcast(shares), "g", "left")
     sums = found.groupBy("row").agg(F.sum((c > 0).cast("long")).alias("k"), F.sum(F.log10(c + 1.0) - F.lit(norm)).alias("b"), F.sum(share).alias("s"))
     out = partial.drop("rare").join(sums, "row", "left")
     return out.select(F.col(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(counts.tokens).cast("bigint").alias("train_tokens"),

@@ -51,6 +51,33 @@ def test_probabilities_sum_to_one_and_contexts_are_learnt():
     assert abs((10 ** c.tail_log10(np.array([4.0, 3, 2, 1, 0]))).sum() - 1) < 1e-9
 
 
+def test_tail_words_have_contexts(spark, monkeypatch):
+    """Each tail word is foretold by the one before it; the model grows with the words."""
+    monkeypatch.setattr(L, "CLASSES", 4)
+    rng = np.random.default_rng(1)
+    pairs = [(f"{'abcdefgh'[k]}le{k}", f"{'stuvwxyz'[k]}ri{k}") for k in range(8)]
+    texts = [" ".join(w for k in rng.integers(8, size=20) for w in pairs[k]) for _ in range(1500)]
+    swapped = [" ".join(w for k in rng.integers(8, size=20) for w in (pairs[k][0], pairs[(k + 1) % 8][1])) for _ in range(20)]
+    held = [i for i in range(10**6, 10**6 + 2000) if crc32(str(i).encode()) % 7 == 2]
+    right = [(held[i], texts[i], "right") for i in range(20)]
+    wrong = [(held[20 + i], t, "wrong") for i, t in enumerate(swapped)]
+    df = spark.createDataFrame([(i, t, "train") for i, t in enumerate(texts)] + right + wrong, "doc_id bigint, text string, kind string").coalesce(1)
+    got = {r.doc_id: r for r in L.score_documents(df, epochs=30).collect()}
+    mean = lambda rows: np.mean([got[i].score / got[i].n_tokens for i, *_ in rows])
+    assert mean(right) > mean(wrong) + 0.15
+
+
+def test_groups(spark):
+    words = ["a", "ab", "abc", "abcd", "été", "naïveté", "日本語"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string").withColumn("g", L.group_column(L.F.col("word"), 5)).collect()
+    ids, _, _ = L.sequences([" ".join(words)], {}, 0, 5)
+    assert [r.g for r in rows] == (-1 - ids[:-1]).tolist()
+    tail, q = L.Tail.fresh(np.arange(25), 5), np.random.default_rng(0).standard_normal((9, L.WIDTH)).astype(np.float32)
+    assert np.allclose(np.exp([tail.log_probability(q, np.full(9, g)) for g in range(25)]).sum(axis=0), 1, atol=1e-5)
+    c = L.Counts(20, 8, [], np.zeros(0, int), 10, 4, 0.4, 2, np.array([7, 3, 0, 0]), np.array([2, 2, 0, 0]))
+    assert abs((10 ** c.tail_log10(np.array([4.0, 3, 0]), np.zeros(3, int))).sum() - 1) < 1e-9 and c.tail_log10(np.zeros(1), np.array([3]))[0] == 0
+
+
 def test_cases(spark):
     df = spark.createDataFrame([(1, "a b a", "x"), (2, None, "x"), (2, "", "x"), (None, "q", "x"), (7, "a " * 5000, "x")], "doc_id bigint, text string, row string")
     got = L.score_documents(df).collect()
