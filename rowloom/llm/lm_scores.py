@@ -285,6 +285,9 @@ def count_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def summary(counts: DataFrame) -> Counts:
     top = counts.orderBy(F.desc("c"), "word").limit(COMMON).toArrow()
     words, c = top.column("word").to_pylist(), np.array(top.column("c").to_pylist(), np.int64)
+    if words and END not in words:
+        words.append(END)
+        c = np.r_[c, counts.filter(F.col("word") == END).head()["c"]]
     if END in words[CLASSES - 1 :]:  # the end is always a class of its own
         at = words.index(END)
         words.insert(0, words.pop(at))

@@ -32,6 +32,15 @@ def test_base_and_gain(spark, monkeypatch, common):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score < 0 for r in got)
 
 
+def test_end_is_counted_whatever_its_rank(spark, monkeypatch):
+    monkeypatch.setattr(L, "COMMON", 3)
+    monkeypatch.setattr(L, "CLASSES", 3)
+    rows = [(i, "a b c d e " * 20 + f"w{i}") for i in range(12)]
+    want = brute(rows)
+    for r in L.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), epochs=1).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4] and abs(r.base_score - want[r.doc_id][4]) < 1e-6 * r.n_tokens
+
+
 def test_probabilities_sum_to_one_and_contexts_are_learnt():
     rng = np.random.default_rng(0)
     ids = np.zeros(20_000, np.int64)
