@@ -17,7 +17,8 @@ paths of a host, at most ten times the mean number of paths a page, are joined t
 elements of the same path as the story's (one of many plain paragraphs) are one branch with it and stay.
 
 Cases: null and empty html give the empty text; a null or odd url counts as the host ''. Unclosed elements end with
-their parents or the page; stray end tags are passed over. Repeated pages are treated alike. No rows give no rows.
+their parents or the page; stray end tags are passed over. A tag cut off by
+the end of the page ends the text; a '<' that begins no tag is text. Repeated pages are treated alike. No rows give no rows.
 Other columns are not read."""
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ OUTER_WORDS = frozenset("header footer banner masthead topbar toolbar alert".spl
 _CLOSES_P = BLOCKS - {"html", "body"}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_OPEN = re.compile(r"<[A-Za-z/!?]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -168,7 +170,8 @@ def parse(html: str | None) -> tuple[list[Block], list[Element]]:
                 up.children.append(key)
             stack.append(e)
             elements.append(e)
-    say(html[at:] if "<" not in html[at:] else html[at : html.index("<", at)])
+    cut = _OPEN.search(html, at)
+    say(html[at : cut.start() if cut else len(html)])
     flush()
     return blocks, elements
 

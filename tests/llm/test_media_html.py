@@ -91,6 +91,11 @@ def test_page_cases():
     assert text("<div><p>Long text here</p></div><ul><li><a href=x>link</a></li></ul><div class=ad>Buy</div>") == "Long text here"
 
 
+def test_a_sign_that_begins_no_tag_is_text():
+    assert text("<p>price < 5 euros today") == "price < 5 euros today" and text("a < b and c <3 <") == "a < b and c <3 <"
+    assert text("<p>x < y <b") == "x < y" and text("<p>x < y </") == "x < y" and text("<p>x < y <!-") == "x < y"
+
+
 def test_style_tree_cuts_what_repeats(spark):
     pages = [(i, f"http://a.b/{i}", f"<div class=top><p>Same words</p></div><div class=c{i}><p>Own text {i} here</p></div>", "x") for i in range(12)]
     pages += [(100, None, None, "x"), (101, "odd", "<p>alone</p>", "x"), (102, "http://other/", "<div class=top><p>Same words</p></div>", "x"), (None, "http://a.b/z", "", "x")]
