@@ -1,4 +1,8 @@
-"""``python -m rowloom.cli create_table SCHEMA CSV TABLE`` and ``extract_table TABLE CSV``."""
+"""``python -m rowloom.cli create_table [--binary] [--exact] [--drop-last] SCHEMA CSV TABLE`` and
+``extract_table [--binary] [--parts] TABLE CSV``.
+
+--binary: the table is one interchange file, not a Parquet folder. --exact: the exact CSV tokenizer. --drop-last: as it,
+and the last field of a file without final line break is not taken. --parts: a folder of ordered part files."""
 
 from __future__ import annotations
 
@@ -10,16 +14,21 @@ from rowloom.plans.pipeline import create_table, extract_table
 
 # Fixed value: exit status for a wrong number of arguments.
 BAD_USAGE = 111
-COMMANDS = {"create_table": (create_table, 3), "extract_table": (extract_table, 2)}
+COMMANDS = {"create_table": (create_table, 3, {"--binary": {"binary": True}, "--exact": {"exact": True}, "--drop-last": {"exact": True, "final": "drop"}}),
+            "extract_table": (extract_table, 2, {"--binary": {"binary": True}, "--parts": {"parts": True}})}
 
 
 def main(argv: list[str]) -> int:
     if not argv or argv[0] not in COMMANDS:
         return BAD_USAGE
-    run, wanted = COMMANDS[argv[0]]
-    if len(argv) - 1 != wanted:
+    run, wanted, flags = COMMANDS[argv[0]]
+    how: dict[str, object] = {}
+    for a in argv[1:]:
+        how |= flags.get(a, {})
+    places = [a for a in argv[1:] if a not in flags]
+    if len(places) != wanted:
         return BAD_USAGE
-    run(SparkSession.builder.appName(argv[0]).getOrCreate(), *argv[1:])
+    run(SparkSession.builder.appName(argv[0]).getOrCreate(), *places, **how)
     return 0
 
 

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import stored_size, stringify
+from rowloom.sources.files import evaluated
 
 #: Fixed value: rows in a batch unless a table says otherwise.
 ROWS_PER_BATCH = 100
+#: Batches of a span in :func:`batch_metadata`.
+BATCH_SPAN = 4096
 KEYS = ("row_id", "batch_id")
 
 
@@ -21,26 +24,44 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in KEYS]
 
 
+def _unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that ``df`` has as columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def number_file_rows(df: DataFrame) -> DataFrame:
-    """Consecutive ``row_id`` for rows read from files, in the order of path, block and line. ``df`` carries
-    ``_metadata``. Only per-split counts are ordered globally, never rows; the table of splits is joined without a
-    hint, so that its size decides how."""
-    marked = df.select(*[c for c in df.columns if c != "_metadata"], F.col("_metadata.file_path").alias("_path"),
-                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    splits = marked.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file split
-    splits = splits.select("_path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return marked.join(splits, ["_path", "_block"]).withColumn("row_id", F.col("_at") + F.col("_shift")).drop("_path", "_block", "_at", "_shift")
+    """Consecutive ``row_id`` for rows read from files, in the order of folder, part number (of ``part-*`` files), path,
+    block and line. ``df`` carries ``_metadata``. Only per-split counts are ordered globally, never rows; the table of
+    splits is joined without a hint, so that its size decides how."""
+    path, block, at, part, n, shift = _unused(df, "_path", "_block", "_at", "_part", "_n", "_shift")
+    marked = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "_metadata"], F.col("_metadata.file_path").alias(path),
+                       F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(at))
+    splits = marked.groupBy(path, block).agg(F.count("*").alias(n), F.min(at).alias(at))
+    order = [F.regexp_extract(path, "^(.*)/", 1), F.try_to_number(F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1), F.lit("999999999999")), path, block]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file split
+    splits = splits.select(path, block, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(at)).alias(shift))
+    return marked.join(splits, [path, block]).withColumn("row_id", F.col(at) + F.col(shift)).drop(path, block, at, shift)
 
 
 def number_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Consecutive ``row_id`` in the order of ``keys``: a range sort, then per-partition counts turned into offsets."""
+    """Consecutive ``row_id`` in the order of ``keys``: a range sort, then per-partition counts turned into offsets.
+    The sorted rows are evaluated once, into a table that has partition and place as columns, and both the counts
+    and the rows come from it: another evaluation may draw other bounds and merge other partitions."""
+    part, at, n, shift = _unused(df, "_part", "_at", "_n", "_shift")
     ordered = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    marked = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    shifts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    return marked.join(shifts, "_part").withColumn("row_id", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+    placed = ordered.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = evaluated(placed, "numbered")
+    counts = placed.groupBy(part).agg(F.count("*").alias(n))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    shifts = counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(shift))
+    return placed.join(shifts, part).withColumn("row_id", F.col(at) + F.col(shift)).drop(part, at, shift)
 
 
 def assign_batches(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH) -> DataFrame:
@@ -103,14 +124,21 @@ def columns_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("equal"))
 
 
+def _batch_sizes(df: DataFrame) -> DataFrame:
+    """batch_id, rows_cnt, bytes."""
+    size = reduce(lambda x, y: x + y, [stored_size(F.col(f"`{c}`"), df.schema[c].dataType) for c in data_columns(df)], F.lit(0).cast("bigint"))
+    return df.groupBy("batch_id").agg(F.count("*").alias("rows_cnt"), F.sum(size).alias("bytes"))
+
+
 def batch_metadata(df: DataFrame) -> DataFrame:
-    """For each batch: byte offset in the binary layout, columns, rows and bytes. The running sum orders one row
-    for each batch of the table, not its rows."""
-    names = data_columns(df)
-    size = reduce(lambda x, y: x + y, [stored_size(F.col(f"`{c}`"), df.schema[c].dataType) for c in names], F.lit(0).cast("bigint"))
-    per = df.groupBy("batch_id").agg(F.count("*").alias("rows_cnt"), F.sum(size).alias("bytes"))
-    before = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select("batch_id", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"), F.lit(len(names)).cast("bigint").alias("columns_cnt"), "rows_cnt", "bytes")
+    """For each batch: byte offset in the binary layout, columns, rows and bytes. Offsets are prefix sums in two levels,
+    over spans of BATCH_SPAN batches and within each: one task orders one row for each span, never the batches."""
+    per = _batch_sizes(df).withColumn("_span", F.floor(F.col("batch_id") / BATCH_SPAN))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    spans = per.groupBy("_span").agg(F.sum("bytes").alias("_all")).select("_span", so_far("_all", Window.orderBy("_span")).alias("_start"))
+    placed = per.withColumn("_within", so_far("bytes", Window.partitionBy("_span").orderBy("batch_id"))).join(spans, "_span")
+    return placed.select("batch_id", (F.col("_start") + F.col("_within")).alias("offset"), F.lit(len(data_columns(df))).cast("bigint").alias("columns_cnt"), "rows_cnt", "bytes")
 
 
 def batch_count(df: DataFrame) -> DataFrame:
@@ -120,5 +148,5 @@ def batch_count(df: DataFrame) -> DataFrame:
 def layout_size(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     """Bytes of the table as one binary file: data, footer and the footer's pointer."""
     footer = 8 + sum(16 + len(n.encode()) + len(t.encode()) for n, t in fields) + 8 + 8
-    total = batch_metadata(df).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("data"), F.count("*").alias("batches"))
+    total = _batch_sizes(df).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("data"), F.count("*").alias("batches"))
     return total.select((F.col("data") + F.lit(footer) + F.lit(24) * F.col("batches")).cast("bigint").alias("file_bytes"))

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from rowloom.functions import data_type_of, token_of
+from rowloom.sources.exact_csv import tokenize
 
 _NAME = "declared_name"
 
@@ -59,8 +60,9 @@ def of_frame(frame_schema: T.StructType) -> T.StructType:
 
 
 def parse_descriptor(text: str) -> T.StructType:
-    """Every line must have exactly two fields; no line at all is a schema without columns."""
-    rows = list(csv.reader(io.StringIO(text, newline=""), strict=True, lineterminator="\n"))
+    """Every line must have exactly two fields, by the exact tokenizer, for which a carriage return is data; no line
+    at all is a schema without columns."""
+    rows = list(tokenize(text))
     for row in rows:
         if len(row) != 2:
             raise ValueError(f"a schema line needs 2 fields, not {len(row)}: {row}")

@@ -3,18 +3,19 @@ written and read back, never taken from the input tables directly."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom import cli
 from rowloom.functions import csv_line, parse_int64
 from rowloom.operators import batches as B
-from rowloom.plans.pipeline import extract_table, import_csv
-from rowloom.plans.schema import fields_of, make_schema, of_frame, read_descriptor, same_schema, write_descriptor
-from rowloom.sources.csv_files import write_single_file
+from rowloom.plans.pipeline import csv_rows, extract_table, import_csv
+from rowloom.plans.schema import column_count, field_at, fields_of, make_schema, of_frame, read_descriptor, same_schema, write_descriptor
+from rowloom.sources.csv_files import Dialect, write_ordered_files, write_single_file
+from rowloom.sources.exact_csv import read_records
+from rowloom.sources.files import work_path, write_text
 from rowloom.sources.store import open_table, read_batch, table_schema, write_table
 
 #: Tables within the integer and string model: key for the row order, and columns (name, token).
@@ -28,12 +29,6 @@ TABLES = {
 }
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/rowloom"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table's usable columns as int64 and string, nulls as zero and empty, numbered in key order."""
     key, fields = TABLES[name]
@@ -49,27 +44,79 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return open_table(spark, path)
 
 
-def roundtrip(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Table to CSV, CSV to table, table to CSV, and that CSV to the rows returned."""
+def roundtrip(name: str, parts: bool = True, exact: bool = False, dialect: Dialect = Dialect()) -> Callable[[SparkSession, str], DataFrame]:
+    """Table to CSV, CSV to table, table to CSV, and that CSV to the rows returned; by ordered part files, or by one
+    file."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema = make_schema(TABLES[name][1])
-        first, table, second, again = (work_path(spark, f"{name}-{x}") for x in ("a.csv", "table", "b.csv", "again"))
-        write_single_file(source(spark, sf_dir, name), first, "row_id")
-        import_csv(spark, schema, first, table)
-        extract_table(spark, table, second)
-        import_csv(spark, schema, second, again)
-        return open_table(spark, again).drop("batch_id")
+        first, table, second = (work_path(spark, f"{name}-{x}") for x in ("a.csv", "table", "b.csv"))
+        (write_ordered_files if parts else write_single_file)(source(spark, sf_dir, name), first, "row_id", dialect)
+        import_csv(spark, schema, first, table, dialect=dialect, exact=exact)
+        extract_table(spark, table, second, dialect, parts=parts)
+        return csv_rows(spark, schema, second, dialect, exact=exact).drop("batch_id")
+
+    return run
+
+
+def binary_roundtrip(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from rowloom.sources.binary_file import read_batch_file, write_batch_file
+
+        path = work_path(spark, f"{name}.bin")
+        write_batch_file(B.assign_batches(source(spark, sf_dir, name)), path)
+        return read_batch_file(spark, path)
 
     return run
 
 
-def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rowloom.sources.binary_file import read_batch_file, write_batch_file
+def cli_roundtrip(*flags: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The commands: a descriptor and a CSV file to a table, the table to a CSV file, read as it says."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schema = make_schema(TABLES["events"][1])
+        descriptor, first, table, second = (work_path(spark, x) for x in ("schema.csv", "a.csv", "table", "b.csv"))
+        write_descriptor(spark, schema, descriptor)
+        write_single_file(source(spark, sf_dir, "events"), first, "row_id")
+        if cli.main(["create_table", *flags, descriptor, first, table]) or cli.main(["extract_table", *flags, table, second]):
+            raise RuntimeError("a command failed")
+        return csv_rows(spark, schema, second).drop("batch_id")
+
+    return run
+
+
+def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one to three fields, by the exact reader: a document's id, then text and source of some."""
+    path = work_path(spark, "ragged.csv")
+    docs, third = source(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    lines = docs.select("row_id", F.when(third == 0, csv_line(F.col("doc_id"))).when(third == 1, csv_line(F.col("doc_id"), F.col("text")))
+                        .otherwise(csv_line(F.col("doc_id"), F.col("text"), F.col("source"))).alias("line"))
+    lines.repartitionByRange("row_id").sortWithinPartitions("row_id").select("line").write.text(path)
+    rows = read_records(spark, path)
+    return rows.select("row_id", F.size("fields").alias("width"), *[F.get("fields", F.lit(i)).alias(f"f{i}") for i in range(3)])
+
+
+def dropped_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a file whose last line has no line break, by both rules for its last field."""
+    path = work_path(spark, "open.csv")
+    write_text(spark, path, 'a,b\n"x ""y""",,z')
+    keep, drop = (read_records(spark, path, final=f).select(F.lit(f).alias("final"), "row_id", F.array_join("fields", "|").alias("fields")) for f in ("keep", "drop"))
+    return keep.unionByName(drop)
+
+
+def batch_ctors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch without columns, one of typed columns, and one of a table's rows, by their counts."""
+    schema = make_schema([("k", "int64"), ("v", "string")])
+    made = B.batch_of_columns(spark, [[4, 5, 6], ["x", "", "z"]], schema)
+    empty = B.empty_batch(spark, make_schema([]))
+    rows = read_batch(stored(spark, sf_dir, "nation"), 0)
+    out = [(n, B.column_count(b), B.is_empty(b), b.count()) for n, b in (("empty", empty), ("columns", made), ("rows", rows))]
+    return spark.createDataFrame(out, "made string, columns bigint, empty boolean, n bigint")
+
 
-    path = work_path(spark, "nation.bin").removeprefix("file://")
-    write_batch_file(B.assign_batches(source(spark, sf_dir, "nation")), path, 10)
-    return read_batch_file(spark, path)
+def schema_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table_schema(stored(spark, sf_dir, "documents"))
+    return spark.createDataFrame([(column_count(s), i, *field_at(s, i)) for i in range(column_count(s))], "n bigint, pos bigint, name string, type string")
 
 
 def schema_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +152,17 @@ def added(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"csv_roundtrip_{n}": roundtrip(n) for n in TABLES}
     return out | {
-        "binary_roundtrip": binary_roundtrip,
+        "csv_roundtrip_single_file": roundtrip("nation", parts=False),
+        "csv_roundtrip_dialect": roundtrip("conversations", dialect=Dialect(";", "'", "|")),
+        "csv_roundtrip_exact": roundtrip("pages", exact=True),
+        "csv_ragged": ragged,
+        "csv_final_field": dropped_field,
+        "binary_roundtrip": binary_roundtrip("documents"),
+        "binary_roundtrip_nation": binary_roundtrip("nation"),
+        "cli_roundtrip": cli_roundtrip(),
+        "cli_roundtrip_binary": cli_roundtrip("--binary"),
+        "batch_ctors": batch_ctors,
+        "schema_fields": schema_fields,
         "schema_descriptor": schema_descriptor,
         "schema_equality": schema_equality,
         "csv_line": _lines,
@@ -142,7 +199,19 @@ def oracle_sql() -> dict[str, str]:
     quoted = lambda c: f"""'"' || replace(CAST({c} AS VARCHAR), '"', '""') || '"'"""
     descriptor = ", ".join(f"({i}::BIGINT, '{n}', '{t}')" for i, (n, t) in enumerate(TABLES["documents"][1]))
     return {f"csv_roundtrip_{n}": _numbered(n) for n in TABLES} | {
-        "binary_roundtrip": f"SELECT *, row_id // 10 AS batch_id FROM ({_numbered('nation')})",
+        "csv_roundtrip_single_file": _numbered("nation"),
+        "csv_roundtrip_dialect": _numbered("conversations"),
+        "csv_roundtrip_exact": _numbered("pages"),
+        "csv_ragged": f"""{docs} SELECT row_id, CAST(doc_id % 3 + 1 AS INT) AS width, CAST(doc_id AS VARCHAR) AS f0, CASE WHEN doc_id % 3 > 0 THEN text END AS f1,
+            CASE WHEN doc_id % 3 = 2 THEN source END AS f2 FROM t""",
+        "csv_final_field": """SELECT * FROM (VALUES ('keep', 0::BIGINT, 'a|b'), ('keep', 1::BIGINT, 'x "y"||z'), ('drop', 0::BIGINT, 'a|b'), ('drop', 1::BIGINT, 'x "y"|'))
+            v("final", row_id, fields)""",
+        "binary_roundtrip": f"SELECT *, row_id // 100 AS batch_id FROM ({_numbered('documents')})",
+        "binary_roundtrip_nation": f"SELECT *, row_id // 100 AS batch_id FROM ({_numbered('nation')})",
+        "cli_roundtrip": _numbered("events"),
+        "cli_roundtrip_binary": _numbered("events"),
+        "batch_ctors": "SELECT 'empty' AS made, 0::BIGINT AS columns, true AS empty, 0::BIGINT AS n UNION ALL SELECT 'columns', 2, false, 3 UNION ALL SELECT 'rows', 3, false, count(*) FROM nation",
+        "schema_fields": f"SELECT {len(TABLES['documents'][1])}::BIGINT AS n, pos, name, type FROM (VALUES {descriptor}) v(pos, name, type)",
         "schema_descriptor": f"SELECT * FROM (VALUES {descriptor}) v(pos, name, type)",
         "schema_equality": "SELECT true AS same, false AS other, true AS itself",
         "csv_line": f"SELECT doc_id, {quoted('doc_id')} || ',' || {quoted('text')} || ',' || {quoted('lang')} || ',' || {quoted('source')} AS line FROM documents",

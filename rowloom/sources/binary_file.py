@@ -2,9 +2,10 @@
 and so on; an integer is 8 bytes, a string an 8-byte length and its bytes, little-endian; then a footer with the
 schema, the number of batches and (offset, columns, rows) of each; the last 8 bytes point at the footer.
 
-Reading plans one partition for each batch and prunes them by a filter on ``batch_id``
-(``spark.sql.python.filterPushdown.enabled``); writing takes rows with ``row_id`` in one sorted task, as a single
-file requires. Options: path, rows_per_batch. Files are local or mounted, and the driver sees them."""
+Reading plans a partition for each run of batches of PARTITION_BYTES or more and prunes them by a filter on
+``batch_id`` (``spark.sql.python.filterPushdown.enabled``); writing takes rows with ``row_id`` in one sorted task, as a
+single file requires. Options: path, rows_per_batch, strings (``binary``: text as bytes that needn't be UTF-8, which is
+refused otherwise). Files are local or mounted, and the driver sees them."""
 
 from __future__ import annotations
 
@@ -16,12 +17,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from rowloom.functions import INT64, STRING
 from rowloom.operators.batches import ROWS_PER_BATCH
-from rowloom.plans.schema import fields_of, make_schema
+from rowloom.plans.schema import fields_of, flat, make_schema
 
+#: Data of the batches that one partition reads.
+PARTITION_BYTES = 32 << 20
 _INT = struct.Struct("<q")
 _SPAN = struct.Struct("<qqq")
 
@@ -42,7 +45,7 @@ def encode_column(values: list, token: str) -> bytes:
 
 
 def encode_footer(footer: Footer, at: int) -> bytes:
-    head = _INT.pack(len(footer.fields)) + b"".join(encode_text(x) for pair in footer.fields for x in pair)
+    head = b"".join(_INT.pack(x) if isinstance(x, int) else encode_text(x) for x in flat(make_schema(footer.fields)))
     return head + _INT.pack(len(footer.batches)) + b"".join(_SPAN.pack(*b) for b in footer.batches) + _INT.pack(at)
 
 
@@ -71,15 +74,18 @@ def read_footer(path: str) -> Footer:
     return Footer(fields, [(number(), number(), number()) for _ in range(number())])
 
 
-def decode_batch(path: str, footer: Footer, n: int) -> list[list]:
-    """The columns that batch ``n`` has, which may be fewer than the schema's."""
-    offset, width, rows = footer.batches[n]
-    end = footer.batches[n + 1][0] if n + 1 < len(footer.batches) else None
-    with open(path, "rb") as f:
-        f.seek(offset)
-        raw = memoryview(f.read() if end is None else f.read(end - offset))
+def local_path(path: str) -> str:
+    """The path for Python's file calls; ValueError for a store that they can't open."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{path}: binary files are on local or mounted paths")
+    return "/" + rest.lstrip("/") if scheme else path
+
+
+def decode_columns(raw: memoryview, tokens: list[str], rows: int, as_bytes: bool = False) -> list[list]:
+    """The values of a batch's columns."""
     at, out = 0, []
-    for _, token in footer.fields[:width]:
+    for token in tokens:
         if token == INT64:
             out.append(list(struct.unpack_from(f"<{rows}q", raw, at)))
             at += 8 * rows
@@ -87,20 +93,24 @@ def decode_batch(path: str, footer: Footer, n: int) -> list[list]:
         column = []
         for _ in range(rows):
             n_bytes = _INT.unpack_from(raw, at)[0]
-            column.append(bytes(raw[at + 8 : at + 8 + n_bytes]).decode())
+            value = bytes(raw[at + 8 : at + 8 + n_bytes])
+            column.append(value if as_bytes else value.decode())
             at += 8 + n_bytes
         out.append(column)
     return out
 
 
-class BatchPartition(InputPartition):
-    def __init__(self, n: int, first: int) -> None:
-        super().__init__((n, first))
+@dataclass
+class BatchRun(InputPartition):
+    """Consecutive batches: ordinal, first row, offset, end (None: of the file), columns and rows of each."""
+
+    spans: list[tuple[int, int, int, int | None, int, int]]
 
 
 class BatchFileReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path, self.only = path, None
+    def __init__(self, path: str, as_bytes: bool) -> None:
+        self.path, self.as_bytes, self.only = path, as_bytes, None
+        self.fields = read_footer(path).fields
 
     def pushFilters(self, filters):
         for f in filters:
@@ -110,24 +120,29 @@ class BatchFileReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        first, out = 0, []
-        for n, (_, _, rows) in enumerate(read_footer(self.path).batches):
+        batches, first = read_footer(self.path).batches, 0
+        runs: list[list[tuple]] = []
+        for n, (offset, width, rows) in enumerate(batches):
+            end = batches[n + 1][0] if n + 1 < len(batches) else None
             if self.only in (None, n):
-                out.append(BatchPartition(n, first))
+                if not runs or offset - runs[-1][0][2] >= PARTITION_BYTES:
+                    runs.append([])
+                runs[-1].append((n, first, offset, end, width, rows))
             first += rows
-        return out or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if partition.value is None:
-            return
-        n, first = partition.value
-        footer = read_footer(self.path)
-        columns, rows = decode_batch(self.path, footer, n), footer.batches[n][2]
-        kinds = [pa.int64() if token == INT64 else pa.string() for _, token in footer.fields]
-        arrays = [pa.array(columns[i] if i < len(columns) else [None] * rows, kind) for i, kind in enumerate(kinds)]
-        keys = [pa.array(range(first, first + rows), pa.int64()), pa.array([n] * rows, pa.int64())]
-        names = ["row_id", "batch_id", *[f.name for f in make_schema(footer.fields).fields]]
-        yield pa.RecordBatch.from_arrays([*keys, *arrays], names)
+        return [BatchRun(r) for r in runs] or [BatchRun([])]
+
+    def read(self, partition: BatchRun) -> Iterator[pa.RecordBatch]:
+        fields = self.fields
+        kinds = [pa.int64() if token == INT64 else pa.binary() if self.as_bytes else pa.string() for _, token in fields]
+        names = ["row_id", "batch_id", *[f.name for f in make_schema(fields).fields]]
+        with open(self.path, "rb") as f:
+            for n, first, offset, end, width, rows in partition.spans:
+                f.seek(offset)
+                raw = memoryview(f.read() if end is None else f.read(end - offset))
+                columns = decode_columns(raw, [token for _, token in fields[:width]], rows, self.as_bytes)
+                arrays = [pa.array(columns[i] if i < len(columns) else [None] * rows, kind) for i, kind in enumerate(kinds)]
+                keys = [pa.array(range(first, first + rows), pa.int64()), pa.array([n] * rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*keys, *arrays], names)
 
 
 class BatchFileWriter(DataSourceArrowWriter):
@@ -172,16 +187,21 @@ class BatchFile(DataSource):
     def name(cls) -> str:
         return "batch_file"
 
+    @property
+    def as_bytes(self) -> bool:
+        return self.options.get("strings") == "binary"
+
     def schema(self) -> StructType:
         keys = [StructField("row_id", LongType()), StructField("batch_id", LongType())]
-        fields = make_schema(read_footer(self.options["path"]).fields).fields
-        return StructType([*keys, *[StructField(f.name, f.dataType, True, f.metadata) for f in fields]])
+        fields = make_schema(read_footer(local_path(self.options["path"])).fields).fields
+        kind = lambda f: BinaryType() if self.as_bytes and f.dataType == StringType() else f.dataType
+        return StructType([*keys, *[StructField(f.name, kind(f), True, f.metadata) for f in fields]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return BatchFileReader(self.options["path"])
+        return BatchFileReader(local_path(self.options["path"]), self.as_bytes)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return BatchFileWriter(self.options["path"], schema, int(self.options.get("rows_per_batch", ROWS_PER_BATCH)))
+        return BatchFileWriter(local_path(self.options["path"]), schema, int(self.options.get("rows_per_batch", ROWS_PER_BATCH)))
 
 
 def register(spark: SparkSession) -> None:
@@ -196,9 +216,9 @@ def write_batch_file(table: DataFrame, path: str, rows_per_batch: int = ROWS_PER
     rows.write.format("batch_file").mode("overwrite").options(path=path, rows_per_batch=rows_per_batch).save()
 
 
-def read_batch_file(spark: SparkSession, path: str) -> DataFrame:
+def read_batch_file(spark: SparkSession, path: str, strings: str = "text") -> DataFrame:
     register(spark)
-    return spark.read.format("batch_file").options(path=path).load()
+    return spark.read.format("batch_file").options(path=path, strings=strings).load()
 
 
-__all__ = ["STRING", "Footer", "decode_batch", "encode_footer", "read_batch_file", "read_footer", "register", "write_batch_file"]
+__all__ = ["STRING", "Footer", "decode_columns", "encode_footer", "read_batch_file", "read_footer", "register", "write_batch_file"]

@@ -1,95 +1,96 @@
-"""``exact_csv``: a data source that tokenises a CSV file byte by byte under the strict record rules, for the cases
-in which the built-in parser differs: a blank line is a record with one empty field, a lone quote in an unquoted
-field or text after a closing quote is malformed, and doubled quotes collapse in unquoted fields too.
+"""CSV by the strict record rules, for the cases in which the built-in parser differs: a blank line is a record with one
+empty field, a lone quote in an unquoted field or text after a closing quote is malformed, and doubled quotes collapse
+in unquoted fields too. Records may differ in their number of fields.
 
-Options: path, width, delimiter, quote, linebreak, final (``keep``: a last record without line break is a record;
-``drop``: its last field is not taken), malformed (``raise``, or ``stop``: records end there). One task reads one
-file, found through Python's file system calls: use it for local or mounted files."""
+A field is either quoted (anything, quotes doubled) or bare (no delimiter or line break, quotes doubled, not at its
+start), and ends at a delimiter, a line break or the end of the file: one compiled pattern matches field and end.
+
+Files are read by Spark, so any store it knows will do; one task tokenises one file, which must be UTF-8 and under 2 GB:
+give larger inputs as several files, such as :func:`rowloom.sources.csv_files.write_ordered_files` makes."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowloom.operators.batches import number_file_rows
+from rowloom.sources.csv_files import Dialect
+
+#: Records of an Arrow batch.
+RECORDS = 4096
 
 
 class MalformedRecord(ValueError):
     pass
 
 
-def tokenize(text: str, delimiter: str = ",", quote: str = '"', linebreak: str = "\n", final: str = "keep", malformed: str = "raise") -> Iterator[list[str]]:
-    """Records of ``text``. A field is bare, quoted or closed; what may follow depends on that alone."""
-    i, n = 0, len(text)
-    while i < n:
-        record: list[str] = []
-        field: list[str] = []
-        state, ended, bad = "bare", False, None
-        while i < n and not ended and bad is None:
-            c = text[i]
-            i += 1
-            if c == quote:
-                if state == "bare" and not field:
-                    state = "quoted"
-                elif i < n and text[i] == quote:
-                    field.append(quote)
-                    i += 1
-                elif state == "bare":
-                    bad = "quote inside an unquoted field"
-                else:
-                    state = "closed"
-            elif state == "quoted":
-                field.append(c)
-            elif c in (delimiter, linebreak):
-                record.append("".join(field))
-                field, state, ended = [], "bare", c == linebreak
-            elif state == "bare":
-                field.append(c)
-            else:
-                bad = "text after a closing quote"
-        if bad is None and not ended and final == "keep":
-            if state == "quoted":
-                bad = "quoted field without end"
-            else:
-                record.append("".join(field))
-        if bad is not None:
-            if malformed == "stop":
-                return
-            raise MalformedRecord(bad)
-        yield record
-
-
-class ExactCsvReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition):
-        o = self.options
-        width = int(o["width"])
-        marks = (o.get("delimiter", ","), o.get("quote", '"'), o.get("linebreak", "\n"))
-        with open(o["path"].removeprefix("file://"), encoding="utf-8", newline="") as f:
-            text = f.read()
-        for i, record in enumerate(tokenize(text, *marks, final=o.get("final", "keep"), malformed=o.get("malformed", "raise"))):
-            if len(record) != width:
-                raise MalformedRecord(f"record {i} has {len(record)} fields, not {width}")
-            yield (i, *record)
-
-
-class ExactCsv(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "exact_csv"
-
-    def schema(self) -> StructType:
-        return StructType([StructField("row_id", LongType()), *[StructField(f"_c{i}", StringType()) for i in range(int(self.options["width"]))]])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return ExactCsvReader(dict(self.options))
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ExactCsv)
+def field_pattern(dialect: Dialect) -> re.Pattern[str]:
+    """Groups: what a quoted field holds, a bare field, what ends it."""
+    d, q, n = map(re.escape, (dialect.delimiter, dialect.quote, dialect.linebreak))
+    quoted, bare = f"{q}((?:[^{q}]|{q}{q})*+){q}", f"((?:[^{d}{q}{n}](?:[^{d}{q}{n}]|{q}{q})*+)?)"
+    return re.compile(f"(?:{quoted}|{bare})({d}|{n}|\\Z)")
+
+
+def tokenize(text: str, dialect: Dialect = Dialect(), final: str = "keep", malformed: str = "raise") -> Iterator[list[str]]:
+    """Records of ``text``. ``final``: ``keep``, a last record without line break is a record; ``drop``, its last field
+    is not taken. ``malformed``: ``raise``, or ``stop``, records end before the malformed one."""
+    field, quote = field_pattern(dialect).match, dialect.quote
+    record: list[str] = []
+    at, begun = 0, False
+    while at < len(text) or begun:
+        if (m := field(text, at)) is None:
+            if final == "drop" and _open_ended(text, at, dialect):
+                yield record
+            elif malformed == "raise":
+                raise MalformedRecord(f"at character {at}: {'quoted field without end, or text after its closing quote' if text.startswith(quote, at) else 'quote inside an unquoted field'}")
+            return
+        quoted, bare, end = m.groups()
+        at = m.end()
+        if end == "" and final == "drop":
+            yield record
+            return
+        record.append((bare if quoted is None else quoted).replace(quote * 2, quote))
+        begun = end == dialect.delimiter
+        if not begun:
+            yield record
+            record = []
+
+
+def _open_ended(text: str, at: int, dialect: Dialect) -> bool:
+    """Whether the field at ``at`` is quoted and has no closing quote."""
+    q = re.escape(dialect.quote)
+    return re.compile(f"{q}(?:[^{q}]|{q}{q})*+\\Z").match(text, at) is not None
+
+
+def read_records(spark: SparkSession, path: str, dialect: Dialect = Dialect(), final: str = "keep", malformed: str = "raise") -> DataFrame:
+    """``row_id`` and ``fields`` (array of string) of each record, in the order of files and records. With
+    ``malformed='stop'`` a file's records end before its first malformed one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(path: str, records: list[list[str]]) -> pa.RecordBatch:
+            meta = pa.array([{"file_path": path, "file_block_start": 0}] * len(records), pa.struct([("file_path", pa.string()), ("file_block_start", pa.int64())]))
+            return pa.RecordBatch.from_arrays([pa.array(records, pa.list_(pa.string())), meta], names=["fields", "_metadata"])
+
+        for b in batches:
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                records = []
+                for record in tokenize(raw.as_py().decode(), dialect, final, malformed):
+                    records.append(record)
+                    if len(records) == RECORDS:
+                        yield batch(path, records)
+                        records = []
+                if records:
+                    yield batch(path, records)
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content"))
+    return number_file_rows(files.mapInArrow(run, "fields array<string>, _metadata struct<file_path: string, file_block_start: bigint>")).select("row_id", "fields")
+
+
+def read_fixed_width(spark: SparkSession, path: str, width: int, dialect: Dialect = Dialect(), final: str = "keep", malformed: str = "raise") -> DataFrame:
+    """``row_id`` and text columns ``_c0.._c{width-1}``; a record of another width raises when it is read."""
+    rows = read_records(spark, path, dialect, final, malformed)
+    wrong = F.raise_error(F.concat(F.lit("record "), F.col("row_id"), F.lit(" has "), F.size("fields"), F.lit(f" fields, not {width}"))).cast("string")
+    return rows.select("row_id", *[F.when(F.size("fields") != width, wrong).otherwise(F.get("fields", F.lit(i))).alias(f"_c{i}") for i in range(width)])

@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_folder: list[str] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in
+    tests on one machine, in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _own_folder:
+            _own_folder.append(f"file://{tempfile.mkdtemp(prefix='rowloom-tables-')}")
+        base = _own_folder[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def evaluated(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: every later use sees the same rows, and what an
+    executor loses is read again."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -10,10 +10,10 @@ from rowloom import cli
 from rowloom.functions import data_type_of, parse_int64, token_of
 from rowloom.operators import batches as B
 from rowloom.plans import schema as S
-from rowloom.plans.pipeline import create_table, extract_table, import_csv
-from rowloom.sources.binary_file import read_batch_file, read_footer, write_batch_file
-from rowloom.sources.csv_files import Dialect, read_text_rows, write_rows, write_single_file
-from rowloom.sources.exact_csv import MalformedRecord, tokenize
+from rowloom.plans.pipeline import create_table, csv_rows, extract_table, import_csv
+from rowloom.sources.binary_file import local_path, read_batch_file, read_footer, write_batch_file
+from rowloom.sources.csv_files import Dialect, read_text_rows, write_ordered_files, write_rows, write_single_file
+from rowloom.sources.exact_csv import MalformedRecord, read_records, tokenize
 from rowloom.sources.store import open_table, read_batch, table_metadata, table_schema
 
 
@@ -98,7 +98,7 @@ def test_schema_descriptor(spark, tmp_path):
     assert S.flat(s)[:3] == [4, "a", "int64"] and S.field_at(s, 1) == ("x,y", "string")
     for bad in ("a\n", "a,int64,z\n", "a,INT64\n", "a, int64\n", "a,int64\r\n", "a,float\n", "\n"):
         with pytest.raises(ValueError):
-            S.parse_descriptor(bad.replace("\r\n", "\r\n") if "\r" not in bad else 'a,"int64\r"\n')
+            S.parse_descriptor(bad)
     for token in ("int64", "string"):
         assert token_of(data_type_of(token)) == token
 
@@ -198,3 +198,142 @@ def test_any_text_survives(spark, tmp_path_factory, data):
     import_csv(spark, schema, str(tmp / "a.csv"), str(tmp / "t"))
     assert [(r.t, r.n) for r in open_table(spark, str(tmp / "t")).sort("row_id").collect()] == data
     assert list(tokenize((tmp / "a.csv").read_bytes().decode())) == [[x, str(n)] for x, n in data]
+
+
+def plain_records(text):
+    """The record rules, a character at a time; None if malformed."""
+    out, record, i = [], [], 0
+    while i < len(text):
+        field = ""
+        if text[i] == '"':
+            i += 1
+            while True:
+                if i >= len(text):
+                    return None
+                if text[i] != '"':
+                    field, i = field + text[i], i + 1
+                elif text[i + 1 : i + 2] == '"':
+                    field, i = field + '"', i + 2
+                else:
+                    i += 1
+                    break
+            if i < len(text) and text[i] not in ",\n":
+                return None
+        else:
+            while i < len(text) and text[i] not in ",\n":
+                if text[i] == '"':
+                    if text[i + 1 : i + 2] != '"':
+                        return None
+                    i += 1
+                field, i = field + text[i], i + 1
+        record.append(field)
+        if i < len(text) and text[i] == ",":
+            i += 1
+            if i == len(text):
+                out.append([*record, ""])
+            continue
+        i += 1
+        out.append(record)
+        record = []
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text('a",\n\r', max_size=12))
+def test_tokenizer_against_the_rules(text):
+    want = plain_records(text)
+    if want is None:
+        with pytest.raises(MalformedRecord):
+            list(tokenize(text))
+    else:
+        assert list(tokenize(text)) == want
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+@pytest.mark.parametrize("partitions", [16, 40])
+def test_rows_are_numbered_by_rank(spark, coalesce, partitions):
+    """Over many range partitions, with wide rows, repeated keys and clashing names, each row once and by its rank."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": coalesce, "spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 30_000
+        df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("k"), (F.col("id") % 7).alias("_part"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"), "id")
+        rows = B.number_by_key(df, ["k", "id"])
+        assert sorted(rows.columns) == sorted([*df.columns, "row_id"])
+        got = rows.select("row_id", "k", "id", "_part", F.length("wide").alias("w")).sort("row_id").collect()
+        want = sorted((r.k, r.id) for r in df.select("k", "id").collect())
+        assert [r.row_id for r in got] == list(range(n)) and [(r.k, r.id) for r in got] == want
+        assert all(r["_part"] == r.id % 7 and r.w == 256 for r in got)
+        assert B.number_by_key(df.limit(0), ["k"]).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_part_files_in_number_order(spark, tmp_path):
+    for k in (9, 10, 99999, 100000):
+        put(tmp_path / f"part-{k:05d}-x.csv", f"{k}\n")
+    rows = B.number_file_rows(read_text_rows(spark, str(tmp_path), 1)).sort("row_id").collect()
+    assert [r._c0 for r in rows] == ["9", "10", "99999", "100000"]
+
+
+def test_ordered_part_files(spark, tmp_path):
+    df = spark.range(5000).select((4999 - F.col("id")).alias("row_id"), F.concat(F.lit('q"\n,'), F.col("id").cast("string")).alias("t"))
+    for exact in (False, True):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        write_ordered_files(df, str(tmp_path / "f"), "row_id")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(list((tmp_path / "f").glob("part-*"))) > 1
+        rows = csv_rows(spark, S.make_schema([("t", "string")]), str(tmp_path / "f"), exact=exact).sort("row_id").collect()
+        assert [r.t for r in rows] == [f'q"\n,{4999 - i}' for i in range(5000)] and rows[-1].batch_id == 49
+
+
+def test_ragged_records(spark, tmp_path):
+    path = put(tmp_path / "r.csv", 'a,b,c\n"two\nlines",x\n\n1,2\n')
+    assert [r.fields for r in read_records(spark, path).sort("row_id").collect()] == [["a", "b", "c"], ["two\nlines", "x"], [""], ["1", "2"]]
+    assert read_records(spark, put(tmp_path / "e.csv", "")).count() == 0
+    bad = put(tmp_path / "b.csv", 'k\n"a"x\nz\n')
+    assert [r.fields for r in read_records(spark, bad, malformed="stop").collect()] == [["k"]]
+
+
+def test_offsets_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(B, "BATCH_SPAN", 3)
+    t = B.assign_batches(spark.range(1000).select(F.col("id").alias("row_id"), F.repeat(F.lit("x"), (F.col("id") % 11).cast("int")).alias("t")), 10)
+    at = 0
+    for r in B.batch_metadata(t).sort("batch_id").collect():
+        assert r.offset == at
+        at += r.bytes
+
+
+def test_binary_strings_as_bytes(spark, tmp_path):
+    raw = struct.pack("<q", 3) + b"\xff\x00a"
+    from rowloom.sources.binary_file import Footer, encode_footer
+
+    (tmp_path / "n.bin").write_bytes(raw + encode_footer(Footer([("b", "string")], [(0, 1, 1)]), len(raw)))
+    assert bytes(read_batch_file(spark, str(tmp_path / "n.bin"), "binary").collect()[0].b) == b"\xff\x00a"
+    with pytest.raises(Exception):
+        read_batch_file(spark, str(tmp_path / "n.bin")).collect()
+    with pytest.raises(ValueError):
+        local_path("hdfs://host/x.bin")
+
+
+def test_binary_runs_of_batches(spark, tmp_path, monkeypatch):
+    t = B.assign_batches(spark.range(1050).select(F.col("id").alias("row_id"), F.repeat(F.lit("y"), F.lit(20)).alias("t")))
+    write_batch_file(t, str(tmp_path / "x.bin"))
+    assert read_batch_file(spark, str(tmp_path / "x.bin")).rdd.getNumPartitions() == 1
+    rows = read_batch_file(spark, str(tmp_path / "x.bin")).sort("row_id").collect()
+    assert [(r.row_id, r.batch_id) for r in rows] == [(i, i // 100) for i in range(1050)]
+
+
+def test_cli_forms(spark, tmp_path):
+    s, d, t, o = put(tmp_path / "s", "a,string\nb,string\n"), put(tmp_path / "d", 'x""y,1\n\n'), str(tmp_path / "t"), str(tmp_path / "o")
+    with pytest.raises(Exception):  # the blank line is a record of one field
+        cli.main(["create_table", "--exact", s, d, t])
+    d = put(tmp_path / "d2", 'x""y,1\n')
+    assert cli.main(["create_table", "--exact", "--binary", s, d, f"{t}.bin"]) == 0 and cli.main(["extract_table", "--binary", f"{t}.bin", o]) == 0
+    assert open(o).read() == '"x""y","1"\n'
+    d = put(tmp_path / "d3", "p,q\nr,s,open")
+    assert cli.main(["create_table", "--drop-last", s, d, t]) == 0 and cli.main(["extract_table", "--parts", t, f"{o}.parts"]) == 0
+    assert "".join(p.read_text() for p in sorted((tmp_path / "o.parts").glob("part-*"))) == '"p","q"\n"r","s"\n'
