@@ -30,10 +30,12 @@ read."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import deleted, freed, table, words_of, written
@@ -48,6 +50,8 @@ _NULL_ID = -(1 << 63)
 #: those have one of the sketch. Sets that may be linked to either kind have both.
 PARITY_WORDS, SMALL = 8, 800
 _WHOLE, _SKETCH = [f"w{i}" for i in range(PARITY_WORDS)], [f"s{i}" for i in range(PARITY_WORDS)]
+#: Retained values before a list's own that tell whether two of its classes have met in another.
+PRIOR = 4
 #: Words of 64 bits in the bitmap that tells which rows' texts are wanted: 2 MB at most, whatever the input.
 BITMAP_WORDS = 1 << 17
 
@@ -213,8 +217,11 @@ def list_pairs(lists: DataFrame, bitmaps: DataFrame, percent: int, shared: int)
     """lists(node, n, v, pos, comp): distinct pairs (a, b) of each list's classes in different components that may be
     links. ``pos`` is the value's place among the class's retained values, rarest first, and ``top`` the largest of
     these. At the first value that two classes have in common, those before it in the class of the smaller ``top``
-    would be retained by the other if it had them: so many members it lacks at the least."""
-    own = lists.join(bitmaps.drop("n"), "node")
+    would be retained by the other if it had them: so many members it lacks at the least. Two classes meet in every
+    list that they share, but are passed over where one of the PRIOR values before it is common too: they have met at
+    that value, or at the first in common, which nothing passes over."""
+    of_node = Window.partitionBy("node").orderBy("pos")
+    own = lists.select("*", *[F.lag("v", i + 1).over(of_node).alias(f"p{i}") for i in range(PRIOR)]).join(bitmaps.drop("n"), "node")
     shares = lists.groupBy("v", "comp").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
     outside = own.join(shares, "v").filter("comp <> most")
     other = own.select("v", *[F.col(c).alias(f"r_{c}") for c in own.columns if c != "v"])
@@ -222,7 +229,8 @@ def list_pairs(lists: DataFrame, bitmaps: DataFrame, percent: int, shared: int)
     lacks = lambda size, pos: (size - pos) * (100 + percent) >= (n + m) * percent
     first = ((F.col("top") > F.col("r_top")) | lacks(n, F.col("pos"))) & ((F.col("r_top") > F.col("top")) | lacks(m, F.col("r_pos")))
     once = (F.col("r_comp") == F.col("most")) | (F.col("node") < F.col("r_node"))
-    met = outside.join(other, "v").filter(once & (F.col("comp") != F.col("r_comp")) & first & _enough("", "r_", percent, shared))
+    met_before = reduce(or_, [F.coalesce(F.col(f"p{i}") == F.col(f"r_p{j}"), F.lit(False)) for i in range(PRIOR) for j in range(PRIOR)])
+    met = outside.join(other, "v").filter(once & (F.col("comp") != F.col("r_comp")) & first & ~met_before & _enough("", "r_", percent, shared))
     return met.select(*_ordered("node", "r_node")).distinct()
 
 
