@@ -1,21 +1,23 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The pieces of all new words of a batch are laid out as one array of symbols. Each mergeable pair's rank maps to all
-its positions in that array; a heap holds the active ranks. The lowest rank is taken, its pair merged at every
-position still current, left to right, and the pairs that arise or vanish at the neighbours update the index. In
-every piece this is the order of the merge list, as no merge of the vocabulary makes a pair of a lower rank than its
-own (checked when the vocabulary is read).
+The pieces of all new words of a slice of the partition are laid out as one array of symbols. Each mergeable pair's rank
+maps to all its positions in that array; a heap holds the active ranks. The lowest rank is taken, its pair merged at
+every position, left to right, and the pairs that arise at the neighbours are put into their lists. Positions whose
+pair a merge has taken away stay in their lists until these are taken, and are passed over then. In every piece this is
+the order of the merge list, as no merge of the vocabulary makes a pair of a lower rank than its own (checked when the
+vocabulary is read).
 
 Words are what stands between ASCII white space: normalisation and splitting of this tokenizer never look across it.
-A worker keeps the ids of the words it has met, CACHE_WORDS or more in each of two generations; what it forgets is
-encoded again.
+Each distinct word of a slice (SLICE_BYTES of text) is looked up once; a worker keeps the ids of CACHE_WORDS words and
+CACHE_PIECES pieces, so that an index holds only what is new, and what it forgets is encoded again.
 
-Normalising and splitting a word with code points from U+0250 on is left to the tokenizers library's own normalizer
+Normalising and splitting a word with code points from U+0250 on, or controls, is left to the tokenizers library's own normalizer
 and pre-tokenizer, whose Unicode tables count; merging never is.
 
 Cases: null is the empty text, without ids, decoded to the empty text. The two special tokens are recognised in raw
-text, as the library does. Lone surrogates can't reach Spark strings. No rows give no rows; other columns are kept by
-:func:`encode_documents` and not read by the query."""
+text, as the library does. Lone surrogates can't reach Spark strings. Repeated rows are encoded alike. No rows give no
+rows; other columns are kept by :func:`encode_documents`, but one of the output's name, which is replaced, and not read
+by the query."""
 
 from __future__ import annotations
 
@@ -23,23 +25,48 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import table
+from rowloom.llm.words import WordIds, slices
 
-CACHE_WORDS = 120_000
+CACHE_WORDS, CACHE_PIECES = 600_000, 300_000
+SLICE_ROWS = 4000
 VOCABULARY = "word_bpe_49k.json"
 #: Below this code point every character is composed already, and the Unicode versions agree.
-_PLAIN = "ɐ"
-# Fixed value: the vocabulary's piece pattern.
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = 0x250
+# Fixed value: how the vocabulary parts words, with its classes of letters and numbers below _PLAIN put in.
+_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+"
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(_PLAIN) if unicodedata.category(chr(c)).startswith(kind))
+
+
+_OF_ASCII = re.compile(_PIECES.format(letters="a-z", numbers="0-9", spaces=r"\x00-\x20\x7f").encode())
+_OF_LATIN = re.compile(_PIECES.format(letters=_class("L"), numbers=_class("N"), spaces=r"\s\x00-\x20\x7f-\xa0"))
+_OTHER = re.compile(f"[^\0-{chr(_PLAIN - 1)}]")
+
+
+def plain_pieces(word: bytes) -> list[bytes] | None:
+    """The pieces of a lower-cased word of characters below _PLAIN; None if it has others, controls or odd spaces."""
+    if word.isascii():
+        low = word.lower()
+        pieces = _OF_ASCII.findall(low)
+        return pieces if b"".join(pieces) == low else None
+    text = word.decode().lower()
+    if _OTHER.search(text):
+        return None
+    parts = _OF_LATIN.findall(text)
+    return [p.encode() for p in parts] if "".join(parts) == text else None
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -162,67 +189,53 @@ class WordBpe:
         self.last = np.array([self.vocab[c + suffix] for c in byte_symbols()], np.int64)
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.pieces = regex.compile(_PIECES)
         self.byte_of = {ord(c): b for b, c in enumerate(byte_symbols())}
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.cache_words = cache_words
-
-    def split(self, word: str) -> list[bytes]:
-        """A word without special tokens to pieces, as bytes."""
-        if word.isascii() or max(word) < _PLAIN:
-            return [p.encode() for p in self.pieces.findall(word.lower())]
-        parts = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word))
+        self.words = WordIds(self.ids_of_words, cache_words)
+        self.of_special = {t.encode(): i.to_bytes(4, "little") for t, i in self.special.items()}
+        self.known = dict(self.of_special)
+        self.texts = pa.array(self.text_of, pa.string())
+
+    def split(self, word: bytes) -> list[bytes]:
+        """A word without special tokens to pieces."""
+        if (pieces := plain_pieces(word)) is not None:
+            return pieces
+        parts = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word.decode()))
         return [bytes(self.byte_of[ord(c)] for c in p) for p, _ in parts]
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Put the ids of ``words`` into the cache."""
-        plans: list[tuple[bytes, list[bytes | int]]] = []
-        pieces: dict[bytes, int] = {}
-        for w in words:
-            plan: list[bytes | int] = []
-            at = 0
-            for m in self.specials.finditer(w) if self.specials and b"<|" in w else ():
-                plan += self.split(w[at : m.start()].decode()) + [self.special[m[0].decode()]]
-                at = m.end()
-            plan += self.split((w[at:] if at else w).decode())
-            for p in plan:
-                if isinstance(p, bytes):
-                    pieces.setdefault(p, len(pieces))
-            plans.append((w, plan))
-        packed = self.index.apply(list(pieces), self.inner, self.last)
-        for w, plan in plans:
-            if len(plan) == 1 and isinstance(plan[0], bytes):
-                self.cache[w] = packed[pieces[plan[0]]]
-            else:
-                self.cache[w] = b"".join([packed[pieces[p]] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in plan])
+    def parted(self, word: bytes) -> list[bytes]:
+        """A word to pieces and special tokens; no piece reads like one of these."""
+        if b"<|" not in word or self.specials is None:
+            return self.split(word)
+        plan, at = [], 0
+        for m in self.specials.finditer(word):
+            plan += [*self.split(word[at : m.start()]), m[0]]
+            at = m.end()
+        return plan + self.split(word[at:])
+
+    def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. One index spans the pieces of all words that aren't known."""
+        plans = list(map(self.parted, words))
+        if len(self.known) > CACHE_PIECES:
+            self.known = dict(self.of_special)
+        known = self.known
+        new = list({p for plan in plans for p in plan}.difference(known))
+        known.update(zip(new, self.index.apply(new, self.inner, self.last), strict=True))
+        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in plans]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. One index spans the new words of all texts."""
-        if len(self.cache) > self.cache_words:
-            self.cache, self.older = {}, self.cache
-        split = [t.encode().split() if t else [] for t in texts]
-        cache, older = self.cache, self.older
-        new = set().union(*split).difference(cache)
-        if older:
-            for w in new.intersection(older):
-                cache[w] = older[w]
-            new.difference_update(older)
-        self.learn(new)
-        return [b"".join([cache[w] for w in words]) for words in split]
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, ends = self.words(pa.array(texts, pa.string()))
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """Special tokens stay. The vocabulary names no decoder, so token texts are joined by spaces."""
-        if isinstance(ids, bytes):
-            ids = np.frombuffer(ids, "<u4")
-        text_of = self.text_of
-        return " ".join([text_of[i] for i in ids.tolist()])
-
+        ids = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids
+        return self.decode_all(ids, np.array([len(ids)]))[0].as_py()
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids that end at ``ends``."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), self.texts.take(pa.array(ids.astype(np.int64)))), " ")
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -242,12 +255,15 @@ def encode_documents(df: DataFrame, text_col: str = "text", path: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in _slices(batches, 500):
-            ids = bpe.encode(b.column(text_at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, out_col])
+        for b in slices(batches, kept, SLICE_ROWS):
+            ids, ends = bpe.words(b.column(kept))
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())], names=[*b.schema.names[:kept], out_col])
 
-    text_at = df.columns.index(text_col)
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    fields = [f for f in df.schema.fields if f.name.lower() != out_col.lower()]
+    kept = len(fields)
+    rows = df.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text_col}`").alias("_encoded_text"))
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -256,11 +272,12 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in _slices(batches, 500):
-            ids = bpe.encode(b.column(1).to_pylist())
-            sha = [hashlib.sha256(x).hexdigest() for x in ids]
-            back = [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())],
+        for b in slices(batches, 1, SLICE_ROWS):
+            ids, ends = bpe.words(b.column(1))
+            raw, cuts = memoryview(ids.tobytes()), [0, *(4 * ends).tolist()]
+            sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(cuts, cuts[1:])]
+            back = [hashlib.sha256(t.as_buffer()).hexdigest() for t in bpe.decode_all(np.frombuffer(raw, "<u4"), ends)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(sha, pa.string()), pa.array(back, pa.string())],
                                              names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([df.schema[id_col], *[T.StructField(n, k) for n, k in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]])

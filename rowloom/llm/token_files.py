@@ -3,7 +3,8 @@
 An id is cut into chunks of fixed widths, lowest first. Level 0 holds the first chunk of every id, level 1 the second
 chunk of the ids that need one, and so on. Beside each level but the last stands a bitmap, with a bit for each of its
 chunks that says whether the id goes on, and a rank directory: the number of set bits before each block of 512. The
-place of an id's next chunk is the rank of its bit, so any id is read by one look a level, without decoding others.
+place of an id's next chunk is the rank of its bit, so any id is read by one look a level, without decoding others, and
+the ids of a document by one run a level. Documents are read back that way.
 
 A file: magic, version, number of documents, tokens and levels; for each level its width, chunks, and byte lengths of
 its parts; then the ids of the documents and their cumulative token counts as 64-bit integers, then the levels, each
@@ -18,6 +19,7 @@ by the text's hash; null ids come first. No rows give a table without files. Oth
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.bpe import vocabulary_path
+from rowloom.llm.bpe import CACHE_PIECES, CACHE_WORDS, SLICE_ROWS, plain_pieces, vocabulary_path
 from rowloom.llm.common import table, written
+from rowloom.llm.words import WordIds, slices
 
 MAGIC, VERSION = b"DACT", 1
 WIDTHS = (8, 8, 16)
@@ -62,47 +65,59 @@ class DacFile:
         self.doc_ids, self.ends = take("<i8", 8 * self.n_docs), take("<i8", 8 * self.n_docs)
         self.levels = [(width, take(f"<u{width // 8}", a), take("u1", b), take("<u4", c)) for width, _, a, b, c in heads]
 
+    def _rank(self, level: int, i: int) -> int:
+        """Set bits before bit ``i`` of a level's bitmap: by the directory, and within the block."""
+        i, (_, _, bits, ranks) = int(i), self.levels[level]
+        if i == len(self.levels[level][1]):
+            return len(self.levels[level + 1][1])
+        first = i // BLOCK
+        block = int.from_bytes(bits[first * BLOCK // 8 : (i >> 3) + 1].tobytes(), "little")
+        return int(ranks[first]) + (block & ((1 << (i - first * BLOCK)) - 1)).bit_count()
+
     def __getitem__(self, i: int) -> int:
         """Token ``i`` of the file."""
         if not 0 <= i < self.n_tokens:
             raise IndexError(i)
         value = shift = 0
-        for width, chunks, bits, ranks in self.levels:
+        for n, (width, chunks, bits, _) in enumerate(self.levels):
             value |= int(chunks[i]) << shift
             shift += width
             if not len(bits) or not bits[i >> 3] >> (i & 7) & 1:
                 return value
-            first = i // BLOCK
-            span = np.unpackbits(bits[first * BLOCK // 8 : (i >> 3) + 1], bitorder="little")[: i - first * BLOCK]
-            i = int(ranks[first]) + int(span.sum())
+            i = self._rank(n, i)
         return value
 
-    def tokens(self) -> np.ndarray:
-        """All ids."""
-        out = np.zeros(self.n_tokens, np.uint32)
+    def span(self, start: int, end: int) -> np.ndarray:
+        """Tokens ``start .. end``, from these places of the levels alone: the next chunks of a run of ids are a run of
+        the next level, between the ranks of its ends."""
+        if not 0 <= start <= end <= self.n_tokens:
+            raise IndexError((start, end))
+        out = np.zeros(end - start, "<u4")
         at, shift = None, 0
-        for width, chunks, bits, _ in self.levels:
+        for n, (width, chunks, bits, _) in enumerate(self.levels):
+            part = chunks[start:end].astype("<u4") << np.uint32(shift)
             if at is None:
-                out[:] = chunks
-                at = np.arange(self.n_tokens)
+                out[:] = part
             else:
-                out[at] |= chunks.astype(np.uint32) << np.uint32(shift)
-            if not len(bits):
+                out[at] |= part
+            if start == end or not len(bits):
                 break
-            at = at[np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)]
-            shift += width
+            more = np.unpackbits(bits[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 :][: end - start]
+            goes_on = np.flatnonzero(more)
+            at = goes_on if at is None else at[goes_on]
+            start = self._rank(n, start)
+            end, shift = start + len(goes_on), shift + width
         return out
 
     def document(self, k: int) -> np.ndarray:
-        """Ids of the k-th document by random access."""
-        start = int(self.ends[k - 1]) if k else 0
-        return np.array([self[i] for i in range(start, int(self.ends[k]))], np.uint32)
+        """Ids of the k-th document, without those before it."""
+        return self.span(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def encode_file(doc_ids: list[int | None], tokens: list[np.ndarray], widths: tuple[int, ...] = WIDTHS) -> bytes:
-    """Documents to a file. The widths, in bits, are 8, 16 or 32 each, and together hold every id."""
-    rest = np.concatenate(tokens).astype(np.uint64) if tokens else np.zeros(0, np.uint64)
-    ends = np.cumsum([len(t) for t in tokens], dtype="<i8") if tokens else np.zeros(0, "<i8")
+def encode_file(doc_ids: list[int | None], sizes: np.ndarray, tokens: np.ndarray, widths: tuple[int, ...] = WIDTHS) -> bytes:
+    """Documents, of ``sizes`` tokens each, to a file. The widths, in bits, are 8, 16 or 32 each, and together hold
+    every id."""
+    rest, ends = tokens.astype(np.uint64), np.cumsum(sizes, dtype="<i8")
     if len(rest) and int(rest.max()) >> sum(widths):
         raise ValueError("an id needs more than all levels")
     heads, parts, total = [], [], len(rest)
@@ -126,47 +141,42 @@ def encode_file(doc_ids: list[int | None], tokens: list[np.ndarray], widths: tup
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids of whole texts. The library is asked for a word once, as its normalisation and
-    splitting never look across ASCII white space, and words are kept in two generations of ``keep`` or more. Words go
-    to the library many at a time, with a special token between them, which parts texts before anything else is done
-    to them; a word that may hold a special token itself goes alone."""
+    """The tokenizers library's ids of whole texts. The library is asked for a piece once, as long as it is kept: its
+    normalisation and splitting never look across ASCII white space, and pieces are encoded one by one. Pieces of plain
+    words (:func:`rowloom.llm.bpe.plain_pieces`) go to it many at a time with spaces between, and the tokens that end a
+    piece tell its ids from the next one's; a word that is not plain, or may hold a special token, goes whole."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep_words: int = CACHE_WORDS, keep_pieces: int = CACHE_PIECES) -> None:
         from tokenizers import Tokenizer
 
-        self.library, self.keep = Tokenizer.from_file(path), keep
-        added = self.library.get_added_tokens_decoder()
-        self.between = max(i for i, t in added.items() if t.special and not t.normalized)
-        self.mark = added[self.between].content.encode()
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.new) > self.keep:
-            self.new, self.old = {}, self.new
-        split = [t.encode().split() if t else [] for t in texts]
-        new, old = self.new, self.old
-        missing = set().union(*split).difference(new)
-        for w in missing.intersection(old):
-            new[w] = old[w]
-        ask = list(missing.difference(old))
-        alone = [w for w in ask if b"<" in w]
-        self._ask([[w] for w in alone])
-        ask = [w for w in ask if b"<" not in w] if alone else ask
-        self._ask([ask[at : at + 256] for at in range(0, len(ask), 256)])
-        return [b"".join([new[w] for w in words]) for words in split]
-
-    def _ask(self, groups: list[list[bytes]]) -> None:
-        for at in range(0, len(groups), 100):
-            some = groups[at : at + 100]
-            for words, e in zip(some, self.library.encode_batch_fast([self.mark.join(g).decode() for g in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                if len(words) == 1:
-                    self.new[words[0]] = ids.tobytes()
-                    continue
-                cuts, raw = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
-                for w, x, y in zip(words, [0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True):
-                    self.new[w] = raw[x:y]
+        self.library, self.keep = Tokenizer.from_file(path), keep_pieces
+        suffix = json.load(open(path, encoding="utf-8"))["model"]["end_of_word_suffix"]
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.words = WordIds(self.ids_of_words, keep_words)
+
+    def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        plans = [plain_pieces(w) if b"<" not in w else None for w in words]
+        if len(self.known) > self.keep:
+            self.known = {}
+        known = self.known
+        new = list({p for plan in plans if plan for p in plan}.difference(known))
+        groups = [new[at : at + 64] for at in range(0, len(new), 64)]
+        for group, ids in zip(groups, self._asked([b" ".join(g) for g in groups]), strict=True):
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(cuts) != len(group) + 1:
+                raise ValueError("the library parts a piece")
+            raw = ids.tobytes()
+            known.update(zip(group, [raw[x:y] for x, y in zip(cuts, cuts[1:])], strict=True))
+        whole = iter(self._asked([w for w, plan in zip(words, plans, strict=True) if plan is None]))
+        return [next(whole).tobytes() if p is None else known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in plans]
+
+    def _asked(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), 1000):
+            for e in self.library.encode_batch_fast([t.decode() for t in texts[at : at + 1000]], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -185,31 +195,37 @@ def library_encoder(path: str) -> LibraryEncoder:
 def token_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """The written table of files: part, file, first_id, n_docs, n_tokens, data."""
     path = path or vocabulary_path()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, n = library_encoder(path), TaskContext.get().partitionId(), 0
+        words, part, n = library_encoder(path).words, TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # sizes of documents and their tokens
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal ids, held, size, n
-            rows = [{"part": part, "file": n, "first_id": ids[0], "n_docs": len(ids), "n_tokens": size, "data": encode_file(ids, held)}]
+            data = encode_file(ids, np.concatenate([s for s, _ in held]), np.concatenate([t for _, t in held]))
+            rows = [{"part": part, "file": n, "first_id": ids[0], "n_docs": len(ids), "n_tokens": size, "data": data}]
             ids, held, size, n = [], [], 0, n + 1
             return pa.RecordBatch.from_pylist(rows, kinds)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                some = b.slice(at, 1000)
-                for i, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    held.append(np.frombuffer(raw + end, "<u4"))
-                    size += len(held[-1])
-                    if size >= file_tokens:
-                        yield close()
+        for b in slices(batches, 1, SLICE_ROWS):
+            tokens, ends = words(b.column(1))
+            keys, sizes = b.column(0).to_pylist(), np.diff(ends, prepend=0) + 1
+            with_end = np.full(len(tokens) + len(sizes), end_id, "<u4")
+            with_end[np.arange(len(tokens)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = tokens
+            ends, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                before = int(ends[at - 1]) if at else 0
+                to = min(len(sizes), int(np.searchsorted(ends, before + file_tokens - size)) + 1)  # the document that fills the file
+                ids += keys[at:to]
+                held.append((sizes[at:to], with_end[before : ends[to - 1]]))
+                size += int(ends[to - 1]) - before
+                at = to
+                if size >= file_tokens:
+                    yield close()
         if ids:
             yield close()
 
@@ -233,10 +249,9 @@ def read_documents(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for b in batches:
             for part, file, raw in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                 f = DacFile(raw)
-                tokens, ends = f.tokens().astype("<u4"), f.ends
-                cuts = np.concatenate([[0], ends]).tolist()
+                cuts = np.concatenate([[0], f.ends]).tolist()
                 ids = [None if i == _NULL_ID else i for i in f.doc_ids.tolist()]
-                crc = [zlib.crc32(tokens[x:y].tobytes()) for x, y in zip(cuts, cuts[1:])]
+                crc = [zlib.crc32(f.span(x, y)) for x, y in zip(cuts, cuts[1:])]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(cuts[:-1], pa.int64()),
                                                   pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())], names=["part", "file", id_col, "at", "n_tokens", "ids_crc32"])

@@ -2,14 +2,19 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from oracle import SF
 from tokenizers import Tokenizer
 
 from rowloom.llm import bpe as E
 from rowloom.llm import token_files as D
+from rowloom.llm.words import slices, split_words
 
 PATH = E.vocabulary_path()
+LIBRARY, WORDS, ASKED = Tokenizer.from_file(PATH), E.WordBpe(PATH), D.LibraryEncoder(PATH)
 ODD = ["Hello WORLD's don't I'LL we've 123 4½ x² İstanbul ΑΣ ΣΑΣ ß ẞ é ñ Å 北京 日本語。", "<|startoftext|>hi<|endoftext|> <|STARTOFTEXT|> a<|endoftext|>b", "\x1c a\x1fb \x85 x\xa0y z", "", None,
        " \n\t ", "🎉👍🏽 ‍ zwj‍ ", "ｆｕｌｌ ﬁ ǆ ǅ", "'s'S 'T'", "a" * 3000 + " hahahahaha", "é ́x", "﻿bom ­", "word " * 30_000]
 DOCS = "doc_id bigint, text string, ids_sha256 string, part string, file string, id string, at string"
@@ -33,6 +38,33 @@ def test_encoder_equals_library():
     assert [mine.decode(np.array(x, "<u4")) for x in ids] == [t.decode(x, skip_special_tokens=False) for x in ids]
 
 
+def test_library_encoder_equals_library():
+    ids, _ = library(ODD)
+    mine = D.LibraryEncoder(PATH, keep_words=3, keep_pieces=2)
+    for _ in range(2):
+        for x, want in zip(ODD, ids, strict=True):
+            assert mine.words(pa.array([x], pa.string()))[0].tolist() == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), min_size=1, max_size=12))
+def test_pieces_equal_the_library(word):
+    """Words of Latin letters, marks, numbers and controls, through both encoders."""
+    for w in word.split():
+        ids = LIBRARY.encode(w, add_special_tokens=False).ids
+        assert np.frombuffer(WORDS.encode([w])[0], "<u4").tolist() == ids and ASKED.words(pa.array([w]))[0].tolist() == ids
+
+
+def test_words_and_their_places():
+    texts = [" a  B c\n", "", None, "a", "  ", "B \x1cx"]
+    words, which, offsets = split_words(pa.array(texts), lower=True)
+    got = [[words[i] for i in which[x:y]] for x, y in zip(offsets, offsets[1:])]
+    assert got == [(t or "").lower().encode().split() for t in texts] and len(set(words)) == len(words)
+    assert split_words(pa.array([], pa.string()))[0] == []
+    batch = pa.record_batch({"t": ["x" * 10, None, "y" * 50, "", "z"]})
+    assert [b.num_rows for b in slices(iter([batch]), 0, 3, 12)] == [2, 1, 2]
+
+
 def test_index_needs_ascending_merges():
     # "ab" can be made early and late: a pair of it may then outrank the merge that makes it.
     v = {c: i for i, c in enumerate(["a", "b", "c", "ab", "bc", "abc"])}
@@ -66,13 +98,21 @@ def test_general_encoder_keeps_columns(spark):
 def test_random_access(top):
     rng = np.random.default_rng(top)
     docs = [rng.integers(0, top, n).astype("<u4") for n in (0, 1, 511, 512, 513, 3000, 0)]
-    f = D.DacFile(D.encode_file([5, None, 7, 8, 9, 10, 11], docs))
     every = np.concatenate(docs)
-    assert (f.tokens() == every).all() and all(f[i] == every[i] for i in rng.integers(0, len(every), 300))
-    assert f.document(3).tolist() == docs[3].tolist() and f.document(0).size == 0
+    f = D.DacFile(D.encode_file([5, None, 7, 8, 9, 10, 11], np.array([len(d) for d in docs]), every))
+    assert (f.span(0, len(every)) == every).all() and all(f[i] == every[i] for i in rng.integers(0, len(every), 300))
+    assert all(f.document(k).tolist() == d.tolist() for k, d in enumerate(docs))
+    for a, b in np.sort(rng.integers(0, len(every) + 1, (200, 2)), axis=1):
+        assert (f.span(a, b) == every[a:b]).all()
     with pytest.raises(IndexError):
         f[len(every)]
-    assert D.DacFile(D.encode_file([], [])).tokens().size == 0
+    assert D.DacFile(D.encode_file([], np.zeros(0, int), np.zeros(0, "<u4"))).span(0, 0).size == 0
+
+
+def test_output_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "old", "a b", 7)], "doc_id bigint, token_ids string, text string, _encoded_text int")
+    got = E.encode_documents(df.drop("_encoded_text"))
+    assert got.columns == ["doc_id", "text", "token_ids"] and len(got.select("token_ids").collect()[0][0]) == 8
 
 
 def test_repeated_and_null_ids(spark, tmp_path):
