@@ -8,6 +8,8 @@ import zlib
 from urllib.parse import quote
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from oracle import SF
 
 from rowloom.llm import secrets as S
@@ -68,8 +70,75 @@ def test_part_encoded_and_cycles():
     _, every = S.scan_text(text)
     assert (2, 22, "url>assign") in every and (25, len(text), "url>access") in every
     assert S.scan_text("%25" * 50)[1] == [] and S.scan_text(quote("%" * 20) * 3)[1] == []
-    bomb = base64.b64encode(zlib.compress(b"a" * (S.MAX_LAYER + 2))).decode()
-    assert [k for _, _, k in S.scan_text(bomb)[1]] == ["base64>zlib>oversize"]
+    bomb = base64.b64encode(zlib.compress(b"a" * (S.WINDOW + 2))).decode()
+    assert S.scan_text(bomb)[1] == [(0, len(bomb), "base64>zlib>hex")]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_long_streams_are_scanned_whole(monkeypatch, pack):
+    """Secrets at the first byte, over a window's end and at the last byte."""
+    monkeypatch.setattr(S, "WINDOW", 1 << 18)
+    monkeypatch.setattr(S, "OVERLAP", 1 << 12)
+    line, key = b"some words of a long log file\n", b"AKIA" + b"Q" * 16
+    for fill in (line, b"a b "):
+        raw = bytearray(fill * 60_000)
+        raw[: len(SECRET)] = SECRET.encode()
+        raw[(1 << 18) - 9 : (1 << 18) - 9 + len(key)] = key
+        raw += b" " + b"0123456789abcdef" * 2
+        text = "x " + base64.b64encode(pack(bytes(raw))).decode()
+        got = {(a, b, k.rpartition(">")[2]) for a, b, k in S.scan_text(text)[1]}
+        assert {(2, len(text), k) for k in S.KINDS} <= got
+
+
+@pytest.mark.parametrize("front", ["", "i", "id", "id-", "/v/", "x/y-z_q"])
+def test_base64_glued_to_other_letters(front):
+    for tail in ("", "Zz"):
+        text = f"at {front}{base64.b64encode(b'user=me ' + SECRET.encode()).decode().rstrip('=')}{tail} end"
+        assert (3, len(text) - 4, "base64>assign") in S.scan_text(text)[1]
+    assert any(k == "base64>gzip>assign" for _, _, k in S.scan_text("id-" + base64.b64encode(gzip.compress(SECRET.encode())).decode())[1])
+
+
+def test_deep_percent_signs_and_time():
+    from time import process_time
+
+    for levels in (1, 2, 7, 8, 9, 30, 40_000):
+        text = "password%" + "25" * levels + "3Dabcdefgh1"
+        assert any(a == 0 and b == len(text) and k.endswith("url>assign") for a, b, k in S.scan_text(text)[1]), levels
+    began = process_time()
+    text = "%41 \\u0042 " * 4000
+    for _ in range(3):
+        text = quote(text)
+    S.scan_text(text)
+    assert len(text) > 100_000 and process_time() - began < 5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["url", "unicode", "base64", "gzip"]), min_size=1, max_size=5), st.text("ab é%&=\n", max_size=12), st.text("xy \n", max_size=6))
+def test_random_nestings(layers, before, after):
+    """The span of what is hidden under any layers, told in the original, against where it was put."""
+    inner = SECRET
+    for x in layers:
+        inner = wrap(x, inner.encode())
+    text = f"{before} {inner} {after}"
+    first, last = len(before) + 1, len(before) + 1 + len(inner)
+    hit = [(a, b) for a, b, k in S.scan_text(text)[1] if k.endswith(">assign")]
+    assert any(first <= a and b <= last for a, b in hit)
+    if layers[-1] in ("base64", "gzip") and not before.strip("é%&=\n "):
+        assert (first, last) in hit
+
+
+def test_parts_against_a_plain_walk():
+    """Where characters come from, by sorted offsets and by walking over all parts."""
+    layer = S.Layer("ab%41%42cd%2525x", "", [(0, 16, 0, 16, False)])
+    while new := S._replaced(layer, "url", S._URL, S._percent):
+        for x in range(len(new.text)):
+            for y in range(x + 1, len(new.text) + 1):
+                touched = [p for p in new.parts if p[0] < y and p[1] > x]
+                low = min(p[2] if p[4] else p[2] + max(x, p[0]) - p[0] for p in touched)
+                high = max(p[3] if p[4] else p[2] + min(y, p[1]) - p[0] for p in touched)
+                assert new.source(x, y) == (low, high, any(p[4] for p in touched))
+        layer = new
+    assert layer.name == "url>url"
 
 
 def kinds(text):
