@@ -9,15 +9,19 @@ softmaxes, which are short.
 
 A context is the CONTEXT classes or groups before a token; its predicted vector is the sum of their vectors, each weighted
 elementwise by position, and a class's logit is its product with the class's vector plus a bias. Training tells data
-from noise drawn from the unigram distribution. Every task trains over all of its own training rows from the current
-parameters, and the parameters are averaged by tokens, once an epoch. Scoring normalises over the whole class
-vocabulary: a batch's distinct contexts times all class vectors, as one matrix product.
+from noise drawn from the unigram distribution. Scoring normalises over the whole class vocabulary: a batch's distinct
+contexts times all class vectors, as one matrix product.
+
+Texts are split once: a table in the shared folder keeps each text as codes of classes and groups, which training and
+scoring read. The training texts are dealt into shards of about SHARD_TOKENS tokens by a hash of id and text, and a
+shard's texts are put in an order of their own, so what is learnt doesn't depend on how the input is partitioned. Every
+shard is trained over from the current parameters, and the parameters are averaged by tokens, once an epoch.
 
 Words of a group share its probability by absolute discounting of their counts; what the discount frees is
 the probability of an unseen word of the group, one type. Without training words a group is its unseen word.
 
-Counts cover all training tokens. The COMMON most frequent words go to the workers (a bounded table); the other words
-of a text are joined to the counts by word, none of which is frequent, and summed by row.
+Counts cover all training tokens. The words of the largest counts, COMMON at most, go to the workers (a bounded table);
+the other words of a text are joined to the counts by word, none of which is frequent, and summed by row.
 
 Cases: a null or empty text is its end alone. Without training rows the model knows one unseen type of probability
 1, so scores are 0. Null ids hash as the empty text. Repeated rows are scored each. No rows give no rows. Other
@@ -31,15 +35,22 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowloom.llm.common import SPACES, crc_of, freed, lower_ascii, table, words_of, written
+from rowloom.llm.common import crc_of, deleted, freed, table, written
+from rowloom.llm.words import slices, split_words
 
 CLASSES, WIDTH, CONTEXT = 512, 16, 2
 #: Words whose counts every worker has.
 COMMON = 200_000
 EPOCHS, BATCH, NOISE, NOISE_WEIGHT, RATE = 2, 4096, 64, 16.0, 0.08
+#: Tokens of a training shard, on average, and of the stretches that are trained over in random order.
+SHARD_TOKENS, STRETCH = 1 << 22, 1 << 18
+#: Rows of a slice, whose distinct contexts are scored together.
+SLICE_ROWS = 4000
 #: Bytes of a tail word's beginning and ending that its group depends on; tail tokens a step.
 SUBWORD, TAIL_BATCH = 3, 8192
 #: The end of a text among the counted words, which have no space.
@@ -61,10 +72,12 @@ class Counts:
     group_tokens: np.ndarray | None = None
     group_types: np.ndarray | None = None
 
-    @property
-    def classes(self) -> int:
-        """Classes of words of their own; one more is for the others."""
-        return min(CLASSES - 1, len(self.words))
+    #: Classes of words of their own; one more is for the others.
+    classes: int = -1
+
+    def __post_init__(self) -> None:
+        if self.classes < 0:
+            self.classes = min(CLASSES - 1, len(self.words))
 
     def tail_log10(self, c: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
         """log10 of a tail word's share in its group, or in all of the tail, by its count; 0 is the unseen type."""
@@ -115,15 +128,20 @@ class LogBilinear:
 
     def log_probability(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Natural log of P(after | before), normalised over all classes."""
-        n = len(self.contexts)
+        first, back = self.distinct(before)
+        q = self.predicted(before[first])
+        return self.of_distinct(q, back, after)
+
+    def distinct(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A token of each distinct context, and the place of each token's context among these."""
         code = before[:, 0].astype(np.int64)
         for j in range(1, CONTEXT):
-            code = code * n + before[:, j]
+            code = code * len(self.contexts) + before[:, j]
         _, first, back = np.unique(code, return_index=True, return_inverse=True)
-        q = self.predicted(before[first])
-        total = np.empty(len(q))
-        for at in range(0, len(q), 512):  # as much as the processor's cache holds
-            total[at : at + 512] = log_total(q[at : at + 512] @ self.targets.T + self.bias)
+        return first, back
+
+    def of_distinct(self, q: np.ndarray, back: np.ndarray, after: np.ndarray) -> np.ndarray:
+        total = log_totals(q, self.targets, self.bias)
         return np.einsum("ij,ij->i", q[back], self.targets[after]).astype(np.float64) + self.bias[after] - total[back]
 
     def train(self, before: np.ndarray, after: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
@@ -140,32 +158,62 @@ class LogBilinear:
             tw, tn = self.targets[w], self.targets[noise]
             data = np.einsum("ij,ij->i", q, tw) + self.bias[w] - noise_logit[w]
             up = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - sigmoid
-            other = q @ tn.T + (self.bias[noise] - noise_logit[noise])
-            down = (NOISE_WEIGHT / NOISE) / (1 + np.exp(np.clip(-other, -30, 30)))
+            down = q @ tn.T
+            down += self.bias[noise] - noise_logit[noise]
+            np.negative(np.clip(down, -30, 30, out=down), out=down)
+            np.exp(down, out=down)
+            down += 1
+            np.divide(np.float32(NOISE_WEIGHT / NOISE), down, out=down)
             dq = up[:, None] * tw - down @ tn
             scale = np.float32(1 / len(some))
-            g_targets = self._summed(w, up[:, None] * q, len(self.targets))
+            g_targets = np.zeros_like(self.targets)
+            rows, sums = self._summed(w, up[:, None] * q)
+            g_targets[rows] = sums
             np.add.at(g_targets, noise, -(down.T @ q))
             g_bias = np.bincount(w, up, len(self.bias)).astype(np.float32)
             np.add.at(g_bias, noise, -down.sum(axis=0))
-            g_contexts = np.zeros_like(self.contexts)
-            g_position = np.zeros_like(self.position)
-            for j, p in enumerate(parts):
-                g_contexts += self._summed(h[:, j], dq * self.position[j], len(self.contexts))
-                g_position[j] = (dq * p).sum(axis=0)
-            for a, g, s in zip(self.arrays(), (g_contexts, g_position, g_targets, g_bias), squares, strict=True):
+            g_position = np.stack([(dq * p).sum(axis=0) for p in parts])
+            for a, g, s in zip(self.arrays()[1:], (g_position, g_targets, g_bias), squares[1:], strict=True):
                 g *= scale
                 s += g * g
                 a += RATE * g / (np.sqrt(s) + 1e-3)
+            self.step_contexts(h, dq, scale, squares[0])
+
+    def step_contexts(self, h: np.ndarray, dq: np.ndarray, scale: np.float32, squares: np.ndarray) -> None:
+        """An Adagrad step on the vectors of the contexts ``h`` alone; the others' gradient is 0. ``scale`` is negative
+        for a descent."""
+        rows, g = self._summed(h.T.ravel(), np.concatenate([dq * self.position[j] for j in range(CONTEXT)]))
+        g *= scale
+        squares[rows] += g * g
+        self.contexts[rows] += RATE * g / (np.sqrt(squares[rows]) + 1e-3)
 
     @staticmethod
-    def _summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        order = np.argsort(index, kind="stable")
+    def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct indices, and the sums of their rows."""
+        small = index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index  # sorted by digits
+        order = np.argsort(small, kind="stable")
         sorted_index = index[order]
         starts = np.flatnonzero(np.r_[True, sorted_index[1:] != sorted_index[:-1]])
-        out = np.zeros((n, rows.shape[1]), np.float32)
-        out[sorted_index[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+        return sorted_index[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
+def log_totals(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Natural log of the sum over all classes of exp(q x vector + bias), by row of q."""
+    out = np.empty(len(q))
+    if not len(q):
         return out
+    wide = np.ascontiguousarray(np.hstack([vectors, bias[:, None]]).T)
+    ones = np.ones(len(bias), np.float32)
+    longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
+    bounded = longest(q) * longest(vectors) + float(np.abs(bias).max()) < 60  # exp can't overflow
+    for at in range(0, len(q), 512):  # as much as the processor's cache holds
+        some = q[at : at + 512]
+        z = np.hstack([some, np.ones((len(some), 1), np.float32)]) @ wide
+        if bounded:
+            out[at : at + 512] = np.log(np.exp(z, out=z) @ ones)
+        else:
+            out[at : at + 512] = log_total(z)
+    return out
 
 
 def log_total(z: np.ndarray) -> np.ndarray:
@@ -201,18 +249,17 @@ class Tail:
         for rows in np.split(order, starts[1:]) if len(a) else ():
             yield int(a[rows[0]]), rows
 
-    def log_probability(self, q: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Natural log of P(group | tail, context) by predicted vectors."""
-        side, out = len(self.first), np.empty(len(q))
+    def log_probability(self, q: np.ndarray, group: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of P(group | tail, context) by predicted vectors: one for each token, or that of ``back``."""
+        side = len(self.first)
         a, b = group // side, group % side
-        for at in range(0, len(q), 4096):
-            z = q[at : at + 4096] @ self.first.T + self.first_bias
-            own = z[np.arange(len(z)), a[at : at + 4096]].astype(np.float64)
-            out[at : at + 4096] = own - log_total(z)
+        total = log_totals(q, self.first, self.first_bias)
+        mine, total = (q, total) if back is None else (q[back], total[back])
+        out = np.einsum("ij,ij->i", mine, self.first[a]).astype(np.float64) + self.first_bias[a] - total
         for k, rows in self._by_first(a):
-            z = q[rows] @ self.second[k].T + self.second_bias[k]
-            own = z[np.arange(len(rows)), b[rows]].astype(np.float64)
-            out[rows] += own - log_total(z)
+            x, right = mine[rows], b[rows]
+            own = np.einsum("ij,ij->i", x, self.second[k][right]).astype(np.float64) + self.second_bias[k][right]
+            out[rows] += own - log_totals(x, self.second[k], self.second_bias[k])
         return out
 
     def train(self, model: LogBilinear, before: np.ndarray, group: np.ndarray, squares: list[np.ndarray], model_squares: list[np.ndarray]) -> None:
@@ -225,7 +272,8 @@ class Tail:
             q = sum(p * model.position[j] for j, p in enumerate(parts))
 
             def miss(z: np.ndarray, right: np.ndarray) -> np.ndarray:
-                log_total(z)
+                np.subtract(z, z.max(axis=1, keepdims=True), out=z)
+                np.exp(z, out=z)
                 z /= z.sum(axis=1, keepdims=True)
                 z[np.arange(len(z)), right] -= 1
                 return z
@@ -237,33 +285,19 @@ class Tail:
                 p = miss(mine @ self.second[k].T + self.second_bias[k], b[rows])
                 dq[rows] += p @ self.second[k]
                 grads[2][k], grads[3][k] = p.T @ mine, p.sum(axis=0)
-            g_contexts, g_position = np.zeros_like(model.contexts), np.zeros_like(model.position)
-            for j, part in enumerate(parts):
-                g_contexts += model._summed(h[:, j], dq * model.position[j], len(model.contexts))
-                g_position[j] = (dq * part).sum(axis=0)
+            g_position = np.stack([(dq * part).sum(axis=0) for part in parts])
             scale = np.float32(1 / len(some))
-            for x, g, s in zip([*self.arrays(), model.contexts, model.position], [*grads, g_contexts, g_position], [*squares, *model_squares[:2]], strict=True):
+            model.step_contexts(h, dq, -scale, model_squares[0])
+            for x, g, s in zip([*self.arrays(), model.position], [*grads, g_position], [*squares, model_squares[1]], strict=True):
                 g *= scale
                 s += g * g
                 x -= RATE * g / (np.sqrt(s) + 1e-3)
 
 
-def sequences(texts: list[str | None], place: dict[bytes, int], end: int, side: int = 1) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places of all tokens (-1 less the group: not in the table), each text with its end; lengths; the words."""
-    split = [words_of(t) for t in texts]
-    endings, beginnings = Subwords(side, side), Subwords(side, 1)
-    get = place.get
-    ids: list[int] = []
-    for words in split:
-        ids += [i if (i := get(w)) is not None else -1 - endings[w[-SUBWORD:]] - beginnings[w[:SUBWORD]] for w in words]
-        ids.append(end)
-    return np.array(ids, np.int64), np.array([len(w) + 1 for w in split], np.int64), split
-
-
 def before_of(classes: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
     """The CONTEXT classes before each token, nearest first."""
     place = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out = np.full((len(classes), CONTEXT), start, np.int64)
+    out = np.full((len(classes), CONTEXT), start, np.int32)
     for j in range(CONTEXT):
         ok = place > j
         out[ok, j] = classes[np.flatnonzero(ok) - j - 1]
@@ -276,22 +310,39 @@ def is_training(key):
 
 def count_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """word, c over all training tokens, ends included."""
-    rows = df.filter(is_training(F.col(id_col)))
-    words = rows.select(F.explode(F.split(lower_ascii(F.col(text_col)), SPACES)).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("c"))
-    ends = rows.agg(F.count("*").alias("c")).filter("c > 0").select(F.lit(END).alias("word"), "c")
-    return written(words.unionByName(ends), "word-counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = 0
+        for b in slices(batches, 0, 10 * SLICE_ROWS):
+            words, which, _ = split_words(b.column(0), lower=True)
+            rows += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.bincount(which, minlength=len(words)))], names=["word", "c"])
+        if rows:
+            yield pa.RecordBatch.from_pydict({"word": [END], "c": [rows]})
+
+    words = df.filter(is_training(F.col(id_col))).select(text_col).mapInArrow(run, "word string, c bigint")
+    return written(words.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
 
 def summary(counts: DataFrame) -> Counts:
-    top = counts.orderBy(F.desc("c"), "word").limit(COMMON).toArrow()
-    words, c = top.column("word").to_pylist(), np.array(top.column("c").to_pylist(), np.int64)
-    if words and END not in words:
-        words.append(END)
-        c = np.r_[c, counts.filter(F.col("word") == END).head()["c"]]
+    # The words of COMMON or fewer largest counts, by a histogram of counts in steps of an eighth of an octave.
+    step = F.floor(F.log2("c") * 8).alias("step")
+    cut, sofar = None, 0
+    for r in counts.groupBy(step).agg(F.min("c").alias("least"), F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 8 rows for each bit of a count
+        sofar += r.n
+        if sofar > COMMON:
+            break
+        cut = r.least
+    top = {r.word: r.c for r in counts.orderBy(F.desc("c"), "word").limit(CLASSES - 1).collect()}
+    if cut is not None:
+        common = counts.filter(F.col("c") >= cut).toArrow()  # COMMON rows at most
+        top |= dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist(), strict=True))
+    if top and END not in top:
+        top[END] = counts.filter(F.col("word") == END).head()["c"]
+    words = sorted(top, key=lambda w: (-top[w], w))
     if END in words[CLASSES - 1 :]:  # the end is always a class of its own
-        at = words.index(END)
-        words.insert(0, words.pop(at))
-        c = np.r_[c[at], np.delete(c, at)]
+        words.insert(0, words.pop(words.index(END)))
+    c = np.array([top[w] for w in words], np.int64)
     own = words[: CLASSES - 1]
     tail = counts.filter(~F.col("word").isin(own)) if own else counts
     t = tail.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).collect()[0]
@@ -304,40 +355,123 @@ def summary(counts: DataFrame) -> Counts:
     return Counts(total[0], total[1], words, c, t[0], t[1], discount, side, tokens, types)
 
 
-def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, epochs: int = EPOCHS) -> tuple[LogBilinear, Tail]:
-    own, side, sc = counts.classes, counts.side, df.sparkSession.sparkContext
+class Coder:
+    """Codes of words, and what counts alone say of them. A code is a class, or classes + 2 and the group of a tail
+    word; classes stands for the tail as a class, classes + 1 for what is before a text."""
+
+    def __init__(self, counts: Counts) -> None:
+        self.own, side = counts.classes, counts.side
+        self.place = {w.encode(): i for i, w in enumerate(counts.words)}
+        self.endings, self.beginnings = Subwords(side, side), Subwords(side, 1)
+        self.norm = float(np.log10(counts.tokens + counts.types + 1))
+        groups = np.array([self.group(w) for w in self.place], np.int64)
+        c = counts.counts
+        # By place in the table; the last is for what is not there.
+        self.code = np.r_[np.where(np.arange(len(c)) < self.own, np.arange(len(c)), self.own + 2 + groups), -1].astype(np.int64)
+        self.base = np.r_[np.log10(c + 1.0) - self.norm, 0.0]
+        self.share = np.r_[np.zeros(self.own), counts.tail_log10(c[self.own :].astype(float), groups[self.own :]), 0.0]
+        self.end = self.place.get(END.encode(), -1)
+
+    def group(self, word: bytes) -> int:
+        return self.endings[word[-SUBWORD:]] + self.beginnings[word[:SUBWORD]]
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """For each text: its codes, the end's last, as little-endian 32-bit integers; tokens, known tokens, base and
+        share of these; the words that are not in the table."""
+        words, which, offsets = split_words(texts, lower=True)
+        get, own, n = self.place.get, self.own, len(texts)
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        code = self.code[at]
+        absent = np.flatnonzero(at < 0)
+        code[absent] = [own + 2 + self.group(words[i]) for i in absent.tolist()]
+        sizes = np.diff(offsets)
+        full = np.flatnonzero(sizes)
+
+        def sums(each: np.ndarray, last: float) -> np.ndarray:
+            out = np.full(n, last, each.dtype)
+            if len(full):
+                out[full] += np.add.reduceat(each[which], offsets[:-1][full])
+            return out
+
+        codes = np.full(len(which) + n, own if self.end < 0 else self.code[self.end], "<i4")
+        codes[np.arange(len(which)) + np.repeat(np.arange(n), sizes)] = code[which]
+        raw, cuts = codes.tobytes(), [0, *(4 * (offsets[1:] + np.arange(1, n + 1))).tolist()]
+        is_rare = at[which] < 0
+        rare = np.cumsum(np.r_[0, is_rare])[offsets]
+        of_absent = np.zeros(len(words), np.int64)
+        of_absent[absent] = np.arange(len(absent))
+        names = pa.array([words[i] for i in absent.tolist()], pa.binary()).cast(pa.string())
+        rare_words = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), names.take(pa.array(of_absent[which[is_rare]])))
+        return (pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary()), sizes + 1, sums((at >= 0).astype(np.int64), int(self.end >= 0)), sums(self.base[at], self.base[self.end] if self.end >= 0 else 0.0),
+                sums(self.share[at], 0.0), rare_words)
+
+
+def coded(df: DataFrame, counts: Counts, id_col: str, text_col: str) -> DataFrame:
+    """The written table of row (a number), id, key (a hash of id and text), held_out, and what :class:`Coder` says."""
+    shared = df.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        coder, row = Coder(shared.value), TaskContext.get().partitionId() << 33
+        for b in slices(batches, 3, SLICE_ROWS):
+            codes, tokens, known, base, share, rare = coder(b.column(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns[:3], pa.array(tokens), pa.array(known), pa.array(base), pa.array(share), rare, codes],
+                                             names=["row", id_col, "key", "held_out", "n_tokens", "known", "base", "share", "rare", "codes"])
+            row += b.num_rows
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("key"), (~is_training(F.col(id_col))).alias("held_out"), F.col(text_col))
+    return written(rows.mapInArrow(run, f"row long, `{id_col}` {kind}, key long, held_out boolean, n_tokens long, known long, base double, share double, rare array<string>, codes binary"), "coded-texts")
+
+
+def shards_of(texts: DataFrame, tokens: int) -> DataFrame:
+    """The written table of training shards, a row each: shard, sizes of its texts, their codes."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        mine = sorted(zip(rows.column("key").to_pylist(), rows.column("codes").to_pylist(), strict=True))
+        sizes = np.array([len(c) // 4 for _, c in mine], "<i8")
+        return pa.table({"shard": [rows.column("shard")[0].as_py()], "sizes": pa.array([sizes.tobytes()], pa.binary()), "codes": pa.array([b"".join([c for _, c in mine])], pa.binary())})
+
+    n = max(1, round(tokens / SHARD_TOKENS))
+    rows = texts.filter("NOT held_out").select(F.pmod("key", F.lit(n)).alias("shard"), "key", "codes")
+    return written(rows.groupBy("shard").applyInArrow(pack, "shard long, sizes binary, codes binary"), "shards")
+
+
+def train(shards: DataFrame, counts: Counts, epochs: int = EPOCHS) -> tuple[LogBilinear, Tail]:
+    own, side, sc = counts.classes, counts.side, shards.sparkSession.sparkContext
     unigram = np.r_[counts.counts[:own], counts.tail_tokens].astype(np.float64) + 0.5
     unigram /= unigram.sum()
     model, tail = LogBilinear.fresh(unigram, groups=side * side), Tail.fresh(counts.group_tokens, side)
-    place = {w.encode(): i for i, w in enumerate(counts.words[:own])}
-    end = place.get(END.encode(), own)
     for epoch in range(epochs if counts.tokens else 0):
-        shared = sc.broadcast(([*model.arrays(), *tail.arrays()], place, unigram))
+        shared = sc.broadcast(([*model.arrays(), *tail.arrays()], unigram))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            part = TaskContext.get().partitionId()
-            arrays, place, unigram = shared.value
-            arrays = [a.copy() for a in arrays]
-            mine, groups = LogBilinear(*arrays[:4]), Tail(*arrays[4:])
-            squares = [np.full_like(a, 1e-4) for a in arrays]
-            rng, seen = np.random.default_rng([epoch, part]), 0
+            start, unigram = shared.value
+            flat, seen = 0.0, 0
             for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    ids, sizes, _ = sequences(b.slice(at, 500).column(0).to_pylist(), place, end, side)
-                    rare = np.flatnonzero(ids < 0)
-                    group = -1 - ids[rare]
-                    ids[rare] = own + 2 + group
-                    before = before_of(ids, sizes, own + 1)
-                    ids[rare] = own
-                    mine.train(before, ids, unigram, rng, squares[:4])
-                    order = rng.permutation(len(rare))
-                    groups.train(mine, before[rare[order]], group[order], squares[4:], squares[:4])
-                    seen += len(ids)
+                for at in range(b.num_rows):
+                    shard = b.column(0)[at].as_py()
+                    sizes, codes = (np.frombuffer(b.column(i)[at].as_buffer(), kind) for i, kind in ((1, "<i8"), (2, "<i4")))
+                    arrays = [a.copy() for a in start]
+                    mine, groups = LogBilinear(*arrays[:4]), Tail(*arrays[4:])
+                    squares = [np.full_like(a, 1e-4) for a in arrays]
+                    rng = np.random.default_rng([epoch, shard])
+                    before = before_of(codes, sizes, own + 1)
+                    for x in range(0, len(codes), STRETCH):
+                        ids, h = codes[x : x + STRETCH].astype(np.int64), before[x : x + STRETCH]
+                        rare = np.flatnonzero(ids > own)
+                        group = ids[rare] - own - 2
+                        ids[rare] = own
+                        mine.train(h, ids, unigram, rng, squares[:4])
+                        order = rng.permutation(len(rare))
+                        groups.train(mine, h[rare[order]], group[order], squares[4:], squares[:4])
+                    seen += len(codes)
+                    flat = flat + np.concatenate([a.ravel().astype(np.float64) for a in arrays]) * len(codes)
             if seen:
-                flat = np.concatenate([a.ravel().astype(np.float64) for a in arrays]) * seen
-                yield pa.RecordBatch.from_pydict({"part": [part % 16], "seen": [seen], "weights": pa.array([flat.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % 16], "seen": [seen], "weights": pa.array([flat.tobytes()], pa.binary())})
 
         def merge(key, rows):
             import pandas as pd
@@ -345,7 +479,7 @@ def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, epochs: int
             total = sum(np.frombuffer(w, np.float64) for w in rows["weights"])
             return pd.DataFrame({"seen": [int(rows["seen"].sum())], "weights": [total.tobytes()]})
 
-        trained = df.filter(is_training(F.col(id_col))).select(text_col).mapInArrow(run, "part long, seen long, weights binary")
+        trained = shards.select("shard", "sizes", "codes").mapInArrow(run, "part long, seen long, weights binary")
         merged = trained.groupBy("part").applyInPandas(merge, "seen long, weights binary").collect()  # 16 rows of the model's size at most
         if merged:
             flat = sum(np.frombuffer(r.weights, np.float64) for r in merged) / sum(r.seen for r in merged)
@@ -355,63 +489,53 @@ def train(df: DataFrame, counts: Counts, id_col: str, text_col: str, epochs: int
     return model, tail
 
 
+def model_scores(codes: np.ndarray, sizes: np.ndarray, model: LogBilinear, tail: Tail, own: int) -> np.ndarray:
+    """log10 of each text's probability but for the shares of tail words in their groups."""
+    before = before_of(codes, sizes, own + 1)
+    first, back = model.distinct(before)
+    q = model.predicted(before[first])
+    classes = np.minimum(codes.astype(np.int64), own)
+    p = model.of_distinct(q, back, classes)
+    in_tail = np.flatnonzero(codes > own)
+    used, place = np.unique(back[in_tail], return_inverse=True)
+    p[in_tail] += tail.log_probability(q[used], codes[in_tail].astype(np.int64) - own - 2, place)
+    return np.add.reduceat(p, np.cumsum(sizes) - sizes) / np.log(10)
+
+
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", epochs: int = EPOCHS) -> DataFrame:
     """One row for each row of ``df``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     counted = count_words(df, id_col, text_col)
+    freed(df.sparkSession)
     counts = summary(counted)
-    model, tail = train(df, counts, id_col, text_col, epochs)
-    own, side = counts.classes, counts.side
-    shared = df.sparkSession.sparkContext.broadcast((model.arrays(), tail.arrays(), [w.encode() for w in counts.words], counts.counts, counts))
+    texts = coded(df, counts, id_col, text_col)
+    shards = shards_of(texts, counts.tokens)
+    freed(df.sparkSession)
+    model, tail = train(shards, counts, epochs)
+    deleted(shards)
+    own, side, trained = counts.classes, counts.side, counts.tokens > 0
+    shared = df.sparkSession.sparkContext.broadcast((model.arrays(), tail.arrays()))
     norm = float(np.log10(counts.tokens + counts.types + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        arrays, groups, words, c, info = shared.value
-        lbl, tail, place = LogBilinear(*arrays), Tail(*groups), {w: i for i, w in enumerate(words)}
-        endings, beginnings = Subwords(side, side), Subwords(side, 1)
-        group_of = np.array([endings[w[-SUBWORD:]] + beginnings[w[:SUBWORD]] for w in words], np.int64)
-        end = place.get(END.encode(), -1)
-        base = np.r_[np.log10(c + 1.0) - norm, 0.0]  # the last: not in the table
-        share = np.r_[np.zeros(own), info.tail_log10(c[own:].astype(float), group_of[own:]), 0.0]
-        row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                ids, sizes, split = sequences(some.column(2).to_pylist(), place, end, side)
-                starts = np.cumsum(sizes) - sizes
-                at_tail = np.flatnonzero((ids < 0) | (ids >= own))
-                group = np.where(ids[at_tail] < 0, -1 - ids[at_tail], group_of[ids[at_tail]] if len(words) else 0)
-                classes, ids = ids.copy(), np.maximum(ids, -1)
-                classes[at_tail] = own + 2 + group
-                p = share[ids]
-                if info.tokens:
-                    before = before_of(classes, sizes, own + 1)
-                    classes[at_tail] = own
-                    p = p + lbl.log_probability(before, classes) / np.log(10)
-                    p[at_tail] += tail.log_probability(lbl.predicted(before[at_tail]), group) / np.log(10)
-                else:
-                    p = np.zeros(len(ids))
-                known = np.add.reduceat((ids >= 0).astype(np.int64), starts)
-                rare = [[w.decode() for w, i in zip(ws, ids[s : s + len(ws)].tolist(), strict=True) if i < 0] if k < n else [] for ws, s, k, n in zip(split, starts.tolist(), known.tolist(), sizes.tolist(), strict=True)]
-                n = some.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), some.column(0), some.column(1), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(base[ids], starts)), pa.array(np.add.reduceat(p, starts)),
-                                                  pa.array(rare, pa.list_(pa.string())), pa.array([int(ids[s + m - 1] < 0) for s, m in zip(starts.tolist(), sizes.tolist(), strict=True)], pa.int64())],
-                                                 names=["row", id_col, "held_out", "n_tokens", "known", "base", "score", "rare", "no_end"])
-                row += n
-
-    kind = df.schema[id_col].dataType.simpleString()
-    partial = df.select(F.col(id_col), (~is_training(F.col(id_col))).alias("held_out"), F.col(text_col)).mapInArrow(run, f"row long, `{id_col}` {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<string>, no_end long")
-    partial = written(partial, "partial-scores")
-    freed(df.sparkSession)
+        arrays, groups = shared.value
+        lbl, rest = LogBilinear(*arrays), Tail(*groups)
+        for b in slices(batches, b_codes, SLICE_ROWS):
+            sizes = pc.binary_length(b.column(b_codes)).to_numpy().astype(np.int64) // 4
+            codes = np.frombuffer(b"".join(b.column(b_codes).to_pylist()), "<i4")
+            p = model_scores(codes, sizes, lbl, rest, own) if trained and b.num_rows else np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:b_codes], pa.array(p)], names=[*b.schema.names[:b_codes], "model"])
+
+    kept = ["row", id_col, "held_out", "n_tokens", "known", "base", "share"]
+    b_codes = len(kept)
+    scored = texts.select(*kept, "codes").mapInArrow(run, T.StructType([*[texts.schema[c] for c in kept], T.StructField("model", T.DoubleType())]))
     c = F.coalesce("c", F.lit(0))
     shares = df.sparkSession.createDataFrame([(g, int(n), float(u)) for g, (n, u) in enumerate(zip(counts.group_tokens, counts.tail_log10(np.zeros(side * side), np.arange(side * side)), strict=True))], "g bigint, of bigint, unseen double")
     share = F.when(c > 0, F.log10((c - counts.discount) / F.col("of"))).otherwise(F.col("unseen"))
-    found = partial.select("row", F.explode("rare").alias("word")).join(counted, "word", "left").withColumn("g", group_column(F.col("word"), side)).join(F.broadcast(shares), "g", "left")
+    found = texts.select("row", F.explode("rare").alias("word")).join(counted, "word", "left").withColumn("g", group_column(F.col("word"), side)).join(F.broadcast(shares), "g", "left")
     sums = found.groupBy("row").agg(F.sum((c > 0).cast("long")).alias("k"), F.sum(F.log10(c + 1.0) - F.lit(norm)).alias("b"), F.sum(share).alias("s"))
-    out = partial.drop("rare").join(sums, "row", "left")
+    out = scored.join(sums, "row", "left")
     return out.select(F.col(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(counts.tokens).cast("bigint").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("no_end") * F.lit(norm)).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"))
+                      (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("model") + F.col("share") + F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
 def op6_lm_scores(spark, sf_dir):

@@ -3,6 +3,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SF
 
@@ -76,11 +77,60 @@ def test_tail_words_have_contexts(spark, monkeypatch):
     assert mean(right) > mean(wrong) + 0.15
 
 
+def plain_score(codes, model, tail, own):
+    """A text's log10 probability by plain loops over tokens and classes, in double precision."""
+    side, total = len(tail.first), 0.0
+    soft = lambda q, vectors, bias, k: (z := [float(np.dot(v.astype(float), q)) + float(x) for v, x in zip(vectors, bias)])[k] - np.logaddexp.reduce(z)
+    for i, code in enumerate(codes):
+        q = np.zeros(L.WIDTH)
+        for j in range(L.CONTEXT):
+            q += model.contexts[codes[i - 1 - j] if i > j else own + 1].astype(float) * model.position[j]
+        total += soft(q, model.targets, model.bias, min(code, own))
+        if code > own:
+            a, b = divmod(code - own - 2, side)
+            total += soft(q, tail.first, tail.first_bias, a) + soft(q, tail.second[a], tail.second_bias[a], b)
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("size", [1.0, 40.0])
+def test_scores_against_plain_loops(size):
+    """Also with logits that exp can't take as they are."""
+    rng, own, side = np.random.default_rng(3), 9, 3
+    draw = lambda *shape: (rng.standard_normal(shape) * size).astype(np.float32)
+    model = L.LogBilinear(draw(own + 2 + side * side, L.WIDTH) / 4, draw(L.CONTEXT, L.WIDTH) / size, draw(own + 1, L.WIDTH) / 4, draw(own + 1))
+    tail = L.Tail(draw(side, L.WIDTH) / 4, draw(side), draw(side, side, L.WIDTH) / 4, draw(side, side))
+    texts = [np.where((c := rng.integers(0, own + side * side, n)) >= own, c + 2, c).astype("<i4") for n in (1, 2, 5, 30)]
+    got = L.model_scores(np.concatenate(texts), np.array([len(t) for t in texts]), model, tail, own)
+    assert np.allclose(got, [plain_score(t.tolist(), model, tail, own) for t in texts], rtol=1e-4)
+
+
+def test_scores_do_not_follow_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_TOKENS", 50_000)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = df.collect()
+    runs = []
+    for n in (1, 6, 16):
+        again = spark.createDataFrame(rows[n:] + rows[:n], df.schema).repartition(n)
+        runs.append({r.doc_id: (r.score, r.base_score) for r in L.score_documents(again).collect()})
+    for other in runs[1:]:
+        assert all(np.allclose(other[i], v, rtol=1e-6) for i, v in runs[0].items())
+
+
+def test_common_words_without_a_cut_among_ties(spark, monkeypatch):
+    """More words of one count than the table may hold."""
+    monkeypatch.setattr(L, "COMMON", 10)
+    rows = [(i, " ".join(f"w{k}" for k in range(40))) for i in range(30)]
+    want = brute(rows)
+    for r in L.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), epochs=1).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4] and abs(r.base_score - want[r.doc_id][4]) < 1e-6 * r.n_tokens
+
+
 def test_groups(spark):
     words = ["a", "ab", "abc", "abcd", "été", "naïveté", "日本語"]
     rows = spark.createDataFrame([(w,) for w in words], "word string").withColumn("g", L.group_column(L.F.col("word"), 5)).collect()
-    ids, _, _ = L.sequences([" ".join(words)], {}, 0, 5)
-    assert [r.g for r in rows] == (-1 - ids[:-1]).tolist()
+    coder = L.Coder(L.Counts(0, 0, [], np.zeros(0, int), 0, 0, 0.5, 5, np.zeros(25, int), np.zeros(25, int)))
+    codes = np.frombuffer(coder(pa.array([" ".join(words)]))[0][0].as_py(), "<i4")
+    assert [r.g for r in rows] == (codes[:-1] - 2).tolist()
     tail, q = L.Tail.fresh(np.arange(25), 5), np.random.default_rng(0).standard_normal((9, L.WIDTH)).astype(np.float32)
     assert np.allclose(np.exp([tail.log_probability(q, np.full(9, g)) for g in range(25)]).sum(axis=0), 1, atol=1e-5)
     c = L.Counts(20, 8, [], np.zeros(0, int), 10, 4, 0.4, 2, np.array([7, 3, 0, 0]), np.array([2, 2, 0, 0]))
