@@ -7,10 +7,15 @@ lowest bit, then that bit by successive approximation, with restart intervals. T
 it accumulates all scans in coefficient arrays, inverse-transforms them in numpy, upsamples chroma and gives RGB
 tensors of full resolution. Restart segments of a whole batch are decoded side by side, a numpy lane each.
 
+A payload of more than PIECE bytes is stored as several pictures one after the other in its file, strips of one width
+that stand below each other in the tensor, so the memory it takes is bounded by PIECE but for its bytes and tensor.
+
 The inverse transform is exact integer arithmetic (in doubles below 2**53), so equal bytes give equal tensors.
 
 Cases: null and empty payloads are stored as one padded unit of payload. A file that is not a progressive 8-bit JPEG of
-three components, or is cut short, raises. No rows give no rows. The query reads id and text alone."""
+three components, or is cut short, raises. Repeated rows give equal values. No rows give no rows. Other columns are kept
+by :func:`store_payloads` and :func:`load_media`, but those of their outputs' names, which are replaced; the query reads
+id and text alone."""
 
 from __future__ import annotations
 
@@ -19,7 +24,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -27,13 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.llm.common import table
 
 UNIT = 192
-RESTART = 12
-CHUNK = 4_000_000
+#: Units of 16 x 16 pixels between restarts, bytes of payload that are worked on at once, units of a picture's column.
+RESTART = 3
+CHUNK = 2_000_000
 TALLEST = 4000
+#: Bytes of a picture's payload: one column, so that pictures of one payload have one width.
+PIECE = 2 * UNIT * TALLEST
 # The scans written: (components, first and last coefficient, high bit, low bit).
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1), *[((c,), a, b, 0, 1) for a, b in ((1, 5), (6, 63)) for c in range(3)], ((0, 1, 2), 0, 0, 1, 0), *[((c,), 1, 63, 1, 0) for c in range(3)]]
 _MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
@@ -280,26 +289,25 @@ class Picture:
     blocks: int = 0
 
 
-def parse(raw: bytes) -> Picture:
-    """Headers, and the entropy-coded segments of each scan."""
+def parse(raw: bytes, at: int = 0) -> tuple[Picture, int]:
+    """Headers, and the entropy-coded segments of each scan, of the picture at ``at``; where it ends."""
     try:
-        return _parsed(raw)
+        return _parsed(raw, at)
     except (struct.error, IndexError, KeyError) as e:
         raise ValueError("JPEG is cut short") from e
 
 
-def _parsed(raw: bytes) -> Picture:
-    if raw[:2] != b"\xff\xd8":
+def _parsed(raw: bytes, at: int) -> tuple[Picture, int]:
+    if raw[at : at + 2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    pic, at, tables, quant, ids, interval = Picture(), 2, {}, {}, {}, 0
+    pic, at, tables, quant, ids, interval = Picture(), at + 2, {}, {}, {}, 0
     while True:
+        if raw[at : at + 2] == b"\xff\xd9":
+            at += 2
+            break
         if at + 4 > len(raw):
-            if raw[at : at + 2] == b"\xff\xd9":
-                break
             raise ValueError("JPEG is cut short")
         code, size = raw[at + 1], struct.unpack_from(">H", raw, at + 2)[0]
-        if code == 0xD9:
-            break
         data = raw[at + 4 : at + 2 + size]
         at += 2 + size
         if code == 0xFE and data.startswith(b"payload="):
@@ -355,7 +363,7 @@ def _parsed(raw: bytes) -> Picture:
     if not pic.blocks:
         raise ValueError("JPEG without a frame")
     pic.quantisers = [quant[q] for q in quants]
-    return pic
+    return pic, at
 
 
 class Lanes:
@@ -553,26 +561,71 @@ def tensors(pictures: list[Picture], c: np.ndarray, base: np.ndarray) -> list[np
 
 
 def decode_batch(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
-    """Payload (all coefficients, where the file tells no length) and RGB tensor of each file."""
-    if not files:
-        return []
-    pictures = [parse(f) for f in files]
+    """Payload (all coefficients, where the file tells no length) and RGB tensor of each file; a file's pictures are
+    strips of its tensor."""
+    parts: list[tuple[list[bytes], list[np.ndarray]]] = [([], []) for _ in files]
+    for i, payload, rgb in decoded(files):
+        parts[i][0].append(payload)
+        parts[i][1].append(rgb)
+    return [(b"".join(p), t[0] if len(t) == 1 else np.concatenate(t)) for p, t in parts]
+
+
+def decoded(files: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Number of the file, payload and RGB tensor of each picture, decoded as many together as CHUNK allows."""
+    group: list[tuple[int, Picture]] = []
+    size = 0
+    for i, raw in enumerate(files):
+        at = 0
+        while at < len(raw) or not at:
+            pic, end = parse(raw, at)
+            if group and size + end - at > CHUNK:
+                yield from _decoded(group)
+                group, size = [], 0
+            group.append((i, pic))
+            size, at = size + end - at, end
+            if raw[at : at + 2] != b"\xff\xd8":  # whatever else follows a picture
+                break
+    yield from _decoded(group)
+
+
+def _decoded(group: list[tuple[int, Picture]]) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    if not group:
+        return
+    pictures = [p for _, p in group]
     c, base = coefficients(pictures)
-    payloads = []
-    for p, a, b in zip(pictures, base, base[1:], strict=False):
+    for (i, p), a, b, rgb in zip(group, base, base[1:], tensors(pictures, c, base), strict=False):
         raw = (c[a:b] + 128).astype(np.uint8).tobytes()
-        payloads.append(raw[: p.payload] if p.payload is not None else raw)
-    return list(zip(payloads, tensors(pictures, c, base), strict=True))
+        yield i, raw[: p.payload] if p.payload is not None else raw, rgb
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """The file of each payload: a picture for each PIECE bytes."""
+    pieces = [(i, p[at : at + PIECE]) for i, p in enumerate(payloads) for at in range(0, len(p) or 1, PIECE)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for x, y in _chunks([p for _, p in pieces]):
+        for (i, _), picture in zip(pieces[x:y], encode_batch([p for _, p in pieces[x:y]]), strict=True):
+            out[i].append(picture)
+    return [b"".join(o) for o in out]
 
 
 def pad(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b" " * (-len(raw) % unit if raw else unit)
 
 
-def feature(rgb: np.ndarray) -> str:
-    """Size, channel means and checksum of a tensor."""
-    means = ",".join(f"{x / (rgb.shape[0] * rgb.shape[1]):.4f}" for x in rgb.sum(axis=(0, 1), dtype=np.int64).tolist())
-    return f"{rgb.shape[1]}x{rgb.shape[0]};{means};{zlib.crc32(rgb.tobytes()):08x}"
+class Feature:
+    """Size, channel means and checksum of a tensor that comes in strips."""
+
+    def __init__(self) -> None:
+        self.width = self.height = self.check = 0
+        self.sums = np.zeros(3, np.int64)
+
+    def add(self, rgb: np.ndarray) -> None:
+        self.width, self.height, self.check = rgb.shape[1], self.height + rgb.shape[0], zlib.crc32(rgb.tobytes(), self.check)
+        self.sums += rgb.sum(axis=(0, 1), dtype=np.int64)
+
+    def __str__(self) -> str:
+        means = ",".join(f"{x / (self.height * self.width):.4f}" for x in self.sums.tolist())
+        return f"{self.width}x{self.height};{means};{self.check:08x}"
 
 
 def _chunks(values: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -587,48 +640,62 @@ def _chunks(values: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
-def store_payloads(df: DataFrame, payload_col: str, out_col: str = "media") -> DataFrame:
-    """``df`` with each payload's progressive JPEG; the payload is binary or text, null as empty."""
+def _without(df: DataFrame, *names: str) -> list[str]:
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def _mapped(df: DataFrame, kept: list[str], column: str, fields: list[tuple[str, T.DataType]], work: Callable[[list], list[pa.Array]]) -> DataFrame:
+    """The ``kept`` columns of ``df`` with those that ``work`` makes of the values of ``column``, some rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [pad(x.encode() if isinstance(x, str) else bytes(x or b"")) for x in b.column(place).to_pylist()]
-            for x, y in _chunks(raw):
-                some = b.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(encode_batch(raw[x:y]), pa.binary())], names=[*b.schema.names, out_col])
+            values = [x.encode() if isinstance(x, str) else x or b"" for x in b.column(len(kept)).to_pylist()]
+            for x, y in _chunks(values):
+                yield pa.RecordBatch.from_arrays([*b.slice(x, y - x).columns[:-1], *work(values[x:y])], names=[*kept, *[n for n, _ in fields]])
+
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("_value"))
+    return rows.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, k) for n, k in fields]]))
+
 
-    place = df.columns.index(payload_col)
-    return df.mapInArrow(run, df.select("*", F.lit(None).cast("binary").alias(out_col)).schema)
+def store_payloads(df: DataFrame, payload_col: str, out_col: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with each payload's progressive JPEG; the payload is binary or text, null as
+    empty."""
+    kept = [c for c in _without(df, out_col) if keep is None or c in keep]
+    return _mapped(df, kept, payload_col, [(out_col, T.BinaryType())], lambda values: [pa.array(encode_payloads([pad(v) for v in values]), pa.binary())])
 
 
 def load_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """``df`` with payload, width, height and rgb (the tensor's bytes, row by row) of each file."""
+    fields = [("payload", T.BinaryType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("rgb", T.BinaryType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            files = b.column(place).to_pylist()
-            for x, y in _chunks(files):
-                some, got = b.slice(x, y - x), decode_batch(files[x:y])
-                extra = [pa.array([p for p, _ in got], pa.binary()), pa.array([t.shape[1] for _, t in got], pa.int32()), pa.array([t.shape[0] for _, t in got], pa.int32()), pa.array([t.tobytes() for _, t in got], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*some.columns, *extra], names=[*b.schema.names, "payload", "width", "height", "rgb"])
+    def work(files: list[bytes]) -> list[pa.Array]:
+        got = decode_batch(files)
+        return [pa.array([p for p, _ in got], pa.binary()), pa.array([t.shape[1] for _, t in got], pa.int32()), pa.array([t.shape[0] for _, t in got], pa.int32()), pa.array([t.tobytes() for _, t in got], pa.binary())]
 
-    place = df.columns.index(media_col)
-    none = [F.lit(None).cast(k).alias(n) for n, k in (("payload", "binary"), ("width", "int"), ("height", "int"), ("rgb", "binary"))]
-    return df.mapInArrow(run, df.select("*", *none).schema)
+    return _mapped(df, _without(df, *[n for n, _ in fields]), media_col, fields, work)
 
 
-def op1_media(spark, sf_dir):
-    """Stored and read back chunk by chunk: neither files nor tensors travel beyond the task."""
+def media_digests(df: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with what the bytes of each file read back say: payload_bytes, payload_sha256, tail_crc32 (of the payload's last 16
+    bytes), media_bytes, media_sha256, feature (of the tensor)."""
+    fields = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, raw = b.column(0), [(x or "").encode() for x in b.column(1).to_pylist()]
-            for x, y in _chunks(raw):
-                files = encode_batch([pad(r) for r in raw[x:y]])
-                rows = [(len(r), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(t)) for r, f, (p, t) in zip(raw[x:y], files, decode_batch(files), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(x, y - x), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    def work(files: list[bytes]) -> list[pa.Array]:
+        sizes, sha, tails, features = [0] * len(files), [hashlib.sha256() for _ in files], [b""] * len(files), [Feature() for _ in files]
+        for i, payload, rgb in decoded(files):
+            sizes[i] += len(payload)
+            sha[i].update(payload)
+            tails[i] = (tails[i] + payload[-16:])[-16:]
+            features[i].add(rgb)
+        return [pa.array(sizes, pa.int64()), pa.array([h.hexdigest() for h in sha]), pa.array([zlib.crc32(t) for t in tails], pa.int64()), pa.array([len(f) for f in files], pa.int64()),
+                pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array([str(f) for f in features])]
+
+    kept = [c for c in _without(df, *[n for n, _ in fields]) if keep is None or c in keep]
+    return _mapped(df, kept, media_col, fields, work)
+
+
+def op1_media(spark, sf_dir):
+    """The texts stored as a column of files, and what is read back from that column."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    return media_digests(store_payloads(docs, "text", keep=["doc_id", "n_bytes"]), keep=["doc_id", "n_bytes"])

@@ -6,6 +6,7 @@ from html import unescape
 import numpy as np
 import pytest
 from oracle import SF
+from pyspark.sql import functions as F
 
 from rowloom.llm import html_text as H
 from rowloom.llm import media as M
@@ -62,10 +63,35 @@ def test_media_query(spark):
 
 
 def test_media_columns(spark):
-    df = spark.createDataFrame([(1, "é" * 400, "x"), (2, None, "y"), (2, "", "y")], "doc_id bigint, text string, payload string").drop("payload")
-    got = M.load_media(M.store_payloads(df, "text")).sort("doc_id").collect()
+    """Columns of the outputs' names are replaced, all others kept; repeated rows are alike."""
+    df = spark.createDataFrame([(1, "é" * 400, "x", 5), (2, None, "y", 6), (2, "", "y", 7), (2, "", "y", 7)], "doc_id bigint, text string, payload string, width int")
+    df = df.withColumn("media", F.lit("old")).withColumn("RGB", F.lit(1)).withColumn("feature", F.lit(2))
+    stored = M.store_payloads(df, "text")
+    assert stored.columns == ["doc_id", "text", "payload", "width", "RGB", "feature", "media"]
+    got = M.load_media(stored).sort("doc_id").collect()
+    assert M.load_media(stored).columns == ["doc_id", "text", "feature", "media", "payload", "width", "height", "rgb"]
     assert bytes(got[0].payload) == M.pad(("é" * 400).encode()) and bytes(got[1].payload) == b" " * 192 and len(got[0].rgb) == got[0].width * got[0].height * 3
-    assert M.store_payloads(df.limit(0), "text").count() == 0
+    assert got[2].rgb == got[3].rgb == got[1].rgb and got[0].text == "é" * 400
+    said = M.media_digests(stored).sort("doc_id").collect()
+    assert said[0].payload_sha256 == hashlib.sha256(got[0].payload).hexdigest() and said[0].media_bytes == len(got[0].media) and said[1].feature == said[2].feature
+    assert M.store_payloads(df.limit(0), "text").count() == 0 and M.media_digests(stored.limit(0)).count() == 0
+
+
+def test_long_payloads_are_strips(spark):
+    """Texts of more than a picture: strips of one width, one above the other, each as it is alone."""
+    text = "".join(f"{i}, " for i in range(500_000))
+    assert len(text) > 2 * M.PIECE
+    payload = M.pad(text.encode())
+    (file, small), (back, rgb) = M.encode_payloads([payload, b"a" * 192]), M.decode_batch(M.encode_payloads([payload]))[0]
+    assert back == payload and rgb.shape[1] == 16 and file.count(b"\xff\xd8") >= 3
+    first = M.decode_batch(M.encode_batch([payload[: M.PIECE]]))[0][1]
+    assert (rgb[: len(first)] == first).all()
+    whole = M.Feature()
+    whole.add(rgb)
+    df = spark.createDataFrame([(1, text), (2, "a" * 192)], "doc_id bigint, text string")
+    got = M.media_digests(M.store_payloads(df, "text")).sort("doc_id").collect()
+    assert (got[0].payload_bytes, got[0].payload_sha256, got[0].feature) == (len(payload), hashlib.sha256(payload).hexdigest(), str(whole))
+    assert got[0].media_sha256 == hashlib.sha256(file).hexdigest() and got[1].media_sha256 == hashlib.sha256(small).hexdigest()
 
 
 def test_pages_against_their_source(spark):
