@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from html import unescape
@@ -105,8 +106,8 @@ def test_pages_against_their_source(spark):
         assert got[r.page_id].text == "\n".join(x for x in parts if x) and got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url
 
 
-def text(html, noise=None):
-    return H.main_text(H.parse(html)[0], noise)
+def text(html):
+    return H.main_text(H.parse(html)[0])
 
 
 def test_page_cases():
@@ -117,6 +118,56 @@ def test_page_cases():
     assert text("<div><p>Long text here</p></div><ul><li><a href=x>link</a></li></ul><div class=ad>Buy</div>") == "Long text here"
 
 
+def test_names_with_a_word_of_noise_stay_in_articles():
+    page = "<article><h2 id=ad-hoc-networks>Ad hoc</h2><section id='related-work'><p>Work</p></section><div class='social-impact'>Impact</div><p id=comments>Place</p><math><mi>x</mi></math><div class='ad-box'>Buy</div><footer>Foot</footer></article>"
+    assert text(page) == "Ad hoc\nWork\nImpact\nPlace\nx"
+    assert text("<div class='ad hoc'>Buy</div><div class='related-work'>Work</div><div id='main-menu'>M</div>") == "Work"
+
+
+def test_unclosed_quotes_and_time():
+    from time import process_time
+
+    assert text("<p>a<a href='x>b</a><p>c") == "ab\nc" and text("<p>a<b title=\"q>it's</b> <i>c</i>") == "ait's c"
+    began = process_time()
+    for page in ("<a '" * 50_000, "<a '>" * 50_000, "<a \"'" * 50_000 + ">", "<!--" * 50_000, "<" * 200_000, "<div>" * 900 + "x" * 10**6):
+        text(page)
+    assert process_time() - began < 10
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article>" + "".join(f"<p>Word {i} and more</p>" for i in range(40_000)) + "</article>"
+    pages = [(1, "http://l/1", long), (1, "http://l/1", long), (2, "http://l/2", "<p>x</p>"), (2, "http://l/2", "<p>x</p>")]
+    got = sorted((r.page_id, r.n_chars, r.text[-19:]) for r in H.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect())
+    assert got[0] == got[1] == (1, sum(len(f"Word {i} and more") + 1 for i in range(40_000)) - 1, "Word 39999 and more") and got[2] == got[3] == (2, 1, "x")
+
+
+def entropy(values):
+    """Plain: of the values' shares, over that of as many different ones."""
+    n = len(values)
+    return -sum(values.count(v) / n * math.log(values.count(v) / n) for v in set(values)) / math.log(n)
+
+
+def test_tree_decides_on_hosts_without_articles(spark):
+    """Unmarked boilerplate of several kinds, told from the story by its diversity alone: with the tree and without."""
+    story = lambda h, i: f"<div class=text><h1>Head {h} {i}</h1><p>Story {i} of {h} has {i * 7} words</p><p>And more of {i}</p></div>"
+    pages = []
+    for h in range(4):
+        for i in range(12):
+            slogan = f"<div class=slogan><p>Best site no {h}</p></div>" if h % 2 else ""
+            legal = f"<div class=end><p>All rights of {h}</p><p>Since 19{h}0</p></div>"
+            half = f"<div class='related-story'><p>{'First' if i % 4 else 'Second'} pick</p></div>"  # weak mark, some diversity
+            pages.append((h * 100 + i, f"http://h{h}/{i}", f"<html><body>{slogan}{half}{story(h, i)}{legal}</body></html>"))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    on, off = ({r.page_id: r.text for r in H.extract(df, tree=t).collect()} for t in (True, False))
+    for h in range(4):
+        for i in range(12):
+            want = f"Head {h} {i}\nStory {i} of {h} has {i * 7} words\nAnd more of {i}"
+            assert on[h * 100 + i] == want and off[h * 100 + i] != want and want in off[h * 100 + i]
+    picks = ["First" if i % 4 else "Second" for i in range(12)]
+    got = {(r.host, r.path.rpartition("/")[2]): r.diversity for r in H.style_tree(df).collect()}
+    assert abs(got["h0", "div.related-story ~"] - entropy(picks)) < 1e-9 and got["h0", "div.end"] == 0 and got["h1", "div.slogan"] == 0 and abs(got["h2", "div.text"] - 1) < 1e-9
+
+
 def test_a_sign_that_begins_no_tag_is_text():
     assert text("<p>price < 5 euros today") == "price < 5 euros today" and text("a < b and c <3 <") == "a < b and c <3 <"
     assert text("<p>x < y <b") == "x < y" and text("<p>x < y </") == "x < y" and text("<p>x < y <!-") == "x < y"
