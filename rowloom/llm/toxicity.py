@@ -17,9 +17,8 @@ scored alike. No rows give no rows. :func:`score_documents` reads id and text al
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import crc_of, table
+from rowloom.llm.words import slices, split_words
 
 ORDER = 6
 #: Labelled rows of each class that the fit may use.
-SAMPLE = 2000
+SAMPLE = 3000
 #: Of those, one in so many is for the logistic curve.
 HELD_FOR_CURVE = 4
+#: Expressions whose scores a worker keeps, and rows of a slice.
+KEEP, SLICE_ROWS = 200_000, 4000
 _EDGES = b" \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#$%&<>-_/\\"
 
 
@@ -123,13 +125,15 @@ class KneserNeyPair:
         top = valid.sum(axis=0) - 1
         code = keys[top, np.arange(keys.shape[1])] * np.uint64(8) + top.astype(np.uint64)
         codes, first, back = np.unique(code, return_index=True, return_inverse=True)
-        per = self._grams_difference(keys[:, first], valid[:, first])
+        p = np.log(self.probabilities(keys[:, first], valid[:, first]))
+        per = p[:, 0] - p[:, 1]
         return np.add.reduceat(per[back], np.cumsum(sizes) - sizes) / sizes
 
-    def _grams_difference(self, keys: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    def probabilities(self, keys: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """P of the last byte after those before it, in each class; over all 256 bytes they sum to one."""
         m = keys.shape[1]
-        shared = np.full(m, 1 / 257.0)
-        probability = np.full((m, 2), 1 / 257.0)
+        shared = np.full(m, 1 / 256)
+        probability = np.full((m, 2), 1 / 256)
         for n in range(self.order):
             context = keys[n] - keys[0]
             d = self.discount[n]
@@ -146,38 +150,41 @@ class KneserNeyPair:
             use = ok & (st[:, 0] > 0)
             lower = np.maximum(s - 0.75, 0) / np.maximum(st[:, 0], 1) + 0.75 * st[:, 1] / np.maximum(st[:, 0], 1) * shared
             shared = np.where(use, lower, shared)
-        return np.log(probability[:, 0]) - np.log(probability[:, 1])
+        return probability
 
 
 @dataclass
 class ToxicModel:
     pair: KneserNeyPair | None
     curve: tuple[float, float, float] = (-50.0, 0.0, 0.0)  # bias, weights of maximum and mean
-    keep: int = 100_000
+    keep: int = KEEP
 
     def __post_init__(self) -> None:
         self.known: dict[bytes, float] = {}
 
-    def features(self, texts: Iterable[str | None]) -> np.ndarray:
+    def features(self, texts: pa.Array) -> np.ndarray:
         """Maximum and mean of each text's expression scores; zeros without expressions."""
-        split = [expressions(t) for t in texts]
+        out = np.zeros((len(texts), 2))
         if self.pair is None:
-            return np.zeros((len(split), 2))
-        if len(self.known) > self.keep:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
+            return out
+        words, which, offsets = split_words(texts, lower=True)
+        said = [w.strip(_EDGES) or w for w in words]
+        new = list({w for w in said if w not in self.known})
+        if len(self.known) + len(new) > self.keep:
+            self.known, new = {}, list(set(said))
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             self.known.update(zip(some, self.pair.difference(some).tolist(), strict=True))
-        known = self.known
-        out = np.zeros((len(split), 2))
-        for i, words in enumerate(split):
-            if words:
-                scores = [known[w] for w in words]
-                out[i] = max(scores), math.fsum(scores) / len(scores)
+        each = np.fromiter(map(self.known.__getitem__, said), float, len(said))[which]
+        sizes = np.diff(offsets)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = offsets[:-1][full]
+            out[full, 0] = np.maximum.reduceat(each, starts)
+            out[full, 1] = np.add.reduceat(each, starts) / sizes[full]
         return out
 
-    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
         bias, a, b = self.curve
         f = self.features(texts)
         return 1 / (1 + np.exp(-np.clip(bias + a * f[:, 0] + b * f[:, 1], -50, 50)))
@@ -213,7 +220,7 @@ def fit(rows: list[tuple[int | None, str | None, int]], order: int = ORDER) -> T
     model = ToxicModel(KneserNeyPair(*counts, order))
     if len({y for _, y in curve}) < 2:
         curve = [(t, y) for _, t, y in rows]
-    model.curve = _logistic(model.features([t for t, _ in curve]), np.array([y for _, y in curve], float))
+    model.curve = _logistic(model.features(pa.array([t for t, _ in curve], pa.string())), np.array([y for _, y in curve], float))
     model.known = {}
     return model
 
@@ -249,11 +256,9 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                some = b.slice(at, 1000)
-                s = m.score(some.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[id_col, "held_out", "score", "predicted"])
+        for some in slices(batches, 2, SLICE_ROWS):
+            s = m.score(some.column(2))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(F.col(id_col), (crc_of(F.col(id_col)) % 5 == 0).alias("held_out"), F.col(text_col)).mapInArrow(run, schema)
@@ -265,10 +270,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                some = b.slice(at, 1000)
-                yield some.filter(pa.array(shared.value.score(some.column(place).to_pylist()) < 0.5))
+        for some in slices(batches, place, SLICE_ROWS):
+            yield some.filter(pa.array(shared.value.score(some.column(place)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

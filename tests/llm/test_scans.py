@@ -3,10 +3,14 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import math
 import re
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,13 +189,87 @@ def test_scan_frame(spark):
 
 
 def test_pair_is_a_distribution():
-    from collections import Counter
-
     pair = X.KneserNeyPair(Counter({b"idiot": 5, b"the": 20, b"idiom": 1}), Counter({b"the": 90, b"then": 9, b"of": 30}), order=3)
     assert pair.difference([b"idiot"])[0] > 0.5 > abs(pair.difference([b"zzz"])[0])
     assert pair.difference([b"then"])[0] < 0 and pair.difference([]).size == 0
 
 
+class PlainPair:
+    """The two models by dictionaries and recursion, a gram at a time."""
+
+    def __init__(self, toxic, ordinary, order):
+        self.order = order
+        self.count, self.after, self.before = {}, {}, {}
+        for w in {*toxic, *ordinary}:
+            said = b"\1" + w + b"\1"  # the start, and the end
+            for i in range(1, len(said)):
+                for n in range(min(order, i + 1)):
+                    gram = said[i - n : i + 1]
+                    for k, c in enumerate((toxic[w], ordinary[w])):
+                        if c:
+                            self.count[k, gram] = self.count.get((k, gram), 0) + c
+                            self.after.setdefault((k, n, gram[:-1]), set()).add(gram)
+                    longer = said[i - n - 1 : i + 1] if n + 1 < order else None
+                    if n + 1 == order:
+                        self.before.setdefault((n, gram), set()).add(gram)
+                    elif i - n - 1 >= 0:
+                        self.before.setdefault((n, gram), set()).add(longer)
+        self.discount = []
+        for n in range(order):
+            c = [v for (_, g), v in self.count.items() if len(g) == n + 1]
+            one, two = c.count(1), c.count(2)
+            self.discount.append(one / (one + 2 * two) if one and two else 0.75)
+
+    def shared(self, said, i, n):
+        if n < 0:
+            return 1 / 256
+        if i - n < 0:
+            return self.shared(said, i, n - 1)
+        gram, low = said[i - n : i + 1], self.shared(said, i, n - 1)
+        ends = {g: len(x) for (m, g), x in self.before.items() if m == n and g[:-1] == gram[:-1]}
+        total = sum(ends.values())
+        return max(ends.get(gram, 0) - 0.75, 0) / total + 0.75 * len(ends) / total * low if total else low
+
+    def probability(self, k, said, i):
+        p = 1 / 256
+        for n in range(min(self.order, i + 1)):
+            gram, low, d = said[i - n : i + 1], self.shared(said, i, n - 1), self.discount[n]
+            seen = self.after.get((k, n, gram[:-1]), set())
+            total = sum(self.count[k, g] for g in seen)
+            p = max(self.count.get((k, gram), 0) - d, 0) / total + d * len(seen) / total * low if total else low
+        return p
+
+    def difference(self, word):
+        said = b"\1" + word + b"\1"
+        return sum(math.log(self.probability(0, said, i)) - math.log(self.probability(1, said, i)) for i in range(1, len(said))) / (len(word) + 1)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 6])
+def test_pair_against_dictionaries(order):
+    toxic, ordinary = Counter({b"idiot": 5, b"the": 20, b"idiom": 1, "é".encode(): 2}), Counter({b"the": 90, b"then": 9, b"of": 30, b"on": 1})
+    fast, plain = X.KneserNeyPair(toxic, ordinary, order), PlainPair(toxic, ordinary, order)
+    words = [b"idiot", b"the", b"then", b"idle", b"zzz", b"o", b"hen", "é".encode(), b"offthe"]
+    assert np.allclose(fast.difference(words), [plain.difference(w) for w in words], atol=1e-9)
+    for front in (b"", b"i", b"idi", b"th", b"q", b"idiot"):  # every byte that may follow
+        p = []
+        for b in range(256):
+            keys, valid, _ = X._grams([front] if b == 1 else [front + bytes([b])], order)
+            p.append(fast.probabilities(keys[:, len(front) : len(front) + 1], valid[:, len(front) : len(front) + 1])[0])
+        assert np.allclose(np.sum(p, axis=0), 1)
+
+
+def test_features_against_a_plain_walk():
+    model = X.fit([(i, t, y) for i, t, y in planted(200)])
+    texts = ["Gronk, (the) the!", None, "", " \n ", "!!! ...", "word " * 50_000 + "gronkish", "the the the", "the the the"]
+    want = []
+    for t in texts:
+        d = [float(model.pair.difference([w])[0]) for w in X.expressions(t)[-60:]] if t != texts[5] else [float(model.pair.difference([w])[0]) for w in (b"word", b"gronkish")]
+        want.append((max(d), (50_000 * d[0] + d[1]) / 50_001) if t == texts[5] else (max(d), sum(d) / len(d)) if d else (0, 0))
+    assert np.allclose(model.features(pa.array(texts)), want)
+    model.keep = 1
+    assert np.allclose(model.features(pa.array(texts)), want)
+
+
 def planted(n):
     import random
 
@@ -210,9 +288,10 @@ def planted(n):
 def test_held_out_accuracy():
     rows = planted(600)
     model = X.fit(rows[:400])
-    s = model.score([t for _, t, _ in rows[400:]])
+    s = model.score(pa.array([t for _, t, _ in rows[400:]]))
     assert ((s >= 0.5) == [y == 1 for *_, y in rows[400:]]).mean() > 0.97 and 0 <= s.min() <= s.max() <= 1
-    assert (X.fit(rows[:400][::-1]).score(["gronky the"]) == model.score(["gronky the"])).all()
+    one = pa.array(["gronky the"])
+    assert (X.fit(rows[:400][::-1]).score(one) == model.score(one)).all()
 
 
 def test_labels_of_held_out_rows_do_not_count(spark):
