@@ -19,10 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import table, written
+from rowloom.llm.common import table, unused, written
 
-#: Parts of a digest's rows; at most 62, as they are kept as bits of a long.
-SALTS = 16
+#: Parts of a digest's rows, at the least and at the most (they are kept as bits of a long).
+SALTS, MOST_SALTS = 16, 62
 
 
 def sha256_key(text: Column) -> Column:
@@ -36,11 +36,14 @@ def _combined(rows: DataFrame) -> DataFrame:
         F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256_key) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None, digest: Callable[[Column], Column] = sha256_key) -> DataFrame:
     """One row for each row of ``df``: id, keep_id (the largest id of its equal texts), group_size, kept,
-    text_sha256. ``digest`` may be any function of the text: a weak one costs time, not exactness."""
-    if not 1 <= salts <= 62:
-        raise ValueError("1 to 62 salts")
+    text_sha256. ``digest`` may be any function of the text: a weak one costs time, not exactness. ``salts``, unset, are
+    as many as the cluster's tasks, between SALTS and MOST_SALTS."""
+    if salts is None:
+        salts = min(MOST_SALTS, max(SALTS, df.sparkSession.sparkContext.defaultParallelism))
+    if not 1 <= salts <= MOST_SALTS:
+        raise ValueError(f"1 to {MOST_SALTS} salts")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"), digest(text).alias("key"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"))
     per_key = written(_combined(rows).groupBy("key").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"),
@@ -61,8 +64,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows whose text a row with a larger id has, each text once; columns as they are. Needs
     ids that tell texts apart: rows of one id are kept or dropped together."""
-    kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    (key,) = unused(df, "_kept_id")
+    kept = exact_groups(df, id_col, text_col).filter("kept").select(F.col(id_col).alias(key)).distinct()
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import SPACES, WORD, table
+from rowloom.llm.common import SPACES, WORD, table, unused, written
 
 # Fixed values of the mix: weights that sources get in turn, share of all words, most passes over a source.
 WEIGHTS = (3, 1, 2)
@@ -52,6 +52,7 @@ def mix_amounts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     key = random_key(F.col(id_col), seed)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    rows = written(rows, "mix-sizes")  # texts are read and counted once
     rows = rows.withColumn("range", F.substring("key", 1, range_digits)).withColumn("name", F.concat(F.lit("="), "source")).withColumn("name", F.coalesce("name", F.lit("")))
     sums = rows.groupBy("name", "range").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     sources = sums.groupBy("name").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
@@ -78,12 +79,13 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: ``df``'s columns, a row for each time it is taken, the row at the cut with its first words
     alone. Rows without words are in no mix. Ids must be unique, as they are after deduplication."""
-    amounts = mix_amounts(df, id_col, text_col, source_col, **how).filter("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    times = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int")))
-    rows = df.join(amounts, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_time", times)
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_time") - 1) * F.col("_size"))
-    text = F.when(words < F.col("_size"), first_words(F.col(text_col), words.cast("int"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).select(*df.columns)
+    key, size, taken, time = unused(df, "_id", "_size", "_taken", "_time")
+    amounts = mix_amounts(df, id_col, text_col, source_col, **how).filter("taken > 0").select(F.col(id_col).alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
+    times = F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int")))
+    rows = df.join(amounts, F.col(id_col).eqNullSafe(F.col(key))).withColumn(time, times)
+    words = F.least(F.col(size), F.col(taken) - (F.col(time) - 1) * F.col(size))
+    text = F.when(words < F.col(size), first_words(F.col(text_col), words.cast("int"))).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_mix_sources(spark, sf_dir):
