@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import deleted, freed, table, words_of, written
+from rowloom.llm.common import deleted, freed, table, unused, written
+from rowloom.llm.words import slices, split_words
 
 #: Retained values of a set, and how many two linked large sets share at the least.
 K, SHARED = 96, 48
@@ -56,18 +57,13 @@ PRIOR = 4
 BITMAP_WORDS = 1 << 17
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """Hashes of the shingles, in text order, with repeats."""
-    if not words:
-        return np.zeros(0, np.int64)
-    return shingles_of_many([words], width)[0]
-
-
-def shingles_of_many(split: list[list[bytes]], width: int) -> list[np.ndarray]:
+def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Hashes of each text's shingles, in text order, with repeats."""
     from xxhash import xxh64_intdigest
 
-    sizes = [len(w) for w in split]
-    h = np.fromiter((xxh64_intdigest(w) for words in split for w in words), np.uint64, sum(sizes))
+    words, which, offsets = split_words(texts, lower=True)
+    sizes = np.diff(offsets).tolist()
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))[which]
     factor = np.uint64(0x9E3779B97F4A7C15)
 
     def mixed(x: np.ndarray) -> np.ndarray:  # the finalizer of splitmix64
@@ -114,13 +110,11 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int = K,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                sets = [np.unique(s) for s in shingles_of_many([words_of(t) for t in some.column(2).to_pylist()], width)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                                                  pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([parity_of(s) if len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
-                                                  pa.array([parity_of(s[:k]) if len(s) * 100 >= SMALL * percent else None for s in sets], pa.list_(pa.int64()))], names=["id", "th", "n", "digest", "sketch", "whole", "part"])
+        for some in slices(batches, 2, 1000):
+            sets = [np.unique(s) for s in shingles(some.column(2), width)]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                                              pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([parity_of(s) if len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
+                                              pa.array([parity_of(s[:k]) if len(s) * 100 >= SMALL * percent else None for s in sets], pa.list_(pa.int64()))], names=["id", "th", "n", "digest", "sketch", "whole", "part"])
 
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(run, "id bigint, th bigint, n bigint, digest binary, sketch array<bigint>, whole array<bigint>, part array<bigint>")
 
@@ -130,11 +124,9 @@ def full_sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, widt
     keeps nearly all other texts out of the shuffle; its table is bounded by BITMAP_WORDS rows, and so broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                sets = [np.unique(s) for s in shingles_of_many([words_of(t) for t in some.column(1).to_pylist()], width)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"])
+        for some in slices(batches, 1, 1000):
+            sets = [np.unique(s) for s in shingles(some.column(1), width)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "members"])
 
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID))
     texts = df.select(key.alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -322,8 +314,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``df`` with one document of each group: the one of the smallest id; columns as they are. Ids are unique, as
     they are after exact deduplication."""
-    dropped = near_groups(df, id_col, text_col, **how).filter("not kept").select(F.col(id_col).alias("_dropped_id")).distinct()
-    return df.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    (key,) = unused(df, "_dropped_id")
+    dropped = near_groups(df, id_col, text_col, **how).filter("not kept").select(F.col(id_col).alias(key)).distinct()
+    return df.join(dropped, F.col(id_col) == F.col(key), "left_anti")
 
 
 def op9_minhash(spark, sf_dir):
