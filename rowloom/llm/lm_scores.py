@@ -53,6 +53,8 @@ SHARD_TOKENS, STRETCH = 1 << 22, 1 << 18
 SLICE_ROWS = 4000
 #: Bytes of a tail word's beginning and ending that its group depends on; tail tokens a step.
 SUBWORD, TAIL_BATCH = 3, 8192
+#: Rows of a block of tail tokens with one ending.
+TAIL_BLOCK = 64
 #: The end of a text among the counted words, which have no space.
 END = " "
 
@@ -151,50 +153,69 @@ class LogBilinear:
         order = rng.permutation(len(after))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            h, w = before[some], after[some]
+            h, w = before.take(some, axis=0).T.astype(np.int64), after.take(some)
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), len(unigram) - 1)
-            parts = [self.contexts[h[:, j]] for j in range(CONTEXT)]
-            q = sum(p * self.position[j] for j, p in enumerate(parts))
-            tw, tn = self.targets[w], self.targets[noise]
+            parts, q = self.parts(h)
+            tw, tn = self.targets.take(w, axis=0), self.targets.take(noise, axis=0)
             data = np.einsum("ij,ij->i", q, tw) + self.bias[w] - noise_logit[w]
-            up = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - sigmoid
-            down = q @ tn.T
-            down += self.bias[noise] - noise_logit[noise]
-            np.negative(np.clip(down, -30, 30, out=down), out=down)
-            np.exp(down, out=down)
+            down = with_bias(q) @ -with_bias(tn, self.bias[noise] - noise_logit[noise]).T
+            with np.errstate(over="ignore"):  # the sigmoid of a very small logit is 0
+                up = 1 / (1 + np.exp(data))  # 1 - sigmoid
+                np.exp(down, out=down)
             down += 1
             np.divide(np.float32(NOISE_WEIGHT / NOISE), down, out=down)
-            dq = up[:, None] * tw - down @ tn
+            dq = up[:, None] * tw
+            dq -= down @ tn
             scale = np.float32(1 / len(some))
-            g_targets = np.zeros_like(self.targets)
-            rows, sums = self._summed(w, up[:, None] * q)
-            g_targets[rows] = sums
-            np.add.at(g_targets, noise, -(down.T @ q))
+            g_targets = summed(w, up[:, None] * q, len(self.targets))
+            np.subtract.at(g_targets, noise, (q.T @ down).T)
             g_bias = np.bincount(w, up, len(self.bias)).astype(np.float32)
-            np.add.at(g_bias, noise, -down.sum(axis=0))
-            g_position = np.stack([(dq * p).sum(axis=0) for p in parts])
+            np.subtract.at(g_bias, noise, np.ones(len(down), np.float32) @ down)
+            g_position = np.stack([np.einsum("ij,ij->j", dq, p) for p in parts])
             for a, g, s in zip(self.arrays()[1:], (g_position, g_targets, g_bias), squares[1:], strict=True):
-                g *= scale
-                s += g * g
-                a += RATE * g / (np.sqrt(s) + 1e-3)
+                adagrad(a, g, s, scale)
             self.step_contexts(h, dq, scale, squares[0])
 
+    def parts(self, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The vectors of the contexts (CONTEXT x tokens), and what they predict."""
+        parts = [self.contexts.take(x, axis=0) for x in h]
+        q = parts[0] * self.position[0]
+        for p, weight in zip(parts[1:], self.position[1:], strict=True):
+            q += p * weight
+        return parts, q
+
     def step_contexts(self, h: np.ndarray, dq: np.ndarray, scale: np.float32, squares: np.ndarray) -> None:
-        """An Adagrad step on the vectors of the contexts ``h`` alone; the others' gradient is 0. ``scale`` is negative
-        for a descent."""
-        rows, g = self._summed(h.T.ravel(), np.concatenate([dq * self.position[j] for j in range(CONTEXT)]))
-        g *= scale
-        squares[rows] += g * g
-        self.contexts[rows] += RATE * g / (np.sqrt(squares[rows]) + 1e-3)
+        """An Adagrad step on the vectors of the contexts. ``scale`` is negative for a descent."""
+        adagrad(self.contexts, summed(h.ravel(), np.concatenate([dq * w for w in self.position]), len(self.contexts)), squares, scale)
 
-    @staticmethod
-    def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct indices, and the sums of their rows."""
-        small = index.astype(np.uint16) if len(index) and index.max() < 1 << 16 else index  # sorted by digits
-        order = np.argsort(small, kind="stable")
-        sorted_index = index[order]
-        starts = np.flatnonzero(np.r_[True, sorted_index[1:] != sorted_index[:-1]])
-        return sorted_index[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+def summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each index below n."""
+    return np.stack([np.bincount(index, column, n) for column in np.ascontiguousarray(rows.T)], axis=1).astype(np.float32)
+
+
+def adagrad(a: np.ndarray, g: np.ndarray, squares: np.ndarray, scale: np.float32) -> None:
+    """A step up the gradient ``scale * g``, which is spoilt."""
+    g *= scale
+    squares += g * g
+    root = np.sqrt(squares)
+    root += np.float32(1e-3)
+    g /= root
+    g *= np.float32(RATE)
+    a += g
+
+
+def with_bias(vectors: np.ndarray, bias: np.ndarray | float = 1.0) -> np.ndarray:
+    """The vectors with one more element: products of such add the bias by themselves."""
+    out = np.empty((len(vectors), vectors.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = vectors, bias
+    return out
+
+
+def bounded(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exp of no product with q can overflow, nor a sum of these vanish."""
+    longest = lambda x: float(np.sqrt(np.einsum("...j,...j->...", x, x).max()))
+    return not q.size or longest(q) * longest(vectors) + float(np.abs(bias).max()) < 60
 
 
 def log_totals(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -202,14 +223,11 @@ def log_totals(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarr
     out = np.empty(len(q))
     if not len(q):
         return out
-    wide = np.ascontiguousarray(np.hstack([vectors, bias[:, None]]).T)
-    ones = np.ones(len(bias), np.float32)
-    longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
-    bounded = longest(q) * longest(vectors) + float(np.abs(bias).max()) < 60  # exp can't overflow
+    wide = np.ascontiguousarray(with_bias(vectors, bias).T)
+    ones, safe = np.ones(len(bias), np.float32), bounded(q, vectors, bias)
     for at in range(0, len(q), 512):  # as much as the processor's cache holds
-        some = q[at : at + 512]
-        z = np.hstack([some, np.ones((len(some), 1), np.float32)]) @ wide
-        if bounded:
+        z = with_bias(q[at : at + 512]) @ wide
+        if safe:
             out[at : at + 512] = np.log(np.exp(z, out=z) @ ones)
         else:
             out[at : at + 512] = log_total(z)
@@ -266,32 +284,49 @@ class Tail:
         """Adagrad steps over the tail tokens, on the groups and the model's contexts."""
         side = len(self.first)
         for at in range(0, len(group), TAIL_BATCH):
-            h, some = before[at : at + TAIL_BATCH], group[at : at + TAIL_BATCH]
+            h, some = before[at : at + TAIL_BATCH].T.astype(np.int64), group[at : at + TAIL_BATCH]
             a, b = some // side, some % side
-            parts = [model.contexts[h[:, j]] for j in range(CONTEXT)]
-            q = sum(p * model.position[j] for j, p in enumerate(parts))
-
-            def miss(z: np.ndarray, right: np.ndarray) -> np.ndarray:
-                np.subtract(z, z.max(axis=1, keepdims=True), out=z)
-                np.exp(z, out=z)
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(z)), right] -= 1
-                return z
-
-            p = miss(q @ self.first.T + self.first_bias, a)
-            dq, grads = p @ self.first, [p.T @ q, p.sum(axis=0), np.zeros_like(self.second), np.zeros_like(self.second_bias)]
-            for k, rows in self._by_first(a):
-                mine = q[rows]
-                p = miss(mine @ self.second[k].T + self.second_bias[k], b[rows])
-                dq[rows] += p @ self.second[k]
-                grads[2][k], grads[3][k] = p.T @ mine, p.sum(axis=0)
-            g_position = np.stack([(dq * part).sum(axis=0) for part in parts])
-            scale = np.float32(1 / len(some))
-            model.step_contexts(h, dq, -scale, model_squares[0])
-            for x, g, s in zip([*self.arrays(), model.position], [*grads, g_position], [*squares, model_squares[1]], strict=True):
-                g *= scale
-                s += g * g
-                x -= RATE * g / (np.sqrt(s) + 1e-3)
+            parts, q = model.parts(h)
+            safe = bounded(q, self.first, self.first_bias) and bounded(q, self.second, self.second_bias)
+            p = missed(with_bias(q) @ with_bias(self.first, self.first_bias).T, np.arange(len(a)), a, safe)
+            dq, g_first, g_first_bias = p @ self.first, (q.T @ p).T, np.ones(len(p), np.float32) @ p
+            # The second softmax: tokens of one ending in blocks of rows, all blocks in one product.
+            order = np.argsort(a, kind="stable")
+            counts = np.bincount(a, minlength=side)
+            blocks = -(-counts // TAIL_BLOCK)
+            of_block = np.repeat(np.arange(side), blocks)
+            slot = np.arange(len(a)) + np.repeat((np.cumsum(blocks) - blocks) * TAIL_BLOCK - (np.cumsum(counts) - counts), counts)
+            mine = np.zeros((len(of_block) * TAIL_BLOCK, q.shape[1] + 1), np.float32)
+            mine[slot, :-1], mine[:, -1] = q.take(order, axis=0), 1
+            mine = mine.reshape(len(of_block), TAIL_BLOCK, -1)
+            vectors = np.concatenate([self.second, self.second_bias[..., None]], axis=2).take(of_block, axis=0)
+            p = missed((mine @ vectors.transpose(0, 2, 1)).reshape(-1, side), slot, b.take(order), safe)
+            empty = np.ones(len(p), bool)
+            empty[slot] = False
+            p[empty] = 0
+            p = p.reshape(len(of_block), TAIL_BLOCK, side)
+            dq[order] += (p @ vectors).reshape(-1, q.shape[1] + 1)[slot, :-1]
+            used = np.flatnonzero(blocks)
+            first = (np.cumsum(blocks) - blocks)[used]
+            g_second, g_second_bias = np.zeros_like(self.second), np.zeros_like(self.second_bias)
+            both = np.add.reduceat(p.transpose(0, 2, 1) @ mine, first, axis=0)
+            g_second[used], g_second_bias[used] = both[..., :-1], both[..., -1]
+            g_position = np.stack([np.einsum("ij,ij->j", dq, part) for part in parts])
+            scale = np.float32(-1 / len(some))
+            model.step_contexts(h, dq, scale, model_squares[0])
+            for x, g, s in zip([*self.arrays(), model.position], [g_first, g_first_bias, g_second, g_second_bias, g_position], [*squares, model_squares[1]], strict=True):
+                adagrad(x, g, s, scale)
+
+
+def missed(z: np.ndarray, rows: np.ndarray, right: np.ndarray, safe: bool) -> np.ndarray:
+    """The softmax of each row, less 1 at the right place of the ``rows``; in z's memory. Unless ``safe``, exp may
+    overflow."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+    z[rows, right] -= 1
+    return z
 
 
 def before_of(classes: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
