@@ -32,11 +32,11 @@ from rowloom.llm.words import slices, split_words
 
 ORDER = 6
 #: Labelled rows of each class that the fit may use.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Of those, one in so many is for the logistic curve.
 HELD_FOR_CURVE = 4
-#: Expressions whose scores a worker keeps, and rows of a slice.
-KEEP, SLICE_ROWS = 200_000, 4000
+#: Expressions whose scores a worker keeps; rows and bytes of a slice.
+KEEP, SLICE_ROWS, SLICE_BYTES = 100_000, 1000, 2 << 20
 _EDGES = b" \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#$%&<>-_/\\"
 
 
@@ -256,7 +256,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for some in slices(batches, 2, SLICE_ROWS):
+        for some in slices(batches, 2, SLICE_ROWS, SLICE_BYTES):
             s = m.score(some.column(2))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
@@ -270,7 +270,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in slices(batches, place, SLICE_ROWS):
+        for some in slices(batches, place, SLICE_ROWS, SLICE_BYTES):
             yield some.filter(pa.array(shared.value.score(some.column(place)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
