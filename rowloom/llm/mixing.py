@@ -82,7 +82,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key, size, taken, time = unused(df, "_id", "_size", "_taken", "_time")
     amounts = mix_amounts(df, id_col, text_col, source_col, **how).filter("taken > 0").select(F.col(id_col).alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
     times = F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int")))
-    rows = df.join(amounts, F.col(id_col).eqNullSafe(F.col(key))).withColumn(time, times)
+    rows = df.filter(F.col(text_col).rlike(WORD)).join(amounts, F.col(id_col).eqNullSafe(F.col(key))).withColumn(time, times)
     words = F.least(F.col(size), F.col(taken) - (F.col(time) - 1) * F.col(size))
     text = F.when(words < F.col(size), first_words(F.col(text_col), words.cast("int"))).otherwise(F.col(text_col))
     return rows.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])
