@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The pieces of all new words of a slice of the partition are laid out as one array of symbols. Each mergeable pair's rank
+The pieces of the new words of a slice of the partition, BLOCK words at once, are laid out as one array of symbols. Each mergeable pair's rank
 maps to all its positions in that array; a heap holds the active ranks. The lowest rank is taken, its pair merged at
 every position, left to right, and the pairs that arise at the neighbours are put into their lists. Positions whose
 pair a merge has taken away stay in their lists until these are taken, and are passed over then. In every piece this is
@@ -27,6 +27,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import table
-from rowloom.llm.words import WordIds, slices
+from rowloom.llm.words import KnownIds, WordIds, slices, trimmed
 
 CACHE_WORDS, CACHE_PIECES = 600_000, 300_000
 SLICE_ROWS = 4000
@@ -128,7 +129,8 @@ class PairIndex:
         found, where = found[order], where[order]
         cuts = np.flatnonzero(np.diff(found)) + 1
         index = {int(r[0]): w.tolist() for r, w in zip(np.split(found, cuts), np.split(where, cuts), strict=True) if len(r)}
-        nxt, prv = list(range(1, len(flat) + 1)), list(range(-1, len(flat) - 1))
+        every = list(range(-1, len(flat) + 1))  # the two lists share its numbers
+        nxt, prv = every[2:], every[:-2]
         heap = sorted(index)
         rank, width, left, right, made = self.rank, self.width, self.left, self.right, self.made
         while heap:
@@ -192,7 +194,7 @@ class WordBpe:
         self.byte_of = {ord(c): b for b, c in enumerate(byte_symbols())}
         self.words = WordIds(self.ids_of_words, cache_words)
         self.of_special = {t.encode(): i.to_bytes(4, "little") for t, i in self.special.items()}
-        self.known = dict(self.of_special)
+        self.pieces = KnownIds(self.ids_of_pieces, CACHE_PIECES)
         self.texts = pa.array(self.text_of, pa.string())
 
     def split(self, word: bytes) -> list[bytes]:
@@ -213,14 +215,18 @@ class WordBpe:
         return plan + self.split(word[at:])
 
     def ids_of_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word. One index spans the pieces of all words that aren't known."""
+        """The ids of each word. One index spans the pieces of all these words that aren't known."""
         plans = list(map(self.parted, words))
-        if len(self.known) > CACHE_PIECES:
-            self.known = dict(self.of_special)
-        known = self.known
-        new = list({p for plan in plans for p in plan}.difference(known))
-        known.update(zip(new, self.index.apply(new, self.inner, self.last), strict=True))
-        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in plans]
+        counts = np.fromiter(map(len, plans), np.int64, len(plans))
+        pieces = pa.array(list(chain.from_iterable(plans)), pa.binary()).dictionary_encode()
+        ids, sizes = self.pieces.ids(self.pieces.rows(pieces.dictionary)[pieces.indices.to_numpy(zero_copy_only=False)])
+        raw, cuts = ids.tobytes(), [0, *(4 * np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]).tolist()]
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def ids_of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece or special token."""
+        merged = iter(self.index.apply([p for p in pieces if p not in self.of_special], self.inner, self.last))
+        return [self.of_special[p] if p in self.of_special else next(merged) for p in pieces]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -259,6 +265,7 @@ def encode_documents(df: DataFrame, text_col: str = "text", path: str | None = N
             ids, ends = bpe.words(b.column(kept))
             raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary())], names=[*b.schema.names[:kept], out_col])
+        trimmed()
 
     fields = [f for f in df.schema.fields if f.name.lower() != out_col.lower()]
     kept = len(fields)
@@ -279,6 +286,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             back = [hashlib.sha256(t.as_buffer()).hexdigest() for t in bpe.decode_all(np.frombuffer(raw, "<u4"), ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(sha, pa.string()), pa.array(back, pa.string())],
                                              names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        trimmed()
 
     schema = T.StructType([df.schema[id_col], *[T.StructField(n, k) for n, k in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]])
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

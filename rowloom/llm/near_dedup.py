@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import deleted, freed, table, unused, written
-from rowloom.llm.words import slices, split_words
+from rowloom.llm.words import slices, split_words, trimmed
 
 #: Retained values of a set, and how many two linked large sets share at the least.
 K, SHARED = 96, 48
@@ -115,6 +115,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int, k: int = K,
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                                               pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([parity_of(s) if len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
                                               pa.array([parity_of(s[:k]) if len(s) * 100 >= SMALL * percent else None for s in sets], pa.list_(pa.int64()))], names=["id", "th", "n", "digest", "sketch", "whole", "part"])
+        trimmed()
 
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(run, "id bigint, th bigint, n bigint, digest binary, sketch array<bigint>, whole array<bigint>, part array<bigint>")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import crc_of, table
-from rowloom.llm.words import slices, split_words
+from rowloom.llm.words import slices, split_words, trimmed
 
 ORDER = 6
 #: Labelled rows of each class that the fit may use.
@@ -244,6 +244,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> T
         for b in batches:
             rows += zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+        rows.clear()
+        trimmed()
 
     rows = labelled_sample(docs, labels, sample).repartition(1)
     found = rows.mapInArrow(run, "model binary").collect()
@@ -259,6 +261,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
         for some in slices(batches, 2, SLICE_ROWS, SLICE_BYTES):
             s = m.score(some.column(2))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[id_col, "held_out", "score", "predicted"])
+        trimmed()
 
     schema = T.StructType([docs.schema[id_col], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(F.col(id_col), (crc_of(F.col(id_col)) % 5 == 0).alias("held_out"), F.col(text_col)).mapInArrow(run, schema)
@@ -272,6 +275,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, place, SLICE_ROWS, SLICE_BYTES):
             yield some.filter(pa.array(shared.value.score(some.column(place)) < 0.5))
+        trimmed()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -3,7 +3,9 @@ and what is known of the words is dealt back to their places by numpy."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,16 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one slice has, unless a single row has more.
 SLICE_BYTES = 8 << 20
+#: New words that are encoded at once.
+BLOCK = 1 << 15
+
+
+def trimmed() -> None:
+    """Gives the memory that the allocators hold free back to the system. Workers outlive their tasks, and what they
+    hold counts against the next stage of their executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library is another
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -59,36 +71,55 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-class WordIds:
-    """Token ids of texts whose words are encoded one by one. ``encode`` gives the ids of new words as little-endian
-    unsigned 32-bit integers; ``keep`` words or those of one slice, whichever is more, stay known."""
+class KnownIds:
+    """Token ids of byte strings that were met before. ``encode`` gives the ids of new ones as little-endian unsigned
+    32-bit integers; ``keep`` strings or those of one call, whichever is more, stay known. What is known is in Arrow and
+    numpy arrays, some tens of bytes a string, as a worker holds it for long; a dict of Python objects is several times that."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: int) -> None:
         self.encode, self.keep = encode, keep
         self._forget()
 
     def _forget(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        coded = self.encode(words)
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+        self.known = pa.array([], pa.binary())
+        self.pool, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, new: pa.BinaryArray) -> None:
+        coded = [ids for at in range(0, len(new), BLOCK) for ids in self.encode(_bytes(new.slice(at, BLOCK)))]
+        size = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        self.known = pa.concat_arrays([self.known, new])
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
         self.size = np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), "<u4")])
 
+    def _rows(self, keys: pa.BinaryArray) -> np.ndarray:
+        return pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+
+    def rows(self, keys: pa.BinaryArray) -> np.ndarray:
+        """The place of each of the keys, which are distinct, among those known now."""
+        rows = self._rows(keys)
+        if (rows < 0).any():
+            if len(self.known) + np.count_nonzero(rows < 0) > self.keep:
+                self._forget()
+                rows = np.full(len(keys), -1)
+            self._learn(keys.filter(pa.array(rows < 0)))
+            rows = self._rows(keys)
+        return rows
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places, one after the other, and how many each has."""
+        sizes = self.size[rows].astype(np.int64)
+        return self.pool[runs(self.start[rows], sizes)], sizes
+
+
+class WordIds:
+    """Token ids of texts whose words are encoded one by one, by :class:`KnownIds`."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: int) -> None:
+        self.known = KnownIds(encode, keep)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's end."""
         words, which, offsets = split_words(texts)
-        new = [w for w in words if w not in self.row]
-        if new and len(self.row) + len(new) > self.keep:
-            self._forget()
-            new = words
-        if new:
-            self._learn(new)
-        rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))[which]
-        sizes = self.size[rows]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[offsets[1:]]
-        return self.pool[runs(self.start[rows], sizes)], ends
+        ids, sizes = self.known.ids(self.known.rows(pa.array(words, pa.binary()))[which])
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[offsets[1:]]

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from tokenizers import Tokenizer
 
 from rowloom.llm import bpe as E
 from rowloom.llm import token_files as D
+from rowloom.llm import words as words_module
 from rowloom.llm.words import slices, split_words
 
 PATH = E.vocabulary_path()
@@ -122,3 +124,27 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, 2, 2, 2] and sum(r.n_tokens for r in got) == 8
     D.export_files(files, str(tmp_path))
     assert sum(D.DacFile(p.read_bytes()).n_docs for p in tmp_path.glob("*.dac")) == 4
+
+
+def test_known_words_take_few_bytes():
+    """A worker keeps them from task to task, beside all that later stages need."""
+    texts = [pa.array([" ".join(f"w{k}x{i}" for i in range(50_000))]) for k in range(4)]
+    words = D.WordIds(lambda new: [b"\1\0\0\0"] * len(new), 10**6)
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for t in texts:
+        ids, ends = words(t)
+        assert ids.tolist() == [1] * 50_000 and ends.tolist() == [50_000]
+    del ids, ends
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 64 * 200_000
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_new_words_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(words_module, "BLOCK", block)
+    ids, _ = library(ODD)
+    for mine in (E.WordBpe(PATH), D.LibraryEncoder(PATH)):
+        got, ends = mine.words(pa.array(ODD, pa.string()))
+        assert [got[x:y].tolist() for x, y in zip([0, *ends], ends)] == ids
