@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import crc_of, deleted, freed, table, written
-from rowloom.llm.words import slices, split_words
+from rowloom.llm.words import slices, split_words, trimmed
 
 CLASSES, WIDTH, CONTEXT = 512, 16, 2
 #: Words whose counts every worker has.
@@ -51,6 +51,8 @@ EPOCHS, BATCH, NOISE, NOISE_WEIGHT, RATE = 2, 4096, 64, 16.0, 0.08
 SHARD_TOKENS, STRETCH = 1 << 22, 1 << 18
 #: Rows of a slice, whose distinct contexts are scored together.
 SLICE_ROWS = 4000
+#: Tokens whose vectors are gathered at once in scoring, as many as the processor's cache holds.
+SCORE_BLOCK = 4096
 #: Bytes of a tail word's beginning and ending that its group depends on; tail tokens a step.
 SUBWORD, TAIL_BATCH = 3, 8192
 #: Rows of a block of tail tokens with one ending.
@@ -126,7 +128,10 @@ class LogBilinear:
         return [self.contexts, self.position, self.targets, self.bias]
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.contexts[before[:, j]] * self.position[j] for j in range(CONTEXT))
+        q = np.empty((len(before), self.contexts.shape[1]), np.float32)
+        for at in range(0, len(q), SCORE_BLOCK):
+            q[at : at + SCORE_BLOCK] = self.parts(before[at : at + SCORE_BLOCK].T)[1]
+        return q
 
     def log_probability(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Natural log of P(after | before), normalised over all classes."""
@@ -136,15 +141,25 @@ class LogBilinear:
 
     def distinct(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A token of each distinct context, and the place of each token's context among these."""
-        code = before[:, 0].astype(np.int64)
-        for j in range(1, CONTEXT):
-            code = code * len(self.contexts) + before[:, j]
-        _, first, back = np.unique(code, return_index=True, return_inverse=True)
-        return first, back
+        order = by_value(before[:, -1], len(self.contexts))
+        for j in reversed(range(CONTEXT - 1)):
+            order = order[by_value(before[:, j].take(order), len(self.contexts))]
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for j in range(CONTEXT):
+            column = before[:, j].take(order)
+            new[1:] |= column[1:] != column[:-1]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return order[new], back
 
     def of_distinct(self, q: np.ndarray, back: np.ndarray, after: np.ndarray) -> np.ndarray:
         total = log_totals(q, self.targets, self.bias)
-        return np.einsum("ij,ij->i", q[back], self.targets[after]).astype(np.float64) + self.bias[after] - total[back]
+        out = np.empty(len(after))
+        for at in range(0, len(after), SCORE_BLOCK):
+            some, w = back[at : at + SCORE_BLOCK], after[at : at + SCORE_BLOCK]
+            out[at : at + SCORE_BLOCK] = np.einsum("ij,ij->i", q.take(some, axis=0), self.targets.take(w, axis=0)).astype(np.float64) + self.bias.take(w) - total.take(some)
+        return out
 
     def train(self, before: np.ndarray, after: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
         """One pass of noise-contrastive estimation over the tokens, in random order, with Adagrad steps."""
@@ -189,6 +204,11 @@ class LogBilinear:
         adagrad(self.contexts, summed(h.ravel(), np.concatenate([dq * w for w in self.position]), len(self.contexts)), squares, scale)
 
 
+def by_value(x: np.ndarray, n: int) -> np.ndarray:
+    """The stable order of x, whose values are below n: by digits, where two bytes hold them."""
+    return np.argsort(x.astype(np.min_scalar_type(n)), kind="stable")
+
+
 def summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """The sums of the rows of each index below n."""
     return np.stack([np.bincount(index, column, n) for column in np.ascontiguousarray(rows.T)], axis=1).astype(np.float32)
@@ -260,24 +280,21 @@ class Tail:
     def arrays(self) -> list[np.ndarray]:
         return [self.first, self.first_bias, self.second, self.second_bias]
 
-    @staticmethod
-    def _by_first(a: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(a, kind="stable")
-        starts = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1]]) if len(a) else []
-        for rows in np.split(order, starts[1:]) if len(a) else ():
-            yield int(a[rows[0]]), rows
-
     def log_probability(self, q: np.ndarray, group: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
         """Natural log of P(group | tail, context) by predicted vectors: one for each token, or that of ``back``."""
         side = len(self.first)
         a, b = group // side, group % side
         total = log_totals(q, self.first, self.first_bias)
-        mine, total = (q, total) if back is None else (q[back], total[back])
-        out = np.einsum("ij,ij->i", mine, self.first[a]).astype(np.float64) + self.first_bias[a] - total
-        for k, rows in self._by_first(a):
-            x, right = mine[rows], b[rows]
-            own = np.einsum("ij,ij->i", x, self.second[k][right]).astype(np.float64) + self.second_bias[k][right]
-            out[rows] += own - log_totals(x, self.second[k], self.second_bias[k])
+        back = np.arange(len(q)) if back is None else back
+        out, order, at = np.empty(len(group)), by_value(a, side), 0
+        for k, n in enumerate(np.bincount(a, minlength=side).tolist()):
+            for end in range(at + n, at, -SCORE_BLOCK):  # tokens of one ending
+                rows = order[max(at, end - SCORE_BLOCK) : end]
+                some, right = back.take(rows), b.take(rows)
+                x = q.take(some, axis=0)
+                own = np.einsum("ij,ij->i", x, self.second[k].take(right, axis=0)).astype(np.float64) + self.second_bias[k].take(right)
+                out[rows] = np.einsum("ij,j->i", x, self.first[k]).astype(np.float64) + self.first_bias[k] - total.take(some) + own - log_totals(x, self.second[k], self.second_bias[k])
+            at += n
         return out
 
     def train(self, model: LogBilinear, before: np.ndarray, group: np.ndarray, squares: list[np.ndarray], model_squares: list[np.ndarray]) -> None:
@@ -354,6 +371,7 @@ def count_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.bincount(which, minlength=len(words)))], names=["word", "c"])
         if rows:
             yield pa.RecordBatch.from_pydict({"word": [END], "c": [rows]})
+        trimmed()
 
     words = df.filter(is_training(F.col(id_col))).select(text_col).mapInArrow(run, "word string, c bigint")
     return written(words.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
@@ -454,6 +472,7 @@ def coded(df: DataFrame, counts: Counts, id_col: str, text_col: str) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns[:3], pa.array(tokens), pa.array(known), pa.array(base), pa.array(share), rare, codes],
                                              names=["row", id_col, "key", "held_out", "n_tokens", "known", "base", "share", "rare", "codes"])
             row += b.num_rows
+        trimmed()
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("key"), (~is_training(F.col(id_col))).alias("held_out"), F.col(text_col))
@@ -506,6 +525,8 @@ def train(shards: DataFrame, counts: Counts, epochs: int = EPOCHS) -> tuple[LogB
                     seen += len(codes)
                     flat = flat + np.concatenate([a.ravel().astype(np.float64) for a in arrays]) * len(codes)
             if seen:
+                b = codes = sizes = before = None
+                trimmed()
                 yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % 16], "seen": [seen], "weights": pa.array([flat.tobytes()], pa.binary())})
 
         def merge(key, rows):
@@ -532,8 +553,11 @@ def model_scores(codes: np.ndarray, sizes: np.ndarray, model: LogBilinear, tail:
     classes = np.minimum(codes.astype(np.int64), own)
     p = model.of_distinct(q, back, classes)
     in_tail = np.flatnonzero(codes > own)
-    used, place = np.unique(back[in_tail], return_inverse=True)
-    p[in_tail] += tail.log_probability(q[used], codes[in_tail].astype(np.int64) - own - 2, place)
+    of_tail = back.take(in_tail)
+    is_used = np.zeros(len(first), bool)
+    is_used[of_tail] = True
+    place = (np.cumsum(is_used) - 1).take(of_tail)
+    p[in_tail] += tail.log_probability(q[is_used], codes[in_tail].astype(np.int64) - own - 2, place)
     return np.add.reduceat(p, np.cumsum(sizes) - sizes) / np.log(10)
 
 
@@ -559,6 +583,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             codes = np.frombuffer(b"".join(b.column(b_codes).to_pylist()), "<i4")
             p = model_scores(codes, sizes, lbl, rest, own) if trained and b.num_rows else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[:b_codes], pa.array(p)], names=[*b.schema.names[:b_codes], "model"])
+        trimmed()
 
     kept = ["row", id_col, "held_out", "n_tokens", "known", "base", "share"]
     b_codes = len(kept)

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -144,3 +145,19 @@ def test_cases(spark):
     only = [i for i in range(60) if crc32(str(i).encode()) % 7 == 2][:2]
     none = L.score_documents(spark.createDataFrame([(i, "a b") for i in only], "doc_id bigint, text string")).collect()
     assert [(r.held_out, r.n_known, r.train_tokens, r.base_score, r.score) for r in none] == [(True, 0, 0, 0.0, 0.0)] * 2
+
+
+def test_scoring_gathers_vectors_in_blocks():
+    """No copies of the vectors of all tokens of a slice: less memory, and it stays in the processor's cache."""
+    rng, own, side, n = np.random.default_rng(5), 60, 6, 200_000
+    c = rng.integers(0, own + side * side, n)
+    codes, sizes = np.where(c >= own, c + 2, c).astype("<i4"), np.full(n // 500, 500)
+    model, tail = L.LogBilinear.fresh(np.full(own + 1, 1 / (own + 1)), groups=side * side), L.Tail.fresh(np.ones(side * side, int), side)
+    tracemalloc.start()
+    got = L.model_scores(codes, sizes, model, tail, own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 4 * L.WIDTH * n and np.allclose(got[:2], [plain_score(codes[at : at + 500].tolist(), model, tail, own) for at in (0, 500)], rtol=1e-5)
+    before = L.before_of(codes, sizes, own + 1)
+    first, back = model.distinct(before)
+    assert (before[first][back] == before).all() and len({*map(tuple, before[first].tolist())}) == len(first) == back.max() + 1
