@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     than the reading, and the size is known to the planner."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    trimmed_driver(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
@@ -49,6 +51,29 @@ def freed(spark: SparkSession) -> None:
     their handles, which a quiet driver seldom runs."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trimmed_driver(spark)
+
+
+def trimmed_driver(spark: SparkSession) -> str:
+    """Gives the memory that the driver's JVM holds free beside its heap back to the system; what the JVM says of it,
+    nothing where it can't. Compiling the code of large plans takes hundreds of MB for moments, which the C library
+    keeps otherwise."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    named, thing, word = jvm.java.lang.Class.forName, jvm.java.lang.Object, jvm.java.lang.String
+    try:  # by reflection, as the server's own class is in a closed module
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kinds = array(jvm.java.lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, array(thing, commands, "systemTrimNativeHeap", array(thing), array(word)))
+    except Py4JError:  # an older JVM, or one on another system
+        return ""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

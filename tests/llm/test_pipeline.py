@@ -64,3 +64,26 @@ def test_stages_without_rows(spark):
     for _, stage in C.STAGES:
         docs = common.written(stage(spark, docs, "/root/testdata/sf0.001"), "none")
         assert docs.count() == 0
+
+
+def test_driver_gives_free_native_memory_back(spark):
+    import os
+    import re
+    from pathlib import Path
+
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) >> 10
+
+    df = spark.range(1)
+    common.written(df, "one")
+    pid = spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()
+    assert pid != os.getpid()
+    before = held()
+    taken = [spark.sparkContext._jvm.java.util.zip.Deflater() for _ in range(3000)]  # native memory, beside the heap
+    most = held()
+    assert most - before > 100
+    for i, x in enumerate(taken):
+        if i % 50:  # what stays lies between
+            x.end()
+    common.written(df, "one")
+    assert most - held() > (most - before) // 2
