@@ -59,6 +59,8 @@ _OTHER = re.compile(f"[^\0-{chr(_PLAIN - 1)}]")
 
 def plain_pieces(word: bytes) -> list[bytes] | None:
     """The pieces of a lower-cased word of characters below _PLAIN; None if it has others, controls or odd spaces."""
+    if word.isalpha():  # of ASCII alone, in bytes
+        return [word.lower()]
     if word.isascii():
         low = word.lower()
         pieces = _OF_ASCII.findall(low)

@@ -159,10 +159,11 @@ class LibraryEncoder:
 
     def ids_of_words(self, words: list[bytes]) -> list[bytes]:
         plans = [plain_pieces(w) if b"<" not in w else None for w in words]
-        if len(self.known) > self.keep:
-            self.known = {}
+        pieces = {p for plan in plans if plan for p in plan}
+        if len(self.known) > self.keep:  # those in use stay
+            self.known = {p: self.known[p] for p in pieces.intersection(self.known)}
         known = self.known
-        new = list({p for plan in plans if plan for p in plan}.difference(known))
+        new = list(pieces.difference(known))
         groups = [new[at : at + 64] for at in range(0, len(new), 64)]
         for group, ids in zip(groups, self._asked([b" ".join(g) for g in groups]), strict=True):
             cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]

@@ -78,12 +78,15 @@ class KnownIds:
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], keep: int) -> None:
         self.encode, self.keep = encode, keep
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = pa.array([], pa.binary())
         self.pool, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def _forget_but(self, rows: np.ndarray) -> None:
+        """Forget all that is not at these places; what is takes their order."""
+        self.pool, sizes = self.ids(rows)
+        self.known, self.size = self.known.take(pa.array(rows)), self.size[rows]
+        self.start = np.cumsum(sizes) - sizes
+
     def _learn(self, new: pa.BinaryArray) -> None:
         coded = [ids for at in range(0, len(new), BLOCK) for ids in self.encode(_bytes(new.slice(at, BLOCK)))]
         size = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
@@ -92,18 +95,17 @@ class KnownIds:
         self.size = np.concatenate([self.size, size])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), "<u4")])
 
-    def _rows(self, keys: pa.BinaryArray) -> np.ndarray:
-        return pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy(zero_copy_only=False)
-
     def rows(self, keys: pa.BinaryArray) -> np.ndarray:
         """The place of each of the keys, which are distinct, among those known now."""
-        rows = self._rows(keys)
-        if (rows < 0).any():
-            if len(self.known) + np.count_nonzero(rows < 0) > self.keep:
-                self._forget()
-                rows = np.full(len(keys), -1)
-            self._learn(keys.filter(pa.array(rows < 0)))
-            rows = self._rows(keys)
+        rows = pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = rows < 0
+        if n := np.count_nonzero(new):
+            if len(self.known) + n > self.keep:  # the words in use stay, as the common ones are among them
+                self._forget_but(rows[~new])
+                rows[~new] = np.arange(len(rows) - n)
+            at = len(self.known)
+            self._learn(keys.filter(pa.array(new)))
+            rows[new] = np.arange(at, at + n)  # each key once, in their order
         return rows
 
     def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

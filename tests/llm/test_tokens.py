@@ -148,3 +148,30 @@ def test_new_words_in_blocks(monkeypatch, block):
     for mine in (E.WordBpe(PATH), D.LibraryEncoder(PATH)):
         got, ends = mine.words(pa.array(ODD, pa.string()))
         assert [got[x:y].tolist() for x, y in zip([0, *ends], ends)] == ids
+
+
+def test_known_words_in_use_are_kept_when_others_are_forgotten(monkeypatch):
+    asked, looked = [], []
+
+    def encode(new):
+        asked.extend(new)
+        return [len(w).to_bytes(4, "little") * (len(w) % 3) for w in new]
+
+    known = words_module.KnownIds(encode, 5)
+    index_in = words_module.pc.index_in
+    monkeypatch.setattr(words_module.pc, "index_in", lambda *a, **k: looked.append(1) or index_in(*a, **k))
+    for words in ([b"a", b"bb", b"cccc", b"ddddd"], [b"ddddd", b"x", b"a", b"yyyy"], [b"x", b"bb", b"ddddd"], [], [b"1", b"22", b"333", b"4444", b"55555", b"7777777", b"x"]):
+        ids, sizes = known.ids(known.rows(pa.array(words, pa.binary())))
+        assert sizes.tolist() == [len(w) % 3 for w in words]
+        assert ids.tolist() == [len(w) for w in words for _ in range(len(w) % 3)]
+    assert asked == [b"a", b"bb", b"cccc", b"ddddd", b"x", b"yyyy", b"bb", b"1", b"22", b"333", b"4444", b"55555", b"7777777"]
+    assert len(looked) == 5
+
+
+def test_library_encoder_keeps_pieces_in_use():
+    encoder = D.LibraryEncoder(PATH, 1, 2)
+    asked, ask = [], encoder._asked
+    encoder._asked = lambda texts: asked.extend(texts) or ask(texts)
+    for words in ([b"one", b"two", b"three"], [b"one", b"four", b"1x1"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids_of_words(words)] == [e.ids for e in encoder.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+    assert b"one" not in b" ".join(asked[1:]).split()
