@@ -53,6 +53,8 @@ SHARD_TOKENS, STRETCH = 1 << 22, 1 << 18
 SLICE_ROWS = 4000
 #: Tokens whose vectors are gathered at once in scoring, as many as the processor's cache holds.
 SCORE_BLOCK = 4096
+#: Tokens whose products with the noise are made at once, for the same reason.
+NOISE_BLOCK = 512
 #: Bytes of a tail word's beginning and ending that its group depends on; tail tokens a step.
 SUBWORD, TAIL_BATCH = 3, 8192
 #: Rows of a block of tail tokens with one ending.
@@ -173,19 +175,16 @@ class LogBilinear:
             parts, q = self.parts(h)
             tw, tn = self.targets.take(w, axis=0), self.targets.take(noise, axis=0)
             data = np.einsum("ij,ij->i", q, tw) + self.bias[w] - noise_logit[w]
-            down = with_bias(q) @ -with_bias(tn, self.bias[noise] - noise_logit[noise]).T
             with np.errstate(over="ignore"):  # the sigmoid of a very small logit is 0
                 up = 1 / (1 + np.exp(data))  # 1 - sigmoid
-                np.exp(down, out=down)
-            down += 1
-            np.divide(np.float32(NOISE_WEIGHT / NOISE), down, out=down)
+                pulled, g_noise = of_noise(with_bias(q), tn, -with_bias(tn, self.bias[noise] - noise_logit[noise]).T)
             dq = up[:, None] * tw
-            dq -= down @ tn
+            dq -= pulled
             scale = np.float32(1 / len(some))
             g_targets = summed(w, up[:, None] * q, len(self.targets))
-            np.subtract.at(g_targets, noise, (q.T @ down).T)
+            np.subtract.at(g_targets, noise, g_noise[:, :-1])
             g_bias = np.bincount(w, up, len(self.bias)).astype(np.float32)
-            np.subtract.at(g_bias, noise, np.ones(len(down), np.float32) @ down)
+            np.subtract.at(g_bias, noise, g_noise[:, -1])
             g_position = np.stack([np.einsum("ij,ij->j", dq, p) for p in parts])
             for a, g, s in zip(self.arrays()[1:], (g_position, g_targets, g_bias), squares[1:], strict=True):
                 adagrad(a, g, s, scale)
@@ -204,6 +203,33 @@ class LogBilinear:
         adagrad(self.contexts, summed(h.ravel(), np.concatenate([dq * w for w in self.position]), len(self.contexts)), squares, scale)
 
 
+def of_noise(q: np.ndarray, vectors: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The noise words' pull on each row of q, whose last element is 1, and the rows' on each noise word, its bias last.
+    ``wide``: the words' vectors and logits, negated. In blocks of rows that the processor's cache holds."""
+    pulled, g = np.empty((len(q), vectors.shape[1]), np.float32), np.zeros((wide.shape[1], q.shape[1]), np.float32)
+    held = np.empty((NOISE_BLOCK, wide.shape[1]), np.float32)
+    for at in range(0, len(q), NOISE_BLOCK):
+        x = q[at : at + NOISE_BLOCK]
+        down = np.matmul(x, wide, out=held[: len(x)])
+        np.exp(down, out=down)
+        down += 1
+        np.divide(np.float32(NOISE_WEIGHT / NOISE), down, out=down)
+        np.matmul(down, vectors, out=pulled[at : at + NOISE_BLOCK])
+        g += (x.T @ down).T
+    return pulled, g
+
+
+def by_runs(x: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The sums of the first ``runs[0]`` of x, the next ``runs[1]``, and so on, one at least each. For few long items, where
+    reduceat takes several times as long."""
+    first = np.cumsum(runs) - runs
+    out = x.take(first, axis=0)
+    for j in range(1, int(runs.max(initial=1))):
+        more = np.flatnonzero(runs > j)
+        out[more] += x.take(first[more] + j, axis=0)
+    return out
+
+
 def by_value(x: np.ndarray, n: int) -> np.ndarray:
     """The stable order of x, whose values are below n: by digits, where two bytes hold them."""
     return np.argsort(x.astype(np.min_scalar_type(n)), kind="stable")
@@ -324,9 +350,8 @@ class Tail:
             p = p.reshape(len(of_block), TAIL_BLOCK, side)
             dq[order] += (p @ vectors).reshape(-1, q.shape[1] + 1)[slot, :-1]
             used = np.flatnonzero(blocks)
-            first = (np.cumsum(blocks) - blocks)[used]
             g_second, g_second_bias = np.zeros_like(self.second), np.zeros_like(self.second_bias)
-            both = np.add.reduceat(p.transpose(0, 2, 1) @ mine, first, axis=0)
+            both = by_runs(p.transpose(0, 2, 1) @ mine, blocks[used])
             g_second[used], g_second_bias[used] = both[..., :-1], both[..., -1]
             g_position = np.stack([np.einsum("ij,ij->j", dq, part) for part in parts])
             scale = np.float32(-1 / len(some))
@@ -380,16 +405,20 @@ def count_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def summary(counts: DataFrame) -> Counts:
     # The words of COMMON or fewer largest counts, by a histogram of counts in steps of an eighth of an octave.
     step = F.floor(F.log2("c") * 8).alias("step")
+    steps = counts.groupBy(step).agg(F.min("c").alias("least"), F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("step")).collect()  # 8 rows for each bit of a count
+    n_types, n_tokens = sum(r.n for r in steps), sum(r.c for r in steps)
     cut, sofar = None, 0
-    for r in counts.groupBy(step).agg(F.min("c").alias("least"), F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 8 rows for each bit of a count
+    for r in steps:
         sofar += r.n
         if sofar > COMMON:
             break
         cut = r.least
-    top = {r.word: r.c for r in counts.orderBy(F.desc("c"), "word").limit(CLASSES - 1).collect()}
+    top = {}
     if cut is not None:
         common = counts.filter(F.col("c") >= cut).toArrow()  # COMMON rows at most
-        top |= dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist(), strict=True))
+        top = dict(zip(common.column("word").to_pylist(), common.column("c").to_pylist(), strict=True))
+    if len(top) < min(CLASSES - 1, n_types):  # else the words of the classes are among these
+        top |= {r.word: r.c for r in counts.orderBy(F.desc("c"), "word").limit(CLASSES - 1).collect()}
     if top and END not in top:
         top[END] = counts.filter(F.col("word") == END).head()["c"]
     words = sorted(top, key=lambda w: (-top[w], w))
@@ -398,14 +427,15 @@ def summary(counts: DataFrame) -> Counts:
     c = np.array([top[w] for w in words], np.int64)
     own = words[: CLASSES - 1]
     tail = counts.filter(~F.col("word").isin(own)) if own else counts
-    t = tail.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).collect()[0]
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
-    discount = t[2] / (t[2] + 2 * t[3]) if t[2] and t[3] else 0.5
-    side = max(1, round(t[1] ** 0.25))
+    tail_tokens, tail_types, once, twice = n_tokens - sum(top[w] for w in own), n_types - len(own), 0, 0
+    side = max(1, round(tail_types**0.25))
     tokens, types = np.zeros(side * side, np.int64), np.zeros(side * side, np.int64)
-    for r in tail.groupBy(group_column(F.col("word"), side).alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # as many as groups
+    seen = [F.count(F.when(F.col("c") == i, 1)).alias(name) for i, name in ((1, "once"), (2, "twice"))]
+    for r in tail.groupBy(group_column(F.col("word"), side).alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n"), *seen).collect():  # as many as groups
         tokens[r.g], types[r.g] = r.c, r.n
-    return Counts(total[0], total[1], words, c, t[0], t[1], discount, side, tokens, types)
+        once, twice = once + r.once, twice + r.twice
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    return Counts(n_tokens, n_types, words, c, tail_tokens, tail_types, discount, side, tokens, types)
 
 
 class Coder:

@@ -161,3 +161,35 @@ def test_scoring_gathers_vectors_in_blocks():
     before = L.before_of(codes, sizes, own + 1)
     first, back = model.distinct(before)
     assert (before[first][back] == before).all() and len({*map(tuple, before[first].tolist())}) == len(first) == back.max() + 1
+
+
+def test_noise_in_blocks_and_sums_of_runs(monkeypatch):
+    rng = np.random.default_rng(0)
+    q, vectors, logit = (rng.standard_normal(s).astype(np.float32) for s in ((10, 4), (5, 4), 5))
+    monkeypatch.setattr(L, "NOISE_BLOCK", 4)
+    pulled, g = L.of_noise(L.with_bias(q), vectors, -L.with_bias(vectors, logit).T)
+    down = L.NOISE_WEIGHT / L.NOISE / (1 + np.exp(-(q @ vectors.T + logit)))
+    assert np.allclose(pulled, down @ vectors, atol=1e-5)
+    assert np.allclose(g[:, :-1], down.T @ q, atol=1e-5) and np.allclose(g[:, -1], down.sum(axis=0), atol=1e-5)
+    x, runs = rng.standard_normal((11, 3, 2)), np.array([1, 4, 2, 1, 3])
+    assert np.allclose(L.by_runs(x, runs), np.add.reduceat(x, np.cumsum(runs) - runs, axis=0))
+    assert L.by_runs(x[:0], runs[:0]).shape == (0, 3, 2)
+
+
+@pytest.mark.parametrize(("common", "classes"), [(L.COMMON, L.CLASSES), (L.COMMON, 5), (9, 5), (3, 9), (0, 5)])
+def test_counts_in_few_passes(spark, monkeypatch, common, classes):
+    monkeypatch.setattr(L, "COMMON", common)
+    monkeypatch.setattr(L, "CLASSES", classes)
+    counts = {L.END: 40} | {f"w{i}": 60 // (i + 1) for i in range(30)}
+    df = spark.createDataFrame(list(counts.items()), "word string, c bigint").cache()
+    passes, collect, to_arrow = [], type(df).collect, type(df).toArrow
+    monkeypatch.setattr(type(df), "collect", lambda d: passes.append(1) or collect(d))
+    monkeypatch.setattr(type(df), "toArrow", lambda d: passes.append(1) or to_arrow(d))
+    got = L.summary(df)
+    assert len(passes) <= (4 if common < classes else 3)
+    own = sorted(counts, key=lambda w: (-counts[w], w))[: classes - 1]
+    assert sorted(got.words[: classes - 1]) == sorted(own)
+    tail = [c for w, c in counts.items() if w not in own]
+    assert (got.tokens, got.types, got.tail_tokens, got.tail_types) == (sum(counts.values()), 31, sum(tail), len(tail))
+    assert (got.group_tokens.sum(), got.group_types.sum()) == (sum(tail), len(tail))
+    assert got.discount == (tail.count(1) / (tail.count(1) + 2 * tail.count(2)) if 1 in tail and 2 in tail else 0.5)
