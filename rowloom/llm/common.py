@@ -76,6 +76,14 @@ def trimmed_driver(spark: SparkSession) -> str:
         return ""
 
 
+def trimmed_executors(spark: SparkSession) -> None:
+    """Lets the executors' JVMs collect their garbage, upon which they give the heap that finished steps have filled back
+    to the system. Else a heap stays as large as it ever was while only Python works, and counts beside the workers.
+    There is a task for each core, so that idle executors all get some; one that gets none just keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -87,3 +87,19 @@ def test_driver_gives_free_native_memory_back(spark):
             x.end()
     common.written(df, "one")
     assert most - held() > (most - before) // 2
+
+
+def test_stages_begin_with_empty_heaps(spark):
+    import gc
+    import time
+
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for stage in (C.exact_dedup, C.mix, C.encode):
+        filled = [spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.long, 1 << 27)]  # 1 GB
+        most = heap.totalMemory()
+        filled.clear()
+        gc.collect()
+        time.sleep(1)  # for the JVM to hear of it
+        stage(spark, docs, SF)
+        assert heap.totalMemory() < most - (1 << 29)

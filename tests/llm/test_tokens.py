@@ -175,3 +175,31 @@ def test_library_encoder_keeps_pieces_in_use():
     for words in ([b"one", b"two", b"three"], [b"one", b"four", b"1x1"]):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids_of_words(words)] == [e.ids for e in encoder.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
     assert b"one" not in b" ".join(asked[1:]).split()
+
+
+def test_encoding_gives_memory_back_after_each_slice(spark, monkeypatch):
+    """What the allocators hold free doesn't add up over the slices of a partition."""
+    import random
+    import re
+    from pathlib import Path
+
+    def held():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = E.encode_documents(df)
+    rng = random.Random(5)
+    texts = [[" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(300)) for _ in range(500)] for _ in range(2)]
+    free = []
+
+    def batches():
+        words_module.trimmed()
+        for t in texts:
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(t)), pa.array(t), pa.array(t)], names=["doc_id", "text", "_encoded_text"])
+            before = held()
+            words_module.trimmed()
+            free.append(before - held())
+
+    assert sum(b.num_rows for b in run(batches())) == 1000
+    assert max(free) < 16, free
