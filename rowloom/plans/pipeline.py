@@ -48,7 +48,7 @@ def create_table(spark: SparkSession, schema_path: str, csv_path: str, table_pat
     if binary:
         from rowloom.sources.binary_file import write_batch_file
 
-        write_batch_file(csv_rows(spark, schema, csv_path, **how), table_path, rows_per_batch)
+        write_batch_file(csv_rows(spark, schema, csv_path, **how), table_path, rows_per_batch, numbered=True)
     else:
         import_csv(spark, schema, csv_path, table_path, rows_per_batch=rows_per_batch, **how)
 

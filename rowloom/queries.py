@@ -64,7 +64,7 @@ def binary_roundtrip(name: str) -> Callable[[SparkSession, str], DataFrame]:
         from rowloom.sources.binary_file import read_batch_file, write_batch_file
 
         path = work_path(spark, f"{name}.bin")
-        write_batch_file(B.assign_batches(source(spark, sf_dir, name)), path)
+        write_batch_file(B.assign_batches(source(spark, sf_dir, name)), path, numbered=True)
         return read_batch_file(spark, path)
 
     return run

@@ -3,28 +3,33 @@ and so on; an integer is 8 bytes, a string an 8-byte length and its bytes, littl
 schema, the number of batches and (offset, columns, rows) of each; the last 8 bytes point at the footer.
 
 Reading plans a partition for each run of batches of PARTITION_BYTES or more and prunes them by a filter on
-``batch_id`` (``spark.sql.python.filterPushdown.enabled``); writing takes rows with ``row_id`` in one sorted task, as a
-single file requires. Options: path, rows_per_batch, strings (``binary``: text as bytes that needn't be UTF-8, which is
+``batch_id`` (``spark.sql.python.filterPushdown.enabled``). Writing takes partitions of whole batches, sorted by
+``row_id``; each task writes a part beside the file, and the commit strings them together in blocks. Options: path, rows_per_batch, strings (``binary``: text as bytes that needn't be UTF-8, which is
 refused otherwise). Files are local or mounted, and the driver sees them."""
 
 from __future__ import annotations
 
 import os
+import shutil
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from rowloom.functions import INT64, STRING
-from rowloom.operators.batches import ROWS_PER_BATCH
+from rowloom.operators.batches import ROWS_PER_BATCH, assign_batches, number_by_key
 from rowloom.plans.schema import fields_of, flat, make_schema
 
 #: Data of the batches that one partition reads.
 PARTITION_BYTES = 32 << 20
+#: Bytes that the commit of a written file copies at once.
+COPY_BYTES = 8 << 20
 _INT = struct.Struct("<q")
 _SPAN = struct.Struct("<qqq")
 
@@ -44,9 +49,12 @@ def encode_column(values: list, token: str) -> bytes:
     return b"".join(map(_INT.pack, values)) if token == INT64 else b"".join(map(encode_text, values))
 
 
+def encode_fields(fields: list[tuple[str, str]]) -> bytes:
+    return b"".join(_INT.pack(x) if isinstance(x, int) else encode_text(x) for x in flat(make_schema(fields)))
+
+
 def encode_footer(footer: Footer, at: int) -> bytes:
-    head = b"".join(_INT.pack(x) if isinstance(x, int) else encode_text(x) for x in flat(make_schema(footer.fields)))
-    return head + _INT.pack(len(footer.batches)) + b"".join(_SPAN.pack(*b) for b in footer.batches) + _INT.pack(at)
+    return encode_fields(footer.fields) + _INT.pack(len(footer.batches)) + b"".join(_SPAN.pack(*b) for b in footer.batches) + _INT.pack(at)
 
 
 def read_footer(path: str) -> Footer:
@@ -145,25 +153,46 @@ class BatchFileReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*keys, *arrays], names)
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    """What one task wrote: file, first row, rows, bytes and batches. The batches' spans are in a file beside it."""
+
+    file: str
+    first: int
+    rows: int
+    size: int
+    batches: int
+
+
 class BatchFileWriter(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, rows_per_batch: int) -> None:
-        self.path, self.rows = path, rows_per_batch
+        if "row_id" not in schema.names:
+            raise ValueError("a batch file is written from rows with row_id")
+        self.path, self.rows, self.folder = path, rows_per_batch, f"{path}.writing"
         self.fields = fields_of(StructType([f for f in schema.fields if f.name != "row_id"]))
         self.names = [f.name for f in schema.fields if f.name != "row_id"]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        kept, at, held = [], 0, None
-        os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
-        with open(f"{self.path}.writing", "wb") as f:
+        os.makedirs(self.folder, exist_ok=True)
+        part, held = Part(f"{self.folder}/{uuid.uuid4().hex}", 0, 0, 0, 0), None
+        with open(part.file, "wb") as f, open(f"{part.file}.spans", "wb") as spans:
 
             def put(rows: pa.Table) -> None:
-                nonlocal at
                 body = b"".join(encode_column(rows.column(name).to_pylist(), token) for name, (_, token) in zip(self.names, self.fields, strict=True))
                 f.write(body)
-                kept.append((at, len(self.fields), rows.num_rows))
-                at += len(body)
+                spans.write(_SPAN.pack(part.size, len(self.fields), rows.num_rows))
+                part.size += len(body)
+                part.batches += 1
 
             for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = batch.column(batch.schema.get_field_index("row_id")).to_numpy()
+                if not part.rows:
+                    part.first = int(ids[0])
+                if part.first % self.rows or not np.array_equal(ids, np.arange(part.first + part.rows, part.first + part.rows + len(ids))):
+                    raise ValueError("a partition needs whole batches of consecutive row_id")
+                part.rows += len(ids)
                 new = pa.Table.from_batches([batch])
                 held = new if held is None else pa.concat_tables([held, new])
                 while held.num_rows >= self.rows:
@@ -171,15 +200,34 @@ class BatchFileWriter(DataSourceArrowWriter):
                     held = held.slice(self.rows)
             if held is not None and held.num_rows:
                 put(held)
-            f.write(encode_footer(Footer(self.fields, kept), at))
-        return WriterCommitMessage()
+        return part
 
     def commit(self, messages) -> None:
-        os.replace(f"{self.path}.writing", self.path)
+        """The parts in the order of their rows, then the footer, in a new file that takes the target's place. Memory
+        is one block and one part's spans."""
+        os.makedirs(self.folder, exist_ok=True)
+        parts, first, at = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.first), 0, 0
+        for n, part in enumerate(parts):
+            if part.first != first or n + 1 < len(parts) and part.rows % self.rows:
+                raise ValueError("row_id is not 0..n-1, or a batch lies in two partitions")
+            first += part.rows
+        with open(f"{self.folder}/whole", "wb") as out:
+            for part in parts:
+                with open(part.file, "rb") as f:
+                    shutil.copyfileobj(f, out, COPY_BYTES)
+                os.remove(part.file)
+            out.write(encode_fields(self.fields) + _INT.pack(sum(p.batches for p in parts)))
+            for part in parts:
+                spans = np.fromfile(f"{part.file}.spans", "<i8").reshape(-1, 3)
+                spans[:, 0] += at
+                out.write(spans.tobytes())
+                at += part.size
+            out.write(_INT.pack(at))
+        os.replace(f"{self.folder}/whole", self.path)
+        shutil.rmtree(self.folder, ignore_errors=True)
 
     def abort(self, messages) -> None:
-        if os.path.exists(f"{self.path}.writing"):
-            os.remove(f"{self.path}.writing")
+        shutil.rmtree(self.folder, ignore_errors=True)
 
 
 class BatchFile(DataSource):
@@ -209,10 +257,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BatchFile)
 
 
-def write_batch_file(table: DataFrame, path: str, rows_per_batch: int = ROWS_PER_BATCH) -> None:
-    """A table frame to one binary file, in ``row_id`` order."""
+def write_batch_file(table: DataFrame, path: str, rows_per_batch: int = ROWS_PER_BATCH, numbered: bool = False) -> None:
+    """A table frame to one binary file, in ``row_id`` order, by as many tasks as its size asks for. Rows are numbered
+    anew unless they are known to be ``numbered`` 0..n-1."""
     register(table.sparkSession)
-    rows = table.drop("batch_id").repartition(1).sortWithinPartitions("row_id")
+    rows = table.drop("batch_id")
+    rows = assign_batches(rows if numbered else number_by_key(rows, ["row_id"]), rows_per_batch)
+    rows = rows.repartitionByRange("batch_id").sortWithinPartitions("row_id").drop("batch_id")
     rows.write.format("batch_file").mode("overwrite").options(path=path, rows_per_batch=rows_per_batch).save()
 
 
