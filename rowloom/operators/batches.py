@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +36,19 @@ def _unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def file_order(path: str, block: str) -> list[Column]:
+    """Folder, part number (of ``part-*`` files), path and block."""
+    return [F.regexp_extract(path, "^(.*)/", 1), F.try_to_number(F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1), F.lit("999999999999")), F.col(path), F.col(block)]
+
+
 def number_file_rows(df: DataFrame) -> DataFrame:
-    """Consecutive ``row_id`` for rows read from files, in the order of folder, part number (of ``part-*`` files), path,
-    block and line. ``df`` carries ``_metadata``. Only per-split counts are ordered globally, never rows; the table of
+    """Consecutive ``row_id`` for rows read from files, in the order of :func:`file_order` and line. ``df`` carries ``_metadata``. Only per-split counts are ordered globally, never rows; the table of
     splits is joined without a hint, so that its size decides how."""
     path, block, at, part, n, shift = _unused(df, "_path", "_block", "_at", "_part", "_n", "_shift")
     marked = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "_metadata"], F.col("_metadata.file_path").alias(path),
                        F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(at))
     splits = marked.groupBy(path, block).agg(F.count("*").alias(n), F.min(at).alias(at))
-    order = [F.regexp_extract(path, "^(.*)/", 1), F.try_to_number(F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1), F.lit("999999999999")), path, block]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file split
+    before = Window.orderBy(*file_order(path, block)).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file split
     splits = splits.select(path, block, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(at)).alias(shift))
     return marked.join(splits, [path, block]).withColumn("row_id", F.col(at) + F.col(shift)).drop(path, block, at, shift)
 

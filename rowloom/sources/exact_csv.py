@@ -5,8 +5,8 @@ in unquoted fields too. Records may differ in their number of fields.
 A field is either quoted (anything, quotes doubled) or bare (no delimiter or line break, quotes doubled, not at its
 start), and ends at a delimiter, a line break or the end of the file: one compiled pattern matches field and end.
 
-Files are read by Spark, so any store it knows will do; one task tokenises one file, which must be UTF-8 and under 2 GB:
-give larger inputs as several files, such as :func:`rowloom.sources.csv_files.write_ordered_files` makes."""
+Files are UTF-8 and read by :mod:`rowloom.sources.split_csv` in splits; only with ``malformed='stop'`` one task
+tokenises one file, under 2 GB."""
 
 from __future__ import annotations
 
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from rowloom.operators.batches import number_file_rows
 from rowloom.sources.csv_files import Dialect
+from rowloom.sources.split_csv import read_raw_records
 
-#: Records of an Arrow batch.
-RECORDS = 4096
+#: Records of an Arrow batch, and bytes of them.
+RECORDS, RECORD_BYTES = 4096, 1 << 20
 
 
 class MalformedRecord(ValueError):
@@ -69,6 +70,31 @@ def _open_ended(text: str, at: int, dialect: Dialect) -> bool:
 def read_records(spark: SparkSession, path: str, dialect: Dialect = Dialect(), final: str = "keep", malformed: str = "raise") -> DataFrame:
     """``row_id`` and ``fields`` (array of string) of each record, in the order of files and records. With
     ``malformed='stop'`` a file's records end before its first malformed one."""
+    if malformed == "stop":
+        return _records_before_malformed(spark, path, dialect, final)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(records, pa.list_(pa.string()))], names=["row_id", "fields"])
+
+        numbers, records, size = [], [], 0
+        for b in batches:
+            for number, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = raw.as_py().decode()
+                for record in tokenize(text, dialect, final):
+                    numbers.append(number)
+                    records.append(record)
+                size += len(text)
+                if size >= RECORD_BYTES or len(records) >= RECORDS:
+                    yield batch()
+                    numbers, records, size = [], [], 0
+        if records:
+            yield batch()
+
+    return read_raw_records(spark, path, dialect).mapInArrow(run, "row_id bigint, fields array<string>")
+
+
+def _records_before_malformed(spark: SparkSession, path: str, dialect: Dialect, final: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(path: str, records: list[list[str]]) -> pa.RecordBatch:
             meta = pa.array([{"file_path": path, "file_block_start": 0}] * len(records), pa.struct([("file_path", pa.string()), ("file_block_start", pa.int64())]))
@@ -77,7 +103,7 @@ def read_records(spark: SparkSession, path: str, dialect: Dialect = Dialect(), f
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 records = []
-                for record in tokenize(raw.as_py().decode(), dialect, final, malformed):
+                for record in tokenize(raw.as_py().decode(), dialect, final, "stop"):
                     records.append(record)
                     if len(records) == RECORDS:
                         yield batch(path, records)

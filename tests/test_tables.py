@@ -373,3 +373,60 @@ def test_binary_file_by_several_tasks(spark, tmp_path):
     assert open(path, "rb").read() == want and os.listdir(tmp_path) == ["x.bin"]
     write_batch_file(t.limit(0), path)
     assert read_footer(path).batches == [] and read_batch_file(spark, path).count() == 0
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of few bytes, a split a task."""
+    conf = {"spark.sql.files.maxPartitionBytes": "7", "spark.sql.files.openCostInBytes": "7"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+SPLIT_TEXTS = ["", "\n", "a,b\n", 'k,"two\nlines",z', '"""q"",\n\n,""",x\n\n"",\n', "\ufeffa,b\n\u00e9\u00e9\u00e9\u00e9,\U0001f389\n", "\ufeffa", '"' + "long\n" * 40 + '",1\nx,"y"\n', 'a""b,"c\r"\nd,e,f,\r\n']
+
+
+@pytest.mark.parametrize("n", range(len(SPLIT_TEXTS)))
+def test_exact_records_over_splits(spark, tmp_path, small_splits, n):
+    """Records of a file that many tasks read, each from a few bytes, are those of the whole text."""
+    text = SPLIT_TEXTS[n]
+    for final in ("keep", "drop"):
+        rows = read_records(spark, put(tmp_path / "x.csv", text), final=final).sort("row_id").collect()
+        assert [(r.row_id, r.fields) for r in rows] == list(enumerate(tokenize(text, final=final)))
+
+
+def test_exact_records_of_several_files_over_splits(spark, tmp_path, small_splits):
+    for k in (9, 10):
+        put(tmp_path / f"part-{k:05d}-x.csv", f'"{k}\n",a\n' * 4 + f"{k},end")
+    rows = read_records(spark, str(tmp_path)).sort("row_id").collect()
+    assert [(r.row_id, r.fields) for r in rows] == list(enumerate([["9\n", "a"]] * 4 + [["9", "end"]] + [["10\n", "a"]] * 4 + [["10", "end"]]))
+    for bad in ('ok,1\n"a"x\nmore\n', 'ok,1\nmore\n"open\nand\nmore'):
+        with pytest.raises(Exception, match="MalformedRecord"):
+            read_records(spark, put(tmp_path / "bad.csv", bad)).collect()
+
+
+def test_exact_file_is_read_by_several_tasks(spark, tmp_path, small_splits):
+    path = put(tmp_path / "x.csv", "ab,c\n" * 30)
+    assert read_records(spark, path).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text('a",\n', max_size=14))
+def test_line_states_against_the_rules(text):
+    """Lines that end inside quotes, from either beginning, tell records apart."""
+    if (want := plain_records(text)) is None:
+        return
+    from rowloom.sources.split_csv import ends_inside
+
+    begun, continued = ends_inside(Dialect())
+    records, inside = [], False
+    for line in text.removesuffix("\n").split("\n") if text else []:
+        if inside:
+            records[-1] += f"\n{line}"
+        else:
+            records.append(line)
+        inside = (continued if inside else begun).match(line.encode()) is not None
+    assert not inside and [f for r in records for f in tokenize(f"{r}\n")] == want
