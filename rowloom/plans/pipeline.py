@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import parse_field
-from rowloom.operators.batches import KEYS, ROWS_PER_BATCH, assign_batches, number_file_rows
+from rowloom.operators.batches import KEYS, ROWS_PER_BATCH, assign_batches
 from rowloom.plans.schema import read_descriptor
-from rowloom.sources.csv_files import Dialect, read_text_rows, write_ordered_files, write_single_file
+from rowloom.sources.csv_files import Dialect, write_ordered_files, write_single_file
+from rowloom.sources.split_csv import read_numbered_rows
 from rowloom.sources.store import open_table, write_table
 
 
@@ -33,7 +34,7 @@ def csv_rows(spark: SparkSession, schema: T.StructType, csv_path: str, dialect:
 
         rows = read_fixed_width(spark, csv_path, len(schema.fields), dialect, final)
     else:
-        rows = number_file_rows(read_text_rows(spark, csv_path, len(schema.fields), dialect, multi_line))
+        rows = read_numbered_rows(spark, csv_path, len(schema.fields), dialect, multi_line)
     return typed_rows(rows, schema, rows_per_batch)
 
 
@@ -54,8 +55,8 @@ def create_table(spark: SparkSession, schema_path: str, csv_path: str, table_pat
 
 
 def extract_table(spark: SparkSession, table_path: str, csv_path: str, dialect: Dialect = Dialect(), *, binary: bool = False, parts: bool = False) -> None:
-    """A table (``binary``: an interchange file) to one CSV file, which passes one task, or with ``parts`` to a folder
-    of ordered part files. The table is opened first: if it is missing, an existing target stays as it is."""
+    """A table (``binary``: an interchange file) to one CSV file, or with ``parts`` to a folder of ordered part
+    files. The table is opened first: if it is missing, an existing target stays as it is."""
     if binary:
         from rowloom.sources.binary_file import read_batch_file
 

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import stringify
-from rowloom.sources.files import move_single_part
+from rowloom.sources.files import join_parts
+
+#: Options of the built-in parser, by which malformed records raise.
+STRICT = {"mode": "FAILFAST", "unescapedQuoteHandling": "RAISE_ERROR"}
 
 
 @dataclass(frozen=True)
@@ -37,10 +40,11 @@ class Dialect:
 
 
 def read_text_rows(spark: SparkSession, path: str, width: int, dialect: Dialect = Dialect(), multi_line: bool = True) -> DataFrame:
-    """All-string frame ``_c0.._c{width-1}``. ``multi_line`` is for line breaks inside quotes, at one task a file;
-    without it a file is split, for inputs known to have none. Lazy: nothing is read until an action."""
+    """All-string frame ``_c0.._c{width-1}``. ``multi_line`` is for line breaks inside quotes, at one task a file, for
+    which :func:`rowloom.sources.split_csv.read_numbered_rows` has several; without it a file is split, for inputs known
+    to have none. Lazy: nothing is read until an action."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.options(**dialect.options()).csv(path, schema=schema, multiLine=multi_line, mode="FAILFAST", unescapedQuoteHandling="RAISE_ERROR")
+    raw = spark.read.options(**dialect.options()).csv(path, schema=schema, multiLine=multi_line, **STRICT)
     return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns], "_metadata")
 
 
@@ -58,10 +62,8 @@ def write_ordered_files(df: DataFrame, folder: str, order: str, dialect: Dialect
 
 
 def write_single_file(df: DataFrame, target: str, order: str, dialect: Dialect = Dialect()) -> None:
-    """One CSV file in the order of column ``order``, which is not written. The rows pass one task, as a
-    single ordered file requires; use :func:`write_ordered_files` where part files will do."""
-    kept = [c for c in df.columns if c != order]
-    text = df.select(F.col(order), *[stringify(F.col(f"`{c}`")).alias(c) for c in kept]).repartition(1).sortWithinPartitions(order)
+    """One CSV file in the order of column ``order``, which is not written: :func:`write_ordered_files`, whose part files
+    the driver then strings together in blocks."""
     folder = f"{target}.writing"
-    text.select(*[F.col(f"`{c}`") for c in kept]).write.mode("overwrite").options(**dialect.options()).csv(folder, quoteAll=True)
-    move_single_part(df.sparkSession, folder, target)
+    write_ordered_files(df, folder, order, dialect)
+    join_parts(df.sparkSession, folder, target)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that the driver copies at once.
+COPY_BYTES = 4 << 20
 _own_folder: list[str] = []
 
 
@@ -54,20 +56,31 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def move_single_part(spark: SparkSession, folder: str, target: str) -> None:
-    """Put the one part file of ``folder`` at ``target`` (replaced), then drop the folder. A result without
-    rows has no part file, which gives an empty target."""
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """Put the part files of ``folder``, in the order of their numbers, as one file at ``target`` (replaced), then drop
+    the folder. A part alone is moved; several are copied by the driver in blocks, as a store appends to one file from
+    one place. A result without rows has no part file, which gives an empty target."""
     fs, p, jvm = _fs(spark, folder)
     to = jvm.org.apache.hadoop.fs.Path(target)
-    parts = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
-    if len(parts) > 1:
-        raise ValueError(f"{folder} has {len(parts)} part files")
+    parts = sorted((int(name.split("-")[1]), name) for s in fs.listStatus(p) if (name := s.getPath().getName()).startswith("part-"))
+    paths = [jvm.org.apache.hadoop.fs.Path(p, name) for _, name in parts]
+    if len(paths) != 1:
+        whole = jvm.org.apache.hadoop.fs.Path(p, "_whole")
+        out = fs.create(whole, True)
+        try:
+            for part in paths:
+                from_part = fs.open(part)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(from_part, out, COPY_BYTES, False)
+                finally:
+                    from_part.close()
+                fs.delete(part, False)
+        finally:
+            out.close()
+        paths = [whole]
     fs.delete(to, True)
-    if parts:
-        if to.getParent() is not None:
-            fs.mkdirs(to.getParent())
-        if not fs.rename(parts[0], to):
-            raise OSError(f"can't move {parts[0]} to {target}")
-    else:
-        fs.create(to, True).close()
+    if to.getParent() is not None:
+        fs.mkdirs(to.getParent())
+    if not fs.rename(paths[0], to):
+        raise OSError(f"can't move {paths[0]} to {target}")
     fs.delete(p, True)

@@ -6,7 +6,8 @@ would be either way: whether its end is inside quotes, and how many records begi
 each split, are followed in order in one task, which gives each split its state and first record number. A second pass
 puts lines together; the pieces of a record that lies in several splits, few by nature, are joined by its number.
 
-A record is the bytes of its lines with their line breaks (none at the end of a file that has none there)."""
+A record is the bytes of its lines with their line breaks (none at the end of a file that has none there); for the
+built-in parser without the last one, unless a quoted field is left open."""
 
 from __future__ import annotations
 
@@ -18,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.operators.batches import file_order
-from rowloom.sources.csv_files import Dialect
+from rowloom.operators.batches import file_order, number_file_rows
+from rowloom.sources.csv_files import STRICT, Dialect, read_text_rows
 
 #: Bytes of records, or records, that a worker returns at once.
 BATCH_BYTES, BATCH_RECORDS = 1 << 20, 4096
 #: Rows of an Arrow column that are Python objects at once.
 LISTED = 256
+#: A file of more bytes is read in splits, where the built-in parser would take it in one task.
+SPLIT_BYTES = 256 << 20
 _BOM = b"\xef\xbb\xbf"
 _SPLITS = "split int, path string, block bigint, inside boolean, first bigint, unbroken boolean, marked boolean"
 
@@ -114,7 +117,7 @@ def _follow(width: int):
     return run
 
 
-def _assemble(dialect: Dialect, skip_blank: bool, whole: bool, marks: bool):
+def _assemble(dialect: Dialect, skip_blank: bool, whole: bool, raw: bool):
     """Records that lie in one split (``whole``), or the pieces of those that don't."""
     begun, continued = ends_inside(dialect)
     quote, end = dialect.quote.encode(), dialect.linebreak.encode()
@@ -130,7 +133,7 @@ def _assemble(dialect: Dialect, skip_blank: bool, whole: bool, marks: bool):
         def last() -> Iterator[tuple[int, int, bytes]]:
             """What is held at the end of a split."""
             nonlocal piece
-            if held and unbroken:
+            if held and unbroken and (raw or inside):
                 held[-1] = held[-1][: -len(end)]
             piece = piece or inside
             return finished()
@@ -146,7 +149,7 @@ def _assemble(dialect: Dialect, skip_blank: bool, whole: bool, marks: bool):
                     split, inside, unbroken, held = splits[lo].as_py(), starts[lo].as_py(), ends[lo].as_py(), []
                     number, piece = firsts[lo].as_py() - 1, inside
                 for line in _listed(lines, lo, hi):
-                    bom, fresh = _BOM if fresh and marks and marked[lo].as_py() else b"", False
+                    bom, fresh = _BOM if fresh and raw and marked[lo].as_py() else b"", False
                     if not inside:
                         if skip_blank and not line:
                             continue
@@ -155,7 +158,7 @@ def _assemble(dialect: Dialect, skip_blank: bool, whole: bool, marks: bool):
                         inside = quote in line and begun.match(line) is not None
                     elif quote in line:
                         inside = continued.match(line) is not None
-                    held.append(bom + line + end)
+                    held.append(bom + line + (end if raw or inside else b""))
         yield from last()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +179,28 @@ def _assemble(dialect: Dialect, skip_blank: bool, whole: bool, marks: bool):
     return run
 
 
-def read_raw_records(spark: SparkSession, path: str, dialect: Dialect = Dialect(), skip_blank: bool = False, marks: bool = True) -> DataFrame:
+def read_raw_records(spark: SparkSession, path: str, dialect: Dialect = Dialect(), skip_blank: bool = False, raw: bool = True) -> DataFrame:
     """``row_id`` and ``record`` (binary) of each record, numbered in the order of :func:`file_order` and lines.
-    ``skip_blank``: empty lines outside quotes are no records. ``marks``: a byte order mark is data."""
+    ``skip_blank``: empty lines outside quotes are no records. ``raw``: with a byte order mark and the line break at the end."""
     text = spark.read.option("lineSep", dialect.linebreak).text(path)
     lines = text.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
     counts = "total bigint, inside_0 boolean, records_0 bigint, inside_1 boolean, records_1 bigint"
     splits = lines.mapInArrow(_survey(dialect, skip_blank), f"path string, block bigint, size bigint, {counts}")
     splits = splits.repartition(1).sortWithinPartitions(*file_order("path", "block")).mapInArrow(_follow(len(dialect.linebreak.encode())), _SPLITS)
     known = lines.drop("size").join(F.broadcast(splits), ["path", "block"]).select("line", "split", "inside", "first", "unbroken", "marked")
-    whole, parts = (known.mapInArrow(_assemble(dialect, skip_blank, w, marks), "row_id bigint, split int, record binary") for w in (True, False))
+    whole, parts = (known.mapInArrow(_assemble(dialect, skip_blank, w, raw), "row_id bigint, split int, record binary") for w in (True, False))
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("split", "record"))), F.lit(bytearray()).cast("binary"), lambda a, x: F.concat(a, x["record"]))
     return whole.select("row_id", "record").unionAll(parts.groupBy("row_id").agg(joined.alias("record")))
+
+
+def read_numbered_rows(spark: SparkSession, path: str, width: int, dialect: Dialect = Dialect(), multi_line: bool = True) -> DataFrame:
+    """``row_id`` and :func:`read_text_rows`, by the same parser: a task a file, or where one has over SPLIT_BYTES, record
+    by record from splits. Only the sizes of the files are looked up before an action."""
+    longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] if multi_line else 0
+    if (longest or 0) <= SPLIT_BYTES:
+        return number_file_rows(read_text_rows(spark, path, width, dialect, multi_line))
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in (dialect.options() | STRICT | {"multiLine": True}).items()}
+    names = [f"_c{i}" for i in range(width)]
+    fields = F.from_csv(F.col("record").cast("string"), ", ".join(f"{c} string" for c in names), options)
+    rows = read_raw_records(spark, path, dialect, skip_blank=True, raw=False).select("row_id", F.inline(F.array(fields)))
+    return rows.select("row_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names])

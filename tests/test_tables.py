@@ -430,3 +430,44 @@ def test_line_states_against_the_rules(text):
             records.append(line)
         inside = (continued if inside else begun).match(line.encode()) is not None
     assert not inside and [f for r in records for f in tokenize(f"{r}\n")] == want
+
+
+BUILT_IN_TEXTS = {
+    "quotes in bare fields": 'a"b,c\nd"",e\nf,"g\nh"\ni"j"k,"l"\n',
+    "blank lines": '\na,b\n\n\n"c\n\nd",\n \t,e\n\n',
+    "no line break at the end": "a,b\nc,d",
+    "open at the end": 'a,b\nc,"d\ne\n',
+    "open at the end without line break": 'a,b\nc,"d\n\ne',
+    "byte order mark": '\ufeff"a",\u00e9\r\n\U0001f389,"\r"\n',
+    "backslash": '"\\","\\"\n\\",x\n"\\""",",\n,"""\n',
+    "malformed": 'a,b\n"c"d,e\nf,g\n',
+    "ragged": "a,b\nc,d,e\n",
+    "space after a quote": 'a,b\n"c" ,d\n',
+}
+
+
+@pytest.mark.parametrize("name", BUILT_IN_TEXTS)
+def test_built_in_parser_over_splits(spark, tmp_path, small_splits, monkeypatch, name):
+    """The rows of one task by file, or its refusal, also from splits of a few bytes."""
+    from rowloom.sources import split_csv
+
+    def rows():
+        try:
+            return [tuple(r) for r in split_csv.read_numbered_rows(spark, path, 2).sort("row_id").select("row_id", "_c0", "_c1").collect()]
+        except Exception:
+            return "refused"
+
+    path = put(tmp_path / "x.csv", BUILT_IN_TEXTS[name])
+    want = rows()
+    monkeypatch.setattr(split_csv, "SPLIT_BYTES", 0)
+    assert rows() == want
+    assert split_csv.read_numbered_rows(spark, put(tmp_path / "y.csv", "ab,c\n" * 30), 2).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_single_file_by_several_tasks(spark, tmp_path):
+    df = spark.range(5000).select((4999 - F.col("id")).alias("row_id"), F.concat(F.lit('q"\n,'), F.col("id").cast("string")).alias("t"))
+    path = tmp_path / "o.csv"
+    assert tasks_that_write(spark, lambda: write_single_file(df, str(path), "row_id")) > 1
+    assert path.read_text() == "".join(f'"q""\n,{4999 - i}"\n' for i in range(5000)) and {p.name for p in tmp_path.iterdir()} <= {"o.csv", ".o.csv.crc"}
+    write_single_file(df.limit(0), str(path), "row_id")
+    assert path.read_text() == ""
