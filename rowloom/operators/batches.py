@@ -43,14 +43,14 @@ def file_order(path: str, block: str) -> list[Column]:
 
 def number_file_rows(df: DataFrame) -> DataFrame:
     """Consecutive ``row_id`` for rows read from files, in the order of :func:`file_order` and line. ``df`` carries ``_metadata``. Only per-split counts are ordered globally, never rows; the table of
-    splits is joined without a hint, so that its size decides how."""
+    splits, a row for each, is broadcast, as else the rows would be shuffled for its sake."""
     path, block, at, part, n, shift = _unused(df, "_path", "_block", "_at", "_part", "_n", "_shift")
     marked = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "_metadata"], F.col("_metadata.file_path").alias(path),
                        F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(at))
     splits = marked.groupBy(path, block).agg(F.count("*").alias(n), F.min(at).alias(at))
     before = Window.orderBy(*file_order(path, block)).rowsBetween(Window.unboundedPreceding, -1)  # one row for each file split
     splits = splits.select(path, block, (F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(at)).alias(shift))
-    return marked.join(splits, [path, block]).withColumn("row_id", F.col(at) + F.col(shift)).drop(path, block, at, shift)
+    return marked.join(F.broadcast(splits), [path, block]).withColumn("row_id", F.col(at) + F.col(shift)).drop(path, block, at, shift)
 
 
 def number_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +64,7 @@ def number_by_key(df: DataFrame, keys: list[str]) -> DataFrame:
     counts = placed.groupBy(part).agg(F.count("*").alias(n))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     shifts = counts.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(shift))
-    return placed.join(shifts, part).withColumn("row_id", F.col(at) + F.col(shift)).drop(part, at, shift)
+    return placed.join(F.broadcast(shifts), part).withColumn("row_id", F.col(at) + F.col(shift)).drop(part, at, shift)
 
 
 def assign_batches(df: DataFrame, rows_per_batch: int = ROWS_PER_BATCH) -> DataFrame:

@@ -29,13 +29,18 @@ TABLES = {
 }
 
 
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table's usable columns as int64 and string, nulls as zero and empty, numbered in key order."""
+def usable(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, list[str]]:
+    """The table's usable columns as int64 and string, nulls as zero and empty, and its key."""
     key, fields = TABLES[name]
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     kinds = {"int64": "bigint", "string": "string"}
-    df = df.select(*[F.coalesce(F.col(c).cast(kinds[t]), F.lit(0 if t == "int64" else "").cast(kinds[t])).alias(c) for c, t in fields])
-    return B.number_by_key(df, key.split(", ")).select("row_id", *[c for c, _ in fields])
+    return df.select(*[F.coalesce(F.col(c).cast(kinds[t]), F.lit(0 if t == "int64" else "").cast(kinds[t])).alias(c) for c, t in fields]), key.split(", ")
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """:func:`usable`, numbered in key order."""
+    df, keys = usable(spark, sf_dir, name)
+    return B.number_by_key(df, keys).select("row_id", *df.columns)
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +56,8 @@ def roundtrip(name: str, parts: bool = True, exact: bool = False, dialect: Diale
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema = make_schema(TABLES[name][1])
         first, table, second = (work_path(spark, f"{name}-{x}") for x in ("a.csv", "table", "b.csv"))
-        (write_ordered_files if parts else write_single_file)(source(spark, sf_dir, name), first, "row_id", dialect)
+        df, keys = usable(spark, sf_dir, name)
+        (write_ordered_files if parts else write_single_file)(df, first, keys, dialect)
         import_csv(spark, schema, first, table, dialect=dialect, exact=exact)
         extract_table(spark, table, second, dialect, parts=parts)
         return csv_rows(spark, schema, second, dialect, exact=exact).drop("batch_id")
@@ -77,7 +83,8 @@ def cli_roundtrip(*flags: str) -> Callable[[SparkSession, str], DataFrame]:
         schema = make_schema(TABLES["events"][1])
         descriptor, first, table, second = (work_path(spark, x) for x in ("schema.csv", "a.csv", "table", "b.csv"))
         write_descriptor(spark, schema, descriptor)
-        write_single_file(source(spark, sf_dir, "events"), first, "row_id")
+        df, keys = usable(spark, sf_dir, "events")
+        write_single_file(df, first, keys)
         if cli.main(["create_table", *flags, descriptor, first, table]) or cli.main(["extract_table", *flags, table, second]):
             raise RuntimeError("a command failed")
         return csv_rows(spark, schema, second).drop("batch_id")

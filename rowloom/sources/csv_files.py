@@ -53,17 +53,20 @@ def write_rows(df: DataFrame, path: str, dialect: Dialect = Dialect(), mode: str
     df.select(*[stringify(F.col(f"`{c}`")).alias(c) for c in df.columns]).write.mode(mode).options(**dialect.options()).csv(path, quoteAll=True)
 
 
-def write_ordered_files(df: DataFrame, folder: str, order: str, dialect: Dialect = Dialect()) -> None:
-    """A folder of CSV part files that have the rows in the order of column ``order``, which is not written: ranges of
-    it in the files' part numbers, sorted within. Read back by folder in the same order, one task a file or more."""
-    kept = [c for c in df.columns if c != order]
-    text = df.select(F.col(order), *[stringify(F.col(f"`{c}`")).alias(c) for c in kept]).repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    text.select(*[F.col(f"`{c}`") for c in kept]).write.mode("overwrite").options(**dialect.options()).csv(folder, quoteAll=True)
-
-
-def write_single_file(df: DataFrame, target: str, order: str, dialect: Dialect = Dialect()) -> None:
-    """One CSV file in the order of column ``order``, which is not written: :func:`write_ordered_files`, whose part files
-    the driver then strings together in blocks."""
+def write_ordered_files(df: DataFrame, folder: str, order: str | list[str], dialect: Dialect = Dialect()) -> None:
+    """A folder of CSV part files that have the rows in the order of ``order``: a column, which is not written, or a list
+    of columns, which are. Ranges of it are in the files' part numbers, sorted within. Read back by folder in the same
+    order, one task a file or more."""
+    keys = [order] if isinstance(order, str) else order
+    by = [F.col(f"`{k}`") for k in keys]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    text = rows.select(*[stringify(F.col(f"`{c}`")).alias(c) for c in df.columns if c != order])
+    text.write.mode("overwrite").options(**dialect.options()).csv(folder, quoteAll=True)
+
+
+def write_single_file(df: DataFrame, target: str, order: str | list[str], dialect: Dialect = Dialect()) -> None:
+    """One CSV file in the order of ``order``: :func:`write_ordered_files`, whose part files the driver then strings
+    together in blocks."""
     folder = f"{target}.writing"
     write_ordered_files(df, folder, order, dialect)
     join_parts(df.sparkSession, folder, target)

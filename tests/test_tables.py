@@ -471,3 +471,14 @@ def test_single_file_by_several_tasks(spark, tmp_path):
     assert path.read_text() == "".join(f'"q""\n,{4999 - i}"\n' for i in range(5000)) and {p.name for p in tmp_path.iterdir()} <= {"o.csv", ".o.csv.crc"}
     write_single_file(df.limit(0), str(path), "row_id")
     assert path.read_text() == ""
+
+
+def test_numbering_shuffles_no_rows(spark, tmp_path):
+    """Numbers are joined to the rows of files and of a sorted table by a broadcast, however large these are."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (B.number_file_rows(read_text_rows(spark, put(tmp_path / "x.csv", "a\nb\n"), 1)), B.number_by_key(spark.range(9).toDF("k"), ["k"])):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
